@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlight.llm.packing import op6_packing
+from ledgerlight.llm.simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op6_packing,)}
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerlight.llm.packing import op6_packing
 from ledgerlight.llm.simhash import op5_simhash
+from ledgerlight.llm.suffix import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_packing)}
+QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from ledgerlight.llm.chat import op3_chat
+from ledgerlight.llm.lm import op9_lm_scoring
 from ledgerlight.llm.packing import op6_packing
+from ledgerlight.llm.sentences import op10_sentence_dedup
 from ledgerlight.llm.simhash import op5_simhash
 from ledgerlight.llm.suffix import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_packing)}
+QUERIES = {f.__name__: f for f in (op3_chat, op4_suffix_dedup, op5_simhash, op6_packing, op9_lm_scoring, op10_sentence_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import free_shuffles, table, written
+from ledgerlight.llm.common import free_shuffles, small_batches, table, written
 
 GRAM = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of suffixes that a task sorts at a time, and that it merges.
-RUN, MERGE = 12_000_000, 24_000_000
-CHUNK = 1 << 19
+RUN, MERGE = 6_000_000, 10_000_000
+CHUNK = 1 << 16
 SENT = "part int, n int, shared binary, sizes binary, rights binary, places binary, texts binary, tails binary"
 SPANS = "th binary, first int, last int"
 
@@ -283,7 +283,7 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
 
         runs = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
                 if not row["n"]:
                     known = np.frombuffer(row["sizes"], "<i4").reshape(-1, 2)
                     yield spans([row["texts"][16 * i: 16 * i + 16] for i in range(len(known))], known[:, 0], known[:, 1])
@@ -291,17 +291,24 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
                 rights, places = np.frombuffer(row["rights"], "<u2").tolist(), np.frombuffer(row["places"], "<i4").tolist()
                 what = [(r, p, row["texts"][16 * i: 16 * i + 16]) for i, (r, p) in enumerate(zip(rights, places))]
                 runs.append(decoded(np.frombuffer(row["shared"], "<u2"), np.frombuffer(row["sizes"], "<u2"), row["tails"], what))
-        merged = list(merge_runs(runs)) if runs else []
-        if not merged:
+        # kept: the suffixes with a neighbour that has the same gram; copies folded into one are known to be repeats
+        kept, shared, before = [], [], None
+        for x in merge_runs(runs) if runs else ():
+            near = x[1] >= 8 + GRAM
+            if near and before:
+                kept.append(before)
+                shared.append(before[1])
+            if near:
+                kept.append(x)
+                shared.append(x[1])
+            before = None if near else x
+        if not kept:
             return
-        shared = np.array([n for _, n, _ in merged], np.int32) - 8
-        near = shared >= GRAM
-        near |= np.append(near[1:], False)  # with a neighbour that has the same gram; or copies of its own, which are known
-        kept = [x for x, keep in zip(merged, near) if keep]
+        shared = np.array(shared, np.int32) - 8
         right = np.array([x[2][0] for x in kept], np.int32)
         left = np.array([len(x[0]) - 8 for x in kept], np.int32) - right
         # neighbours that were left out share less than a gram with either side
-        least, most = repeats(right, left, np.minimum(shared[near], length), [x[0][8 + x[2][0]:] for x in kept], np.array([x[2][1] < 0 for x in kept], bool), length)
+        least, most = repeats(right, left, np.minimum(shared, length), [x[0][8 + x[2][0]:] for x in kept], np.array([x[2][1] < 0 for x in kept], bool), length)
         hit = [i for i in np.flatnonzero(most >= 0) if kept[i][2][1] >= 0]
         at = np.array([kept[i][2][1] for i in hit], np.int64)
         yield spans([kept[i][2][2] for i in hit], at - most[hit], at - least[hit] + length)
@@ -332,6 +339,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, text: str = "text", crow
     `length` lose nothing. Columns named as the new ones are replaced. Results depend on no doc_id, so null or repeated
     ones do no harm.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.drop("n_bytes", "spans", "kept")
     texts = own.select(F.unhex(F.md5(body)).alias("th"), body.alias("text"))

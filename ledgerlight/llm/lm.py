@@ -1,13 +1,14 @@
 """LM scoring: stupid backoff, computed as joins between n-gram count tables and the documents' n-grams.
 
-Documents are dealt into blocks of a few MB. A block's distinct n-grams, with their counts in it, are sent to the
+Documents are gathered into blocks of a few MB, as they are read. A block's distinct n-grams, with their counts in it, are sent to the
 partition that owns their hash range; there the counts of all blocks are added up (the count table), and each block gets
 the counts of its n-grams back by the same join, in its own order. The block then looks up each position's n-gram, backs
 off where the count is below `min_count`, and sums the logarithms per document.
 
 A block and a hash range exchange two rows, each an array column: sorted hashes as differences and counts, both
-compressed. So a distinct n-gram of a block costs about five bytes, however often it occurs, and hot n-grams cost no
-more than others. Hashes have log2(n-grams) + 24 bits: one n-gram in 2^24 shares its count with another.
+compressed. So a distinct n-gram of a block costs about four bytes, however often it occurs, and hot n-grams cost no
+more than others. Rows are never more than the plain join of exploded n-grams would have. Hashes have
+log2(n-grams) + 20 bits: one n-gram in a million shares its count with another.
 """
 
 from __future__ import annotations
@@ -17,33 +18,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import free_shuffles, table, written
+from ledgerlight.llm.common import free_shuffles, small_batches, table, written
 
 BLOCK = 6_000_000  # bytes of text
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Compressed numbers: their lowest bytes first, then the next, up to the highest that is used."""
+    """Compressed numbers: their lowest bytes, then the next, up to the highest that is used, each compressed by itself."""
     import zstandard
 
     width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+    raw = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    out = [zstandard.compress(raw[:, i].tobytes(), 1) for i in range(width)]
+    return bytes([width]) + np.array(list(map(len, out)), "<u4").tobytes() + b"".join(out)
 
 
 def from_planes(data: bytes, n: int) -> np.ndarray:
     import zstandard
 
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : data[0]] = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], n).T
+    out, at = np.zeros((n, 8), np.uint8), 1 + 4 * data[0]
+    for i, size in enumerate(np.frombuffer(data[1:at], "<u4").tolist()):
+        out[:, i] = np.frombuffer(zstandard.decompress(data[at: at + size]), np.uint8)
+        at += size
     return out.view("<u8").ravel()
 
 
-def block_ngrams(texts: list[str | None], order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def blocks(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, text. Returns block, ids, sizes (bytes of each text; -1: null), texts (compressed), stored."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        number, ids, texts, size = TaskContext.get().partitionId() << 20, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal number, size
+            data = zstandard.compress(b"".join(x or b"" for x in texts), 3)
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            values = [number], [ids[:]], [[-1 if x is None else len(x) for x in texts]], [data]
+            ids.clear(), texts.clear()
+            number, size = number + 1, 0
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], ["block", "ids", "sizes", "texts"])
+
+        for batch in batches:
+            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                ids.append(doc_id)
+                texts.append(None if text is None else text.encode())
+                size += len(text or "")
+                if size >= BLOCK:
+                    yield block()
+        if ids:
+            yield block()
+
+    return written(rows.mapInArrow(gather, "block long, ids array<long>, sizes array<int>, texts binary"), "blocks")
+
+
+def unpacked(sizes: list[int], data: bytes) -> list[bytes]:
+    import zstandard
+
+    raw, at, out = zstandard.decompress(data), 0, []
+    for size in sizes:
+        out.append(raw[at: at + max(0, size)])
+        at += max(0, size)
+    return out
+
+
+def block_ngrams(texts: list[bytes], order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (order, words): that of the n-gram of n words ending at each word, zero where its text has too few before
     it; and the number of words of each text. Hashes are never zero, and those of n-grams differ by n."""
     from xxhash import xxh64_intdigest
@@ -52,7 +97,7 @@ def block_ngrams(texts: list[str | None], order: int, bits: int) -> tuple[np.nda
     place = vocabulary.setdefault
     ids, sizes = [], []
     for text in texts:
-        words = text.encode().lower().split() if text else []
+        words = text.lower().split()
         sizes.append(len(words))
         ids += [place(w, len(vocabulary)) for w in words]
     hashes = np.array([xxh64_intdigest(w) for w in vocabulary] or [0], np.uint64)
@@ -81,17 +126,12 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
     counted and scored, repeated ones too; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     parts = max(1, -(-n_bytes // BLOCK))
-    bits = min(63, math.ceil(math.log2(n_bytes * order)) + 24)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
-    dealt = rows.select(block.alias("to"), "doc_id", "text", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("counts"))
-
-    def distinct(texts: list) -> tuple[np.ndarray, ...]:
-        hashes, sizes = block_ngrams(texts, order, bits)
-        found, inverse, counts = np.unique(hashes.ravel(), return_inverse=True, return_counts=True)
-        return found, inverse.reshape(hashes.shape), counts, sizes
+    bits = min(63, math.ceil(math.log2(n_bytes * order)) + 20)
+    held = blocks(rows)
 
     def owners(found: np.ndarray) -> np.ndarray:
         """Bounds of each partition's hashes in the sorted ones; zero belongs to none."""
@@ -100,21 +140,17 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         return np.searchsorted(found, np.array(edges + [1 << bits], np.uint64))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, to = [], None
         for batch in batches:
-            texts += batch.column(2).to_pylist()
-            to = batch.column(0)[0].as_py() if to is None and len(batch) else to
-        if to is None:
-            return
-        found, _, counts, _ = distinct(texts)
-        bounds = owners(found)
-        for part in range(parts):
-            mine = slice(bounds[part], bounds[part + 1])
-            if n := mine.stop - mine.start:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([to], pa.int32()), pa.array([n], pa.int32()), pa.array([planes(np.diff(found[mine], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(counts[mine])], pa.binary())],
-                    ["part", "block", "n", "hashes", "counts"],
-                )
+            for to, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found, counts = np.unique(block_ngrams(unpacked(sizes, data), order, bits)[0].ravel(), return_counts=True)
+                bounds = owners(found)
+                for part in range(parts):
+                    mine = slice(bounds[part], bounds[part + 1])
+                    if n := int(mine.stop - mine.start):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([part], pa.int32()), pa.array([to], pa.int64()), pa.array([n], pa.int32()), pa.array([planes(np.diff(found[mine], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(counts[mine])], pa.binary())],
+                            ["part", "block", "n", "hashes", "counts"],
+                        )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(r["part"], r["block"], np.cumsum(from_planes(r["hashes"], r["n"])), from_planes(r["counts"], r["n"])) for b in batches for r in b.to_pylist()]
@@ -127,21 +163,23 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         for part, to, hashes, _ in got:
             mine = total[at: at + len(hashes)]
             at += len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([part], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([planes(mine)], pa.binary())], ["to", "part", "n", "counts"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, answers = [], [], {}
-        for batch in batches:
-            # a row is a document or an answer
-            for doc_id, text, part, n, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
-                if counts is None:
-                    ids.append(doc_id)
-                    texts.append(text)
-                else:
-                    answers[part] = from_planes(counts, n)
-        if not ids:
-            return
-        found, inverse, _, sizes = distinct(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([part], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([planes(mine)], pa.binary())], ["to", "part", "n", "counts"])
+
+    def score(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+        for batch in groups:
+            # a row is a block or an answer to one; a partition has all rows of its few blocks
+            for row in batch.to_pylist():
+                waiting.setdefault(row["block"], []).append(row)
+        for block in waiting.values():
+            asked = next(x for x in block if x["texts"] is not None)
+            yield block_scores(asked, {x["part"]: from_planes(x["counts"], x["n"]) for x in block if x["texts"] is None})
+
+    def block_scores(asked: dict, answers: dict) -> pa.RecordBatch:
+        ids = asked["ids"]
+        hashes, sizes = block_ngrams(unpacked(asked["sizes"], asked["texts"]), order, bits)
+        found, inverse = np.unique(hashes.ravel(), return_inverse=True)
+        inverse = inverse.reshape(hashes.shape)
         bounds = owners(found)
         counts = np.zeros(len(found))
         for part, values in answers.items():
@@ -158,16 +196,18 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
             logs[open_ & (found[inverse[n]] != 0)] += math.log(alpha)
         logs[open_] += np.log(counts[0][open_])
         n = len(sizes)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.bincount(doc, logs, n)), pa.array(np.bincount(doc, open_, n).astype(np.int64))],
             ["doc_id", "n_tokens", "logs", "n_bare"],
         )
 
-    asked = dealt.repartitionById(parts, "to").mapInArrow(ask, "part int, block int, n int, hashes binary, counts binary")
-    answers = written(asked.repartitionById(parts, "part").mapInArrow(answer, "to int, part int, n int, counts binary"), "counts")
+    asked = held.select("block", "sizes", "texts").mapInArrow(ask, "part int, block long, n int, hashes binary, counts binary")
+    answers = written(asked.repartitionById(parts, "part").mapInArrow(answer, "block long, part int, n int, counts binary"), "counts")
     free_shuffles(spark)
-    both = dealt.unionByName(answers.select("to", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "part", "n", "counts"))
-    scored = written(both.repartitionById(parts, "to").mapInArrow(score, "doc_id long, n_tokens long, logs double, n_bare long"), "scores")
+    nothing = [F.lit(None).cast(t).alias(k) for k, t in (("ids", "array<long>"), ("sizes", "array<int>"), ("texts", "binary"))]
+    both = held.select("*", *(F.lit(None).cast(t).alias(k) for k, t in (("part", "int"), ("n", "int"), ("counts", "binary")))).unionByName(answers.select("block", *nothing, "part", "n", "counts"))
+    dealt = both.repartitionById(parts, F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    scored = written(dealt.mapInArrow(score, "doc_id long, n_tokens long, logs double, n_bare long"), "scores")
     total = scored.agg(F.sum("n_tokens")).first()[0] or 1
     value = F.col("logs") - F.col("n_bare") * math.log(total)
     return scored.select("doc_id", "n_tokens", value.alias("score"), F.when(F.col("n_tokens") > 0, value / F.col("n_tokens")).alias("per_token"))

@@ -35,7 +35,8 @@ GRAM = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of suffixes that a task sorts at a time, and that it merges.
 RUN, MERGE = 6_000_000, 10_000_000
-CHUNK = 1 << 16
+#: Positions that are hashed, and suffixes of whole groups that are looked at, together.
+CHUNK, GROUPS = 1 << 16, 3000
 SENT = "part int, n int, shared binary, sizes binary, rights binary, places binary, texts binary, tails binary"
 SPANS = "th binary, first int, last int"
 
@@ -291,6 +292,15 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
                 rights, places = np.frombuffer(row["rights"], "<u2").tolist(), np.frombuffer(row["places"], "<i4").tolist()
                 what = [(r, p, row["texts"][16 * i: 16 * i + 16]) for i, (r, p) in enumerate(zip(rights, places))]
                 runs.append(decoded(np.frombuffer(row["shared"], "<u2"), np.frombuffer(row["sizes"], "<u2"), row["tails"], what))
+        def found(kept: list, shared: list) -> pa.RecordBatch:
+            right = np.array([x[2][0] for x in kept], np.int32)
+            left = np.array([len(x[0]) - 8 for x in kept], np.int32) - right
+            near = np.minimum(np.array(shared, np.int32) - 8, length)
+            least, most = repeats(right, left, near, [x[0][8 + x[2][0]:] for x in kept], np.array([x[2][1] < 0 for x in kept], bool), length)
+            hit = [i for i in np.flatnonzero(most >= 0) if kept[i][2][1] >= 0]
+            at = np.array([kept[i][2][1] for i in hit], np.int64)
+            return spans([kept[i][2][2] for i in hit], at - most[hit], at - least[hit] + length)
+
         # kept: the suffixes with a neighbour that has the same gram; copies folded into one are known to be repeats
         kept, shared, before = [], [], None
         for x in merge_runs(runs) if runs else ():
@@ -301,17 +311,12 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
             if near:
                 kept.append(x)
                 shared.append(x[1])
+            elif len(kept) > GROUPS:
+                yield found(kept, shared)
+                kept, shared = [], []
             before = None if near else x
-        if not kept:
-            return
-        shared = np.array(shared, np.int32) - 8
-        right = np.array([x[2][0] for x in kept], np.int32)
-        left = np.array([len(x[0]) - 8 for x in kept], np.int32) - right
-        # neighbours that were left out share less than a gram with either side
-        least, most = repeats(right, left, np.minimum(shared, length), [x[0][8 + x[2][0]:] for x in kept], np.array([x[2][1] < 0 for x in kept], bool), length)
-        hit = [i for i in np.flatnonzero(most >= 0) if kept[i][2][1] >= 0]
-        at = np.array([kept[i][2][1] for i in hit], np.int64)
-        yield spans([kept[i][2][2] for i in hit], at - most[hit], at - least[hit] + length)
+        if kept:
+            yield found(kept, shared)
 
     def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

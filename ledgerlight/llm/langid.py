@@ -10,10 +10,10 @@ The model is fitted on a bounded sample of labelled rows (`sample` per language)
 
 from __future__ import annotations
 
-import math
 import re
 import sys
 import types
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -139,11 +139,12 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     packed = docs.select(F.struct(*kept).alias("row"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex  # a Python worker keeps the scorer, and the words it has seen, for its later tasks
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = sys.modules.setdefault("_ledgerlight_languages", types.ModuleType("_ledgerlight_languages"))
-        if getattr(cache, "of", None) != shared.id if hasattr(shared, "id") else True:
-            cache.scorer, cache.of = Scorer(shared.value), getattr(shared, "id", None)
+        if getattr(cache, "of", None) != name:
+            cache.scorer, cache.of = Scorer(shared.value), name
         for batch in batches:
             found = [cache.scorer.predict(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])

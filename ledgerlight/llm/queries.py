@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerlight.llm.chat import op3_chat
+from ledgerlight.llm.decontam import op7_decontamination
 from ledgerlight.llm.html import op2_html
 from ledgerlight.llm.langid import op1_langid
 from ledgerlight.llm.lm import op9_lm_scoring
@@ -12,5 +13,5 @@ from ledgerlight.llm.sentences import op10_sentence_dedup
 from ledgerlight.llm.simhash import op5_simhash
 from ledgerlight.llm.suffix import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op3_chat, op4_suffix_dedup, op5_simhash, op6_packing, op8_quality, op9_lm_scoring, op10_sentence_dedup)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op3_chat, op4_suffix_dedup, op5_simhash, op6_packing, op7_decontamination, op8_quality, op9_lm_scoring, op10_sentence_dedup)}
 ORACLE_SQL: dict[str, str] = {}

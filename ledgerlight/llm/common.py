@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -51,11 +53,14 @@ def drop_written(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans now, not when the driver next happens to collect garbage."""
-    import gc
+    """Let Spark delete the shuffle files of finished plans now, not when the driver next happens to collect garbage.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    One collection only queues some of the plans that hold them; the next, a moment later, lets go of their files.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def components(edges: DataFrame) -> DataFrame:

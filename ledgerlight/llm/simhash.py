@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import components, drop_written, table, written
+from ledgerlight.llm.common import components, free_shuffles, small_batches, table, written
 
 BYTES = np.uint64(0x0101010101010101)
 
@@ -141,3 +141,134 @@ def simhash_components(fps: DataFrame, m: int = 5, hot: int = 64) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = written(shingle_fingerprints(table(spark, sf_dir, "documents"), 3), "documents")
     return simhash_components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates by the similarity of their word shingles
+
+
+#: Fingerprints of a text, their radius and segments: of pairs with similarity 0.8 about 99 in 100 are within the radius
+#: in one fingerprint at least (measured; more where similarity is higher).
+SEEDS, NEAR, RING = 10, 3, 7
+#: Over all fingerprints together such pairs differ in about 40 of 640 bits, unrelated texts in about 310.
+FAR = 130
+#: Members of a key that are paired; larger ones are split by further segments first.
+PAIRED = 32
+
+
+def word_fingerprints(texts: DataFrame) -> DataFrame:
+    """texts: id, text. Returns id and fps, SEEDS fingerprints (longs) of the set of lower-cased words."""
+    factors = [(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(SEEDS)]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = [set(x.encode().lower().split()) if x else () for x in batch.column(1).to_pylist()]
+            rows = [i for i, x in enumerate(sets) if x]
+            fps = np.zeros((len(sets), SEEDS), np.uint64)
+            if rows:
+                one = np.array([xxh64_intdigest(w) for i in rows for w in sets[i]], np.uint64)
+                sizes = np.array([len(sets[i]) for i in rows])
+                starts = np.cumsum(sizes) - sizes
+                for k, factor in enumerate(factors):
+                    with np.errstate(over="ignore"):
+                        h = (one ^ np.uint64(factor)) * np.uint64(factor)
+                        h ^= h >> np.uint64(32)
+                        h *= np.uint64(0xD6E8FEB86659FD93)
+                        h ^= h >> np.uint64(29)
+                    fps[rows, k] = majority_bits(h, starts)
+            flat = pa.array(fps.view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEEDS, dtype=np.int32)), flat)], ["id", "fps"])
+
+    return texts.select("id", "text").mapInArrow(compute, "id long, fps array<long>")
+
+
+def candidates(sketches: DataFrame) -> DataFrame:
+    """sketches: id, fps, stored. Distinct pairs (u, v), u < v, near in some fingerprint and not far over all of them.
+
+    Keys shared by up to PAIRED texts give all their pairs. Members of larger ones get further keys: of the segments
+    left, at most NEAR differ, so some two of any NEAR + 2 are equal. Keys that are still larger (many near copies of each
+    other) link each member to the least by three different orders only.
+    """
+    parts = segments(RING)
+    mask = lambda chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
+    cut = lambda fp, *chosen: fp.bitwiseAND(F.lit(mask(chosen)))
+    first = sketches.select("id", F.posexplode("fps").alias("seed", "fp")).select("id", "fp", "seed", F.explode(F.array(*(F.struct(F.lit(i).alias("chain"), cut(F.col("fp"), i, i + 1).alias("cut")) for i in range(RING)))).alias("k"))
+    keyed = written(first.select(F.xxhash64("seed", "k.chain", "k.cut").alias("key"), F.col("k.chain").alias("chain"), "id", "fp"), "keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = keyed.join(sizes, "key")
+    rest = [(a, b) for a in range(2, RING) for b in range(a + 1, RING)]
+    finer = sized.where(F.col("n") > PAIRED).select("key", "chain", "id", "fp", F.explode(F.array(*(F.struct(F.lit(x).alias("c"), F.array(*(cut(F.col("fp"), i + a, i + b) for i in range(RING)))[F.col("chain")].alias("cut")) for x, (a, b) in enumerate(rest)))).alias("k"))
+    finer = finer.select(F.xxhash64("key", "k.c", "k.cut").alias("key"), "chain", "id", "fp")
+    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("id", F.lit(s)), "id")).alias(f"least{s}") for s in range(3))).where("n > 1")
+    resized = finer.join(finer_sizes, "key")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        left, right = (rows.select("key", "chain", F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "uv")
+        differ = F.expr("fp_u ^ fp_v")
+        chains = F.array(*(F.array(*(F.lit(mask(range(i, i + n))) for n in range(3, RING + 1))) for i in range(RING)))[F.col("chain")]
+        within = reduce(lambda a, b: a & b, (F.bit_count(differ.bitwiseAND(chains[k])) <= (k + 3) * NEAR // RING for k in range(RING - 2)))
+        return left.join(right.drop("chain"), "key").where((F.col("u") < F.col("v")) & within).select("u", "v")
+
+    stars = resized.where(F.col("n") > PAIRED).select("id", F.explode(F.array(*(F.col(f"least{s}.id") for s in range(3)))).alias("other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).where("u < v")
+    found = pairs(sized.where(F.col("n") <= PAIRED)).unionByName(pairs(resized.where(F.col("n") <= PAIRED))).unionByName(stars).distinct()
+    bits = F.aggregate(F.zip_with("fps", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return (
+        found.join(sketches.select(F.col("id").alias("u"), "fps"), "u").join(sketches.select(F.col("id").alias("v"), F.col("fps").alias("fps_v")), "v")
+        .where(bits <= FAR).select("u", "v")
+    )
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs whose texts have so much Jaccard similarity of their sets of word shingles."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(text: str) -> set:
+            words = text.lower().split()
+            return set(zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else {tuple(words)}
+
+        kept: dict[int, set] = {}
+        for batch in batches:
+            yes = []
+            for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if u not in kept:
+                    kept.clear()
+                    kept[u] = shingles(a)
+                other = shingles(b)
+                both = len(kept[u] & other)
+                yes.append(both >= similarity * (len(kept[u]) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(yes)), batch.column(1).filter(pa.array(yes))], ["u", "v"])
+
+    of = lambda x, name: texts.select(F.col("id").alias(x), F.col("text").alias(name))
+    both = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b")
+    return both.mapInArrow(compare, "u long, v long")
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group of near-duplicates the one with the least (doc_id, text hash).
+
+    Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles (lower-cased, split at white
+    space) is `similarity` or more; groups are what links connect. Candidates come from SEEDS SimHash fingerprints by
+    pigeonring filtering. Copies count as one text, so their number does not matter. Null and empty texts are alike, and
+    one row of them stays; of rows repeated in doc_id and text one stays. All columns are returned as they are.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(body).alias("id"), F.col("doc_id"), body.alias("text"))
+    one = F.struct("doc_id")
+    # one text of each id: the row with the least doc_id brings it
+    copies = written(rows.groupBy("id").agg(F.min(one).alias("least"), F.count("*").alias("n")), "copies")
+    sketches = written(word_fingerprints(rows.select("id", "text")).dropDuplicates(["id"]), "sketches")
+    pairs = written(candidates(sketches), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = written(rows.join(wanted, "id").select("id", "text").dropDuplicates(["id"]), "texts")
+    roots = components(verified(pairs, texts, shingle, similarity)).withColumnRenamed("node", "id")
+    grouped = copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    best = grouped.groupBy("root").agg(F.min(F.struct("least", "id")).alias("best")).select("best.id", F.col("best.least").alias("least"), F.lit(True).alias("stays"))
+    stays = best.join(copies.select("id", "n"), "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"), "n")
+    free_shuffles(spark)
+    kept = docs.join(stays, (F.xxhash64(body) == F.col("t")) & docs["doc_id"].eqNullSafe(F.col("d")))
+    # rows repeated as they are
+    again = rows.groupBy("id", "doc_id").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["t", "d"]) if again else kept).select(*(docs[c] for c in docs.columns))

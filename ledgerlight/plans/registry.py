@@ -1,4 +1,6 @@
 """All registered queries, and for each the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ledgerlight.plans import indicators  # noqa: F401
+from ledgerlight.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ledgerlight.functions.scalars import wilson
 
@@ -33,7 +34,7 @@ def coverage_tiers(universe: DataFrame, key: str, **evidence: DataFrame) -> Data
 def zero_filled(rows: DataFrame, column: str, levels: list) -> DataFrame:
     """column, n: a count for every level, zero if no row has it."""
     kind = rows.schema[column].dataType
-    domain = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, levels))).cast(kind).alias(column))
+    domain = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, levels)).cast(ArrayType(kind))).alias(column))
     return domain.join(rows.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

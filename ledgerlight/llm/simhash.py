@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import components, free_shuffles, small_batches, table, written
+from ledgerlight.llm.common import components, drop_written, free_shuffles, small_batches, table, written
 
 BYTES = np.uint64(0x0101010101010101)
 
@@ -146,12 +146,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near duplicates by the similarity of their word shingles
 
 
-#: Fingerprints of a text, their radius and segments: of pairs with similarity 0.8 about 99 in 100 are within the radius
-#: in one fingerprint at least (measured; more where similarity is higher).
-SEEDS, NEAR, RING = 10, 3, 7
-#: Over all fingerprints together such pairs differ in about 40 of 640 bits, unrelated texts in about 310.
-FAR = 130
-#: Members of a key that are paired; larger ones are split by further segments first.
+#: Fingerprints of a text; segments of each, of which two neighbours make a key. Pairs of texts that are within two bits in
+#: any fingerprint share a key for certain; of pairs with similarity 0.8, which mostly differ in more, about 99 in 100 do.
+SEEDS, RING = 8, 5
+#: Over all fingerprints together pairs with similarity 0.8 differ in about 31 of 512 bits, unrelated texts in about 248.
+FAR = 107
+#: Members of a key that are paired; larger ones are split by a further segment first.
 PAIRED = 32
 
 
@@ -184,33 +184,29 @@ def word_fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """sketches: id, fps, stored. Distinct pairs (u, v), u < v, near in some fingerprint and not far over all of them.
+    """sketches: id, fps, stored. Distinct pairs (u, v), u < v, that share a key and are not far over all fingerprints.
 
-    Keys shared by up to PAIRED texts give all their pairs. Members of larger ones get further keys: of the segments
-    left, at most NEAR differ, so some two of any NEAR + 2 are equal. Keys that are still larger (many near copies of each
-    other) link each member to the least by three different orders only.
+    Keys shared by up to PAIRED texts give all their pairs. Members of larger ones are keyed by each further segment too.
+    Keys that are still larger (many near copies of each other) link each member to the least by three different orders.
     """
     parts = segments(RING)
-    mask = lambda chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
-    cut = lambda fp, *chosen: fp.bitwiseAND(F.lit(mask(chosen)))
-    first = sketches.select("id", F.posexplode("fps").alias("seed", "fp")).select("id", "fp", "seed", F.explode(F.array(*(F.struct(F.lit(i).alias("chain"), cut(F.col("fp"), i, i + 1).alias("cut")) for i in range(RING)))).alias("k"))
-    keyed = written(first.select(F.xxhash64("seed", "k.chain", "k.cut").alias("key"), F.col("k.chain").alias("chain"), "id", "fp"), "keys")
+    mask = lambda *chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
+    keyed_by = lambda *masks: F.explode(F.array(*(F.struct(F.lit(i).alias("chain"), F.xxhash64("seed", F.lit(i), *(F.col("fp").bitwiseAND(F.lit(m)) for m in masks_)).alias("key")) for i, masks_ in enumerate(masks)))).alias("k")
+    each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"))
+    keyed = written(each.select("id", keyed_by(*((mask(i, i + 1),) for i in range(RING)))).select("k.key", "id"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(sizes, "key")
-    rest = [(a, b) for a in range(2, RING) for b in range(a + 1, RING)]
-    finer = sized.where(F.col("n") > PAIRED).select("key", "chain", "id", "fp", F.explode(F.array(*(F.struct(F.lit(x).alias("c"), F.array(*(cut(F.col("fp"), i + a, i + b) for i in range(RING)))[F.col("chain")].alias("cut")) for x, (a, b) in enumerate(rest)))).alias("k"))
-    finer = finer.select(F.xxhash64("key", "k.c", "k.cut").alias("key"), "chain", "id", "fp")
-    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("id", F.lit(s)), "id")).alias(f"least{s}") for s in range(3))).where("n > 1")
-    resized = finer.join(finer_sizes, "key")
+    sized = written(keyed.join(sizes, "key"), "keys")
+    drop_written(keyed)
 
     def pairs(rows: DataFrame) -> DataFrame:
-        left, right = (rows.select("key", "chain", F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "uv")
-        differ = F.expr("fp_u ^ fp_v")
-        chains = F.array(*(F.array(*(F.lit(mask(range(i, i + n))) for n in range(3, RING + 1))) for i in range(RING)))[F.col("chain")]
-        within = reduce(lambda a, b: a & b, (F.bit_count(differ.bitwiseAND(chains[k])) <= (k + 3) * NEAR // RING for k in range(RING - 2)))
-        return left.join(right.drop("chain"), "key").where((F.col("u") < F.col("v")) & within).select("u", "v")
-
-    stars = resized.where(F.col("n") > PAIRED).select("id", F.explode(F.array(*(F.col(f"least{s}.id") for s in range(3)))).alias("other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).where("u < v")
+        left, right = (rows.select("key", F.col("id").alias(x)) for x in "uv")
+        return left.join(right, "key").where("u < v").select("u", "v")
+
+    crowded = sized.where(F.col("n") > PAIRED).select("id").distinct()
+    finer = each.join(crowded, "id").select("id", keyed_by(*((mask(i, i + 1), mask(i + j)) for i in range(RING) for j in (2, 3, 4)))).select("k.key", "id")
+    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("h"), "id")).alias(f"least{s}") for s in range(3))).where("n > 1")
+    resized = written(finer.join(finer_sizes, "key"), "keys")
+    stars = resized.where(F.col("n") > PAIRED).select("id", F.explode(F.array(*(F.col(f"least{s}.id") for s in range(3)))).alias("other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).where("u < v").distinct()
     found = pairs(sized.where(F.col("n") <= PAIRED)).unionByName(pairs(resized.where(F.col("n") <= PAIRED))).unionByName(stars).distinct()
     bits = F.aggregate(F.zip_with("fps", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return (
@@ -262,7 +258,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     sketches = written(word_fingerprints(rows.select("id", "text")).dropDuplicates(["id"]), "sketches")
     pairs = written(candidates(sketches), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    free_shuffles(spark)
     texts = written(rows.join(wanted, "id").select("id", "text").dropDuplicates(["id"]), "texts")
+    free_shuffles(spark)
     roots = components(verified(pairs, texts, shingle, similarity)).withColumnRenamed("node", "id")
     grouped = copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = grouped.groupBy("root").agg(F.min(F.struct("least", "id")).alias("best")).select("best.id", F.col("best.least").alias("least"), F.lit(True).alias("stays"))

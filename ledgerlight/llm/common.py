@@ -10,14 +10,25 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def row_and(packed: DataFrame, more: str) -> StructType:
+    """The schema of packed's struct column `row`, followed by further fields in DDL."""
+    return StructType([packed.schema["row"], *StructType.fromDDL(more).fields])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds of long texts: fewer rows to an Arrow batch than Spark's default, unless set lower."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

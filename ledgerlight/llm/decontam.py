@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import small_batches, table
+from ledgerlight.llm.common import named, row_and, small_batches, table
 
 BLOCKS = 8  # of eight bits
 PART = 2_000_000
@@ -174,8 +174,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simil
     spark = docs.sparkSession
     small_batches(spark)
     kept = [c for c in docs.columns if c != "matches"]
-    kind = f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"
-    out = docs.select(*kept)
+    kind = "array<struct<" + MATCH.replace(", ", ",").replace(" ", ":") + ">>"
+    out = docs.select(*named(kept))
     names = []
     for number, items in enumerate(parts_of(benchmark)):
         shared = spark.sparkContext.broadcast(items)
@@ -187,11 +187,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simil
                 rows = [[dict(zip((f.name for f in fields), m)) for m in index.matches(x)] for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(fields))], ["row", "found"])
 
-        packed = out.select(F.struct(*out.columns).alias("row"), F.col(text).cast("string").alias("text"))
+        packed = out.select(F.struct(*named(out.columns)).alias("row"), F.col(text).cast("string").alias("text"))
         names.append(f"matches-{number}")
-        out = packed.mapInArrow(search, f"row {packed.schema['row'].dataType.simpleString()}, found {kind}").select(*(F.col("row")[c].alias(c) for c in out.columns), F.col("found").alias(names[-1]))
-    matches = F.flatten(F.array(*map(F.col, names))) if names else F.array().cast(kind)
-    return out.select(*kept, matches.alias("matches"))
+        out = packed.mapInArrow(search, row_and(packed, f"found {kind}")).select(*(F.col("row")[c].alias(c) for c in out.columns), F.col("found").alias(names[-1]))
+    matches = F.flatten(F.array(*named(names))) if names else F.array().cast(kind)
+    return out.select(*named(kept), matches.alias("matches"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import small_batches, table
+from ledgerlight.llm.common import named, row_and, small_batches, table
 
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*)(?:>|\Z))""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -187,13 +187,14 @@ def hidden(node: Node) -> bool:
 
 def render(node: Node, page: Page, shown: bool = True, exact: bool = False) -> None:
     """shown: CSS visibility, which is inherited and can be set anew below."""
+    closed = node.tag == "details" and "open" not in node.attrs
     for child in node.children:
         if isinstance(child, str):
-            if shown:
+            if shown and not closed:
                 page.exact(child) if exact else page.text(child)
             continue
         tag = child.tag
-        if hidden(child) or node.tag == "details" and "open" not in node.attrs and tag != "summary":
+        if hidden(child) or closed and tag != "summary":
             continue
         style = child.attrs.get("style")
         said = VISIBILITY.search(style) if style else None
@@ -329,15 +330,14 @@ def extract_html(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, "text")]
-    packed = pages.select(F.struct(*kept).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row"), F.col(html).cast("string").alias("html"))
+    packed = pages.select(F.struct(*named(kept)).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row"), F.col(html).cast("string").alias("html"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [None if x is None else html_text(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string"
-    return packed.mapInArrow(extract, schema).select(*(F.col("row")[c].alias(c) for c in kept), "text")
+    return packed.mapInArrow(extract, row_and(packed, "text string")).select(*(F.col("row")[c].alias(c) for c in kept), "text")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:

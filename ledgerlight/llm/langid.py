@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import small_batches, table
+from ledgerlight.llm.common import named, row_and, small_batches, table
 
 LONGEST = 4
 CACHE = 200_000
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    packed = docs.select(F.struct(*kept).alias("row"), F.col(text).cast("string").alias("text"))
+    packed = docs.select(F.struct(*named(kept)).alias("row"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex  # a Python worker keeps the scorer, and the words it has seen, for its later tasks
 
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             found = [cache.scorer.predict(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    out = packed.mapInArrow(predict, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = packed.mapInArrow(predict, row_and(packed, "lang_pred string, score double"))
     return out.select(*(F.col("row")[c].alias(c) for c in kept), "lang_pred", "score")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import free_shuffles, small_batches, table, written
+from ledgerlight.llm.common import free_shuffles, named, small_batches, table, written
 
 GRAM = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -351,8 +351,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, text: str = "text", crow
     anchors = written(find_anchors(texts, length), "grams")
     spans = repeated_spans(texts, anchors, length, crowd)
     columns = own.columns
-    keyed = own.select(F.unhex(F.md5(body)).alias("th"), F.struct(*columns).alias("row"))
-    joined = keyed.join(spans, "th", "left").select("row.*", F.array_sort(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))).alias("spans"))
+    keyed = own.select(F.unhex(F.md5(body)).alias("th"), F.struct(*named(columns)).alias("row"))
+    joined = keyed.join(spans, "th", "left").select(*(F.col("row")[c].alias(c) for c in columns), F.array_sort(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))).alias("spans"))
     # ranges in order: fold those that touch into one
     last = F.col("spans")
     folded = F.aggregate(
@@ -363,7 +363,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, text: str = "text", crow
         ).otherwise(F.concat(done, F.array(x))),
     )
     data = F.encode(body, "utf-8")
-    with_spans = joined.select(*columns, F.octet_length(body).cast("long").alias("n_bytes"), F.when(F.size("spans") > 0, folded).otherwise(F.col("spans")).alias("spans"))
+    with_spans = joined.select(*named(columns), F.octet_length(body).cast("long").alias("n_bytes"), F.when(F.size("spans") > 0, folded).otherwise(F.col("spans")).alias("spans"))
     # the kept parts lie before each removed run and behind the last
     ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["last"]))
     starts = F.concat(F.transform("spans", lambda x: x["first"]), F.array(F.octet_length(body)))

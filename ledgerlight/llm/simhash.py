@@ -18,7 +18,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import components, drop_written, free_shuffles, small_batches, table, written
@@ -151,8 +151,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEDS, RING = 8, 5
 #: Over all fingerprints together pairs with similarity 0.8 differ in about 31 of 512 bits, unrelated texts in about 248.
 FAR = 107
-#: Members of a key that are paired; larger ones are split by a further segment first.
-PAIRED = 32
+#: Members of a key that are all paired. In larger ones each is paired with the next AHEAD by each of two other fingerprints.
+PAIRED, AHEAD = 8, 2
 
 
 def word_fingerprints(texts: DataFrame) -> DataFrame:
@@ -186,28 +186,30 @@ def word_fingerprints(texts: DataFrame) -> DataFrame:
 def candidates(sketches: DataFrame) -> DataFrame:
     """sketches: id, fps, stored. Distinct pairs (u, v), u < v, that share a key and are not far over all fingerprints.
 
-    Keys shared by up to PAIRED texts give all their pairs. Members of larger ones are keyed by each further segment too.
-    Keys that are still larger (many near copies of each other) link each member to the least by three different orders.
+    Keys shared by up to PAIRED texts give all their pairs. In larger ones (many near copies of each other) all pairs would
+    be a square of the group; there each text is paired with its neighbours in the order of two further fingerprints,
+    which put near ones side by side, and with the least of the key. As each text has many keys and groups are what
+    links connect, a group is still found whole where its links are many; a lone link inside a large key can be missed.
     """
     parts = segments(RING)
     mask = lambda *chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
-    keyed_by = lambda *masks: F.explode(F.array(*(F.struct(F.lit(i).alias("chain"), F.xxhash64("seed", F.lit(i), *(F.col("fp").bitwiseAND(F.lit(m)) for m in masks_)).alias("key")) for i, masks_ in enumerate(masks)))).alias("k")
-    each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"))
-    keyed = written(each.select("id", keyed_by(*((mask(i, i + 1),) for i in range(RING)))).select("k.key", "id"), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"), "fps")
+    key = lambda i: F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(mask(i, i + 1))))
+    keyed = written(each.select("id", F.explode(F.array(*(F.struct(key(i).alias("key"), F.col("seed").alias("seed")) for i in range(RING)))).alias("k")).select("k.key", "k.seed", "id"), "keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
     sized = written(keyed.join(sizes, "key"), "keys")
     drop_written(keyed)
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        left, right = (rows.select("key", F.col("id").alias(x)) for x in "uv")
-        return left.join(right, "key").where("u < v").select("u", "v")
-
-    crowded = sized.where(F.col("n") > PAIRED).select("id").distinct()
-    finer = each.join(crowded, "id").select("id", keyed_by(*((mask(i, i + 1), mask(i + j)) for i in range(RING) for j in (2, 3, 4)))).select("k.key", "id")
-    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("id", F.lit(s)).alias("h"), "id")).alias(f"least{s}") for s in range(3))).where("n > 1")
-    resized = written(finer.join(finer_sizes, "key"), "keys")
-    stars = resized.where(F.col("n") > PAIRED).select("id", F.explode(F.array(*(F.col(f"least{s}.id") for s in range(3)))).alias("other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).where("u < v").distinct()
-    found = pairs(sized.where(F.col("n") <= PAIRED)).unionByName(pairs(resized.where(F.col("n") <= PAIRED))).unionByName(stars).distinct()
+    few = sized.where(F.col("n") <= PAIRED)
+    left, right = (few.select("key", F.col("id").alias(x)) for x in "uv")
+    pairs = left.join(right, "key").where("u < v").select("u", "v")
+    many = sized.where(F.col("n") > PAIRED).join(sketches, "id")
+    others = []
+    for turn in (1, 2):
+        w = Window.partitionBy("key").orderBy(F.col("fps")[(F.col("seed") + turn) % SEEDS], "id")
+        others += [F.lead("id", step).over(w).alias(f"next{turn}{step}") for step in range(1, AHEAD + 1)]
+    beside = many.select("id", "least", *others)
+    beside = beside.select("id", F.explode(F.array("least", *(c for c in beside.columns if c.startswith("next")))).alias("other")).where("other <> id")
+    found = pairs.unionByName(beside.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))).distinct()
     bits = F.aggregate(F.zip_with("fps", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return (
         found.join(sketches.select(F.col("id").alias("u"), "fps"), "u").join(sketches.select(F.col("id").alias("v"), F.col("fps").alias("fps_v")), "v")

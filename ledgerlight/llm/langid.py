@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import named, row_and, small_batches, table
 
 LONGEST = 4
-CACHE = 200_000
+CACHE = 100_000
 
 
 def letters():

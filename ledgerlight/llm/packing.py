@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, loss_tokens long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Cached words in a worker; a bound on its memory, without any effect on the ids.
-CACHE = 300_000
+CACHE = 150_000
 
 
 def encoder(path: str) -> Callable[[str], bytes]:

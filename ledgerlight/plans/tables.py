@@ -308,17 +308,15 @@ def p01(spark, sf_dir):
 
 @query("p05_verbatim", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def p05(spark, sf_dir):
-    """Which documents quote which items word for word: candidates share the item's first words, then the whole is compared."""
+    """Which documents quote which items word for word. An item may begin or end within a word of a document, but its inner
+    words stand there whole: documents that have the longest of these are candidates, and then the whole is compared."""
     t = Tables(spark, sf_dir)
-    head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    items = t.read("benchmark").select("item_id", F.col("text").alias("quote"), head.alias("head"))
     words = F.split("text", " ")
-    # an item may begin within a word of the document, so only its second to fourth words must stand there whole
-    inner = F.array_join(F.slice(F.split("quote", " "), 2, 3), " ")
-    keyed = items.withColumn("key", inner).drop("head")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " ")))
-    near = t.read("documents").select("doc_id", F.explode(runs).alias("key")).join(F.broadcast(keyed), "key").select("doc_id", "item_id", "quote").distinct()
-    return near.join(t.read("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    items = t.read("benchmark").select("item_id", F.col("text").alias("quote"), F.array_max(inner)["w"].alias("word"))
+    docs = t.read("documents").select("doc_id", "text")
+    near = docs.select("doc_id", F.explode(words).alias("word")).join(items, "word").select("doc_id", "item_id", "quote").distinct()
+    return near.join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
 
 
 @query("p05_near")

@@ -114,7 +114,7 @@ def d22(spark, sf_dir):
 @query("e06_sentence_windows", """WITH s AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\x01', 'g'), '\x01'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark), w AS (SELECT item_id, unnest([1, 2, 3]) AS n, s FROM s)
 SELECT item_id, n, array_to_string(s[i:i + n - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(s) - n + 2)) AS i FROM w)""")
 def e06(spark, sf_dir):
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
     runs = Tables(spark, sf_dir).read("benchmark").select("item_id", parts.alias("s"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where(F.size("s") >= F.col("n"))
     return runs.select("item_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("s") - F.col("n") + 1), lambda i: F.array_join(F.slice("s", i, F.col("n")), " "))).alias("run"))
 

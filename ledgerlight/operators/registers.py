@@ -126,3 +126,101 @@ def contested(members: DataFrame, officers_: DataFrame) -> DataFrame:
     claims = joined.withColumn("tier", tier).where("tier IS NOT NULL").select("member", "officer", "tier").distinct()
     single = claims.groupBy("officer").agg(F.count_distinct("member").alias("claimants")).where("claimants = 1").select("officer")
     return claims.join(single, "officer", "left_semi").withColumn("confidence", F.when(F.col("tier") == "forename", 0.85).otherwise(0.6))
+
+
+def appointments(rows: DataFrame, persons: DataFrame, company: DataFrame) -> DataFrame:
+    """officer_id, company_number, valid_from, valid_to, status of second-hop appointments: persons are never created, companies
+    must exist, and dates that contradict each other are both left out.
+
+    rows: officer_id, company_number, appointed, resigned; persons: officer_id."""
+    known = company.select(F.col("company_number").alias("known")).distinct()
+    mine = rows.join(persons.select("officer_id").distinct(), "officer_id", "left_semi").join(known, normalise_company_number(F.col("company_number")) == F.col("known"))
+    since, until = any_date("appointed", "yyyy-MM-dd"), any_date("resigned", "yyyy-MM-dd")
+    wrong = F.coalesce(until < since, F.lit(False))
+    ended = F.nullif(F.trim("resigned"), F.lit("")).isNotNull()
+    status = F.when(wrong, "inconsistent_source_dates").when(ended & until.isNull(), "ended_date_unknown").when(ended, "ended").otherwise("serving")
+    return mine.select("officer_id", F.col("known").alias("company_number"), F.when(~wrong, since).alias("valid_from"), F.when(~wrong, until).alias("valid_to"), status.alias("status")).distinct()
+
+
+def overseas_owners(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of corporate owners and managing officers (entity, other, edge_type), and a count of the individuals still in
+    place, of whom nothing else is kept. rows: entity, role (owner, officer), kind, name, number, ceased."""
+    corporate = F.contains(F.lower("kind"), F.lit("corporate")) | F.contains(F.lower("kind"), F.lit("legal-person"))
+    other = F.coalesce(normalise_company_number(F.col("number")), F.concat_ws(":", "entity", normalise_name(F.col("name"))))
+    edges = rows.where(F.coalesce(corporate, F.lit(False))).select("entity", other.alias("other"), F.when(F.col("role") == "owner", "ownership").otherwise("officer_of").alias("edge_type")).distinct()
+    people = rows.where(~F.coalesce(corporate, F.lit(False)) & (F.coalesce("ceased", F.lit("")) == "")).groupBy("entity").agg(F.count("*").alias("individuals"))
+    return edges, people
+
+
+def register_pages(pages: DataFrame) -> DataFrame:
+    """page, member_id, name, place, category, description of a register's HTML: one row per entry. Members without
+    registrable interests have none. pages: page, html."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    kind = "page string, member_id string, name string, place int, category string, description string"
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from html.parser import HTMLParser
+
+        void = {"br", "img", "input", "link", "meta", "hr", "source", "wbr"}
+
+        class Register(HTMLParser):
+            def __init__(self):
+                super().__init__(convert_charrefs=True)
+                self.stack, self.members, self.text = [], [], None
+
+            def handle_starttag(self, tag, attrs):
+                attrs = dict(attrs)
+                classes = (attrs.get("class") or "").split()
+                role = None
+                if "member/" in (attrs.get("href") or ""):
+                    found = attrs["href"].split("member/", 1)[1]
+                    self.members.append({"id": found[: len(found) - len(found.lstrip("0123456789"))] or None, "name": "", "entries": [], "category": "", "nil": False})
+                elif self.members and "primary-info" in classes:
+                    role = "category" if any(r == "child" for _, r in self.stack) else "name"
+                elif self.members and "card-child" in classes:
+                    role = "child"
+                elif self.members and tag == "li":
+                    role = "li"
+                if role in ("category", "name", "li"):
+                    self.text = []
+                if tag not in void:
+                    self.stack.append((tag, role))
+
+            def handle_data(self, data):
+                if self.text is not None:
+                    self.text.append(data.strip())
+                if self.members and "No registrable interests" in data:
+                    self.members[-1]["nil"] = True
+
+            def handle_endtag(self, tag):
+                while self.stack and any(t == tag for t, _ in self.stack):
+                    last, role = self.stack.pop()
+                    if role in ("category", "name", "li"):
+                        said, self.text = "".join(self.text or ()), None
+                        member = self.members[-1]
+                        if role == "li":
+                            if said and member["category"]:
+                                member["entries"].append((member["category"], said))
+                        elif not member[role]:
+                            member[role] = said
+                        elif role == "category":
+                            member["category"] = said
+                    if last == tag:
+                        return
+
+        for batch in batches:
+            out = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parser = Register()
+                parser.feed(html or "")
+                parser.close()
+                for m in parser.members:
+                    found = [] if m["nil"] else m["entries"]
+                    out += [{"page": page, "member_id": m["id"], "name": m["name"], "place": i, "category": c, "description": d} for i, (c, d) in enumerate(found)]
+            schema = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.string()) for x in kind.split(", ")])
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return pages.select(F.col("page").cast("string").alias("page"), "html").mapInArrow(parse, kind)

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,38 @@ def row_and(packed: DataFrame, more: str) -> StructType:
     return StructType([packed.schema["row"], *StructType.fromDDL(more).fields])
 
 
+def with_row(df: DataFrame, text: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """df as a struct column `row` of all columns but those named, and `text` as a string; and the names in row. A text that
+    is in row as a string is not sent a second time: texts_of() finds it."""
+    kept = [c for c in df.columns if c not in without]
+    row = F.struct(*named(kept)).alias("row") if kept else F.struct(F.lit(0).alias("_")).alias("row")
+    if text in kept and df.schema[text].dataType.simpleString() == "string":
+        return df.select(row), kept
+    return df.select(row, named([text])[0].cast("string").alias("text")), kept
+
+
+def texts_of(batch, text: str) -> list:
+    return (batch.column(1) if batch.num_columns > 1 else batch.column(0).field(text)).to_pylist()
+
+
+def kept_by_worker(name: str, build: Callable[[], object]):
+    """What build() gives, kept by the Python worker for its later tasks. A worker keeps one such thing at a time; with an
+    empty name it only lets go of what it has, and gives freed memory back to the system."""
+    import ctypes
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_ledgerlight_kept", types.ModuleType("_ledgerlight_kept"))
+    if getattr(kept, "of", "") != name or not name:
+        kept.of, kept.value = name, None
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+        kept.value = build() if name else None
+    return kept.value
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds of long texts: fewer rows to an Arrow batch than Spark's default, unless set lower."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import named, row_and, small_batches, table
+from ledgerlight.llm.common import kept_by_worker, named, row_and, small_batches, table, texts_of, with_row
 
 BLOCKS = 8  # of eight bits
 PART = 2_000_000
@@ -181,15 +181,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simil
         shared = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, n=number) -> Iterator[pa.RecordBatch]:
+            kept_by_worker("", lambda: None)
             index = Index(shared.value, shingle, radius, similarity)
             fields = pa.struct([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]]) for f in MATCH.split(", ")])
             for batch in batches:
-                rows = [[dict(zip((f.name for f in fields), m)) for m in index.matches(x)] for x in batch.column(1).to_pylist()]
+                rows = [[dict(zip((f.name for f in fields), m)) for m in index.matches(x)] for x in texts_of(batch, text)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(fields))], ["row", "found"])
 
-        packed = out.select(F.struct(*named(out.columns)).alias("row"), F.col(text).cast("string").alias("text"))
+        packed, columns = with_row(out, text)
         names.append(f"matches-{number}")
-        out = packed.mapInArrow(search, row_and(packed, f"found {kind}")).select(*(F.col("row")[c].alias(c) for c in out.columns), F.col("found").alias(names[-1]))
+        out = packed.mapInArrow(search, row_and(packed, f"found {kind}")).select(*(F.col("row")[c].alias(c) for c in columns), F.col("found").alias(names[-1]))
     matches = F.flatten(F.array(*named(names))) if names else F.array().cast(kind)
     return out.select(*named(kept), matches.alias("matches"))
 

@@ -11,8 +11,6 @@ The model is fitted on a bounded sample of labelled rows (`sample` per language)
 from __future__ import annotations
 
 import re
-import sys
-import types
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import named, row_and, small_batches, table
+from ledgerlight.llm.common import kept_by_worker, row_and, small_batches, table, texts_of, with_row
 
 LONGEST = 4
 CACHE = 100_000
@@ -130,23 +128,20 @@ class Scorer:
         return self.langs[best], float(likely[best] / likely.sum())
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """All columns of docs, and lang_pred, score (0 to 1); columns of these names are replaced.
+def identify(docs: DataFrame, model: dict, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of docs but those in `without`, and lang_pred, score (0 to 1); columns of these names are replaced.
 
     Null texts and texts without a letter, and all texts if the model has no language, are `und` with score 0.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    packed = docs.select(F.struct(*named(kept)).alias("row"), F.col(text).cast("string").alias("text"))
+    packed, kept = with_row(docs, text, ("lang_pred", "score", *without))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex  # a Python worker keeps the scorer, and the words it has seen, for its later tasks
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = sys.modules.setdefault("_ledgerlight_languages", types.ModuleType("_ledgerlight_languages"))
-        if getattr(cache, "of", None) != name:
-            cache.scorer, cache.of = Scorer(shared.value), name
+        scorer = kept_by_worker(name, lambda: Scorer(shared.value))
         for batch in batches:
-            found = [cache.scorer.predict(x) for x in batch.column(1).to_pylist()]
+            found = [scorer.predict(x) for x in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 
     out = packed.mapInArrow(predict, row_and(packed, "lang_pred string, score double"))
@@ -161,4 +156,4 @@ def held_out(doc_id: str = "doc_id"):
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = fit(docs.where("NOT held_out"))
-    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "held_out", "text"), model, without=("text",)).select("doc_id", "held_out", "lang_pred", "score")

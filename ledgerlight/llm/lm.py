@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import free_shuffles, small_batches, table, written
+from ledgerlight.llm.common import free_shuffles, kept_by_worker, small_batches, table, written
 
 BLOCK = 6_000_000  # bytes of text
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,6 +166,7 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
             yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([part], pa.int32()), pa.array([len(mine)], pa.int32()), pa.array([planes(mine)], pa.binary())], ["to", "part", "n", "counts"])
 
     def score(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("", lambda: None)
         waiting: dict[int, list] = {}
         for batch in groups:
             # a row is a block or an answer to one; a partition has all rows of its few blocks

@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import base64
 import json
-import sys
-import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.llm.common import kept_by_worker, table
+
 SCHEMA = "doc_id long, start long, length long, loss_tokens long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Cached words in a worker; a bound on its memory, without any effect on the ids.
 CACHE = 150_000
@@ -69,10 +69,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
 def worker_encoder(path: str) -> Callable[[str], bytes]:
     """encoder(path), kept by the Python worker for its later tasks."""
-    kept = sys.modules.setdefault("_ledgerlight_encoders", types.ModuleType("_ledgerlight_encoders"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = encoder(path)
-    return kept.__dict__[path]
+    return kept_by_worker(path, lambda: encoder(path))
 
 
 class Packer:
@@ -212,7 +209,5 @@ def pack_documents(
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from ledgerlight.llm.common import table
-
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import components, drop_written, free_shuffles, small_batches, table, written
+from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, small_batches, table, written
 
 BYTES = np.uint64(0x0101010101010101)
 
@@ -226,6 +226,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             return set(zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else {tuple(words)}
 
         kept: dict[int, set] = {}
+        kept_by_worker("", lambda: None)
         for batch in batches:
             yes = []
             for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import free_shuffles, named, small_batches, table, written
+from ledgerlight.llm.common import free_shuffles, kept_by_worker, named, small_batches, table, written
 
 GRAM = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -228,6 +228,7 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
         names = ["part", "n", "shared", "sizes", "rights", "places", "texts", "tails"]
         held: dict[tuple[bytes, int], list] = {}
         size = 0
+        kept_by_worker("", lambda: None)
 
         def run() -> Iterator[pa.RecordBatch]:
             nonlocal size
@@ -282,6 +283,7 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
         def spans(ths: list, first, last) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ths, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["th", "first", "last"])
 
+        kept_by_worker("", lambda: None)
         runs = []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):

@@ -332,7 +332,8 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
     spans = normal.mapInArrow(send, SENT).repartitionById(parts, "part").mapInArrow(merge, SPANS)
     if crowded:
         windows = written(there.where(F.exists("at", lambda x: x["crowd"])).select(*listed(chosen(True))).mapInArrow(count_windows, "th binary, first int, window binary"), "windows")
-        often = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+        # stored, so that the join is between two exchanges of its own and a hot window's rows can be split
+        often = written(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "windows")
         spans = spans.unionByName(windows.join(often, "window").select("th", "first", (F.col("first") + length).alias("last")).distinct())
     spans = written(spans.groupBy("th").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     free_shuffles(spark)

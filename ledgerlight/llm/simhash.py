@@ -151,7 +151,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEDS, RING = 8, 5
 #: Over all fingerprints together pairs with similarity 0.8 differ in about 31 of 512 bits, unrelated texts in about 248.
 FAR = 107
-#: Members of a key that are all paired. In larger ones each is paired with the next AHEAD by each of two other fingerprints.
+#: Members of a key that are all paired. In larger ones each is paired with the next AHEAD by another fingerprint.
 PAIRED, AHEAD = 8, 2
 
 
@@ -187,28 +187,25 @@ def candidates(sketches: DataFrame) -> DataFrame:
     """sketches: id, fps, stored. Distinct pairs (u, v), u < v, that share a key and are not far over all fingerprints.
 
     Keys shared by up to PAIRED texts give all their pairs. In larger ones (many near copies of each other) all pairs would
-    be a square of the group; there each text is paired with its neighbours in the order of two further fingerprints,
-    which put near ones side by side, and with the least of the key. As each text has many keys and groups are what
-    links connect, a group is still found whole where its links are many; a lone link inside a large key can be missed.
+    be a square of the group; there each text is paired with the next AHEAD in the order of the next fingerprint, which
+    puts near ones side by side. As each text has many keys, and so many orders, and groups are what links connect, a
+    group is still found whole where its links are many; a lone link inside a large key can be missed.
     """
     parts = segments(RING)
     mask = lambda *chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
     each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"), "fps")
     key = lambda i: F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(mask(i, i + 1))))
     keyed = written(each.select("id", F.explode(F.array(*(F.struct(key(i).alias("key"), F.col("seed").alias("seed")) for i in range(RING)))).alias("k")).select("k.key", "k.seed", "id"), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(keyed.join(sizes, "key"), "keys")
     drop_written(keyed)
     few = sized.where(F.col("n") <= PAIRED)
     left, right = (few.select("key", F.col("id").alias(x)) for x in "uv")
     pairs = left.join(right, "key").where("u < v").select("u", "v")
     many = sized.where(F.col("n") > PAIRED).join(sketches, "id")
-    others = []
-    for turn in (1, 2):
-        w = Window.partitionBy("key").orderBy(F.col("fps")[(F.col("seed") + turn) % SEEDS], "id")
-        others += [F.lead("id", step).over(w).alias(f"next{turn}{step}") for step in range(1, AHEAD + 1)]
-    beside = many.select("id", "least", *others)
-    beside = beside.select("id", F.explode(F.array("least", *(c for c in beside.columns if c.startswith("next")))).alias("other")).where("other <> id")
+    w = Window.partitionBy("key").orderBy(F.col("fps")[(F.col("seed") + 1) % SEEDS], "id")
+    beside = many.select("id", F.array(*(F.lead("id", step).over(w) for step in range(1, AHEAD + 1))).alias("others"))
+    beside = beside.select("id", F.explode("others").alias("other")).where("other IS NOT NULL")
     found = pairs.unionByName(beside.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))).distinct()
     bits = F.aggregate(F.zip_with("fps", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     return (
@@ -260,9 +257,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     copies = written(rows.groupBy("id").agg(F.min(one).alias("least"), F.count("*").alias("n")), "copies")
     sketches = written(word_fingerprints(rows.select("id", "text")).dropDuplicates(["id"]), "sketches")
     pairs = written(candidates(sketches), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    # of copies only the row with the least doc_id is fetched: keyed by both, copies do not meet in one task
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(copies, "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"))
     free_shuffles(spark)
-    texts = written(rows.join(wanted, "id").select("id", "text").dropDuplicates(["id"]), "texts")
+    texts = written(rows.join(wanted, (F.col("id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text").dropDuplicates(["id"]), "texts")
     free_shuffles(spark)
     roots = components(verified(pairs, texts, shingle, similarity)).withColumnRenamed("node", "id")
     grouped = copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -71,3 +71,18 @@ def separation(tainted: DataFrame) -> DataFrame:
 def qualifies(taint_: Column, strata: Column, passing: list[str]) -> Column:
     """A path counts if it is clean and touches a stratum, and only passing ones."""
     return (taint_ == "clean") & (F.size(strata) > 0) & (F.size(F.array_except(strata, F.array(*map(F.lit, passing)).cast("array<string>"))) == 0)
+
+
+def snapshot_integrity(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """key, ok, reason of each file of a manifest (key, sha256): missing or changed files are refused, not read.
+    files: key, content (binary)."""
+    j = manifest.join(files.select("key", F.sha2("content", 256).alias("found")), "key", "left")
+    reason = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed")
+    return j.select("key", reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def pending_roster(universe: DataFrame, cached: DataFrame, attempted: DataFrame, key: str) -> DataFrame:
+    """One row of counts (ingested, failed, missing, total) for coverage(): a member tried but not cached has failed."""
+    mark = lambda df, name: df.select(key, F.lit(True).alias(name)).distinct()
+    j = universe.select(key).distinct().join(mark(cached, "c"), key, "left").join(mark(attempted, "a"), key, "left")
+    return j.agg(F.count_if(F.col("c")).alias("ingested"), F.count_if(F.col("c").isNull() & F.col("a")).alias("failed"), F.count_if(F.col("c").isNull() & F.col("a").isNull()).alias("missing"), F.count("*").alias("total"))

@@ -82,7 +82,11 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     every, first = np.unique(np.concatenate(places), return_index=True)
-    return every, np.concatenate(hashes)[first]
+    # anchors have the least hashes of their windows: mixed again, they are spread evenly over the hash range
+    h = np.concatenate(hashes)[first]
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return every, h ^ (h >> np.uint64(33))
 
 
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, small_batches, table, written
@@ -151,8 +151,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEEDS, RING = 8, 5
 #: Over all fingerprints together pairs with similarity 0.8 differ in about 31 of 512 bits, unrelated texts in about 248.
 FAR = 107
-#: Members of a key that are all paired. In larger ones each is paired with the next AHEAD by another fingerprint.
-PAIRED, AHEAD = 8, 2
+#: Members of a key that are all paired at once. In larger ones all are paired with the least first, and then those that
+#: are not linked yet with each other, in blocks of BLOCK members against blocks.
+PAIRED, BLOCK = 8, 4096
 
 
 def word_fingerprints(texts: DataFrame) -> DataFrame:
@@ -183,35 +184,51 @@ def word_fingerprints(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(compute, "id long, fps array<long>")
 
 
-def candidates(sketches: DataFrame) -> DataFrame:
-    """sketches: id, fps, stored. Distinct pairs (u, v), u < v, that share a key and are not far over all fingerprints.
-
-    Keys shared by up to PAIRED texts give all their pairs. In larger ones (many near copies of each other) all pairs would
-    be a square of the group; there each text is paired with the next AHEAD in the order of the next fingerprint, which
-    puts near ones side by side. As each text has many keys, and so many orders, and groups are what links connect, a
-    group is still found whole where its links are many; a lone link inside a large key can be missed.
-    """
+def shared_keys(sketches: DataFrame) -> DataFrame:
+    """sketches: id, fps, stored. Returns key, id, n (members of the key), stored, for keys of more than one text."""
     parts = segments(RING)
     mask = lambda *chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
-    each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"), "fps")
+    each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"))
     key = lambda i: F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(mask(i, i + 1))))
-    keyed = written(each.select("id", F.explode(F.array(*(F.struct(key(i).alias("key"), F.col("seed").alias("seed")) for i in range(RING)))).alias("k")).select("k.key", "k.seed", "id"), "keys")
+    keyed = written(each.select(F.explode(F.array(*(key(i) for i in range(RING)))).alias("key"), "id"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(keyed.join(sizes, "key"), "keys")
     drop_written(keyed)
+    return sized
+
+
+def sketched(sketches: DataFrame, name: str) -> DataFrame:
+    return sketches.select(F.col("id").alias(name), F.col("fps").alias(f"fps_{name}"))
+
+
+def not_far() -> Column:
+    """Of pairs with the columns of sketched() for u and v."""
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col("fps_u")[i].bitwiseXOR(F.col("fps_v")[i])) for i in range(SEEDS))) <= FAR
+
+
+def first_pairs(sized: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v), u < v, that are not far: all under small keys, and under larger ones those with the least id."""
     few = sized.where(F.col("n") <= PAIRED)
     left, right = (few.select("key", F.col("id").alias(x)) for x in "uv")
     pairs = left.join(right, "key").where("u < v").select("u", "v")
-    many = sized.where(F.col("n") > PAIRED).join(sketches, "id")
-    w = Window.partitionBy("key").orderBy(F.col("fps")[(F.col("seed") + 1) % SEEDS], "id")
-    beside = many.select("id", F.array(*(F.lead("id", step).over(w) for step in range(1, AHEAD + 1))).alias("others"))
-    beside = beside.select("id", F.explode("others").alias("other")).where("other IS NOT NULL")
-    found = pairs.unionByName(beside.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))).distinct()
-    bits = F.aggregate(F.zip_with("fps", "fps_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return (
-        found.join(sketches.select(F.col("id").alias("u"), "fps"), "u").join(sketches.select(F.col("id").alias("v"), F.col("fps").alias("fps_v")), "v")
-        .where(bits <= FAR).select("u", "v")
-    )
+    many = sized.where(F.col("n") > PAIRED)
+    star = many.join(many.groupBy("key").agg(F.min("id").alias("u")), "key").where("u < id").select("u", F.col("id").alias("v"))
+    found = pairs.unionByName(star).distinct()
+    return found.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far()).select("u", "v")
+
+
+def other_pairs(sized: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v), u < v, that are not far, share a key of more than PAIRED texts and are not connected by roots
+    (node, root). Members that are connected need no further link, so a large group of near copies costs its members times
+    the others under its keys; texts that are not connected are compared completely."""
+    many = sized.where(F.col("n") > PAIRED).select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    many = written(many, "many")
+    mixed = many.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = many.join(mixed.where("low < high").select("key", "blocks"), "key")
+    side = lambda x, block: mixed.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), block.alias("block")).join(sketched(sketches, x), x)
+    left, right = side("u", F.pmod(F.xxhash64("id"), "blocks").cast("int")), side("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))
+    return left.join(right, ["key", "block"]).where(apart & not_far()).select("u", "v").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -256,13 +273,24 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     # one text of each id: the row with the least doc_id brings it
     copies = written(rows.groupBy("id").agg(F.min(one).alias("least"), F.count("*").alias("n")), "copies")
     sketches = written(word_fingerprints(rows.select("id", "text")).dropDuplicates(["id"]), "sketches")
-    pairs = written(candidates(sketches), "pairs")
-    # of copies only the row with the least doc_id is fetched: keyed by both, copies do not meet in one task
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(copies, "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"))
-    free_shuffles(spark)
-    texts = written(rows.join(wanted, (F.col("id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text").dropDuplicates(["id"]), "texts")
-    free_shuffles(spark)
-    roots = components(verified(pairs, texts, shingle, similarity)).withColumnRenamed("node", "id")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # of copies only the row with the least doc_id is fetched: keyed by both, copies do not meet in one task
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(copies, "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"))
+        free_shuffles(spark)
+        texts = written(rows.join(wanted, (F.col("id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text").dropDuplicates(["id"]), "texts")
+        free_shuffles(spark)
+        links = written(verified(pairs, texts, shingle, similarity), "links")
+        drop_written(texts)
+        return links
+
+    sized = shared_keys(sketches)
+    links = linked(written(first_pairs(sized, sketches), "pairs"))
+    more = written(other_pairs(sized, sketches, components(links)), "pairs")
+    if more.take(1):
+        links = links.unionByName(linked(more))
+    drop_written(sized)
+    roots = components(links).withColumnRenamed("node", "id")
     grouped = copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = grouped.groupBy("root").agg(F.min(F.struct("least", "id")).alias("best")).select("best.id", F.col("best.least").alias("least"), F.lit(True).alias("stays"))
     stays = best.join(copies.select("id", "n"), "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"), "n")

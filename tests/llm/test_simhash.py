@@ -99,3 +99,34 @@ def test_near_dedup(spark, hard, nothing):
     assert stay.columns == ["doc_id", "text", "extra", "id"]
     assert sorted((repr(x.doc_id), (x.text or "")[:3]) for x in stay.collect()) == sorted([("1", "One"), ("None", "a b"), ("None", ""), ("6", "123"), ("7", "aaa"), ("8", "wor"), ("9", "é à")])
     assert simhash.near_dedup(nothing).count() == 0
+
+
+def shingles_of(text, k=5):
+    words = text.lower().split()
+    return {tuple(words[i: i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def stay_by_brute_force(texts, similarity=0.8):
+    """Of each group of texts (doc_id: text) that links connect, the least doc_id."""
+    sets = {k: shingles_of(t) for k, t in texts.items()}
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= similarity * (len(sets[a]) + len(sets[b]) - both)
+
+    return set(groups(sorted(texts), linked).values())
+
+
+@pytest.mark.parametrize("size", [9, 100, 1000])
+def test_crowded_keys_lose_no_link(spark, size):
+    """The same words in ever other orders, each order once more with its last words exchanged, and unrelated texts."""
+    r = random.Random(size)
+    words, texts = [f"w{i}" for i in range(40)], []
+    while len(texts) < size:
+        order = r.sample(words, len(words))
+        texts += [order, order[:-2] + order[:-3:-1]][: size - len(texts)]
+    texts += [[f"x{r.randrange(9999)}" for _ in range(40)] for _ in range(size // 3)]
+    r.shuffle(texts)
+    texts = {i: " ".join(x) for i, x in enumerate(texts)}
+    out = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {x.doc_id for x in out.collect()} == stay_by_brute_force(texts)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, small_batches, table, written
+from ledgerlight.llm.decontam import shingle_hashes
 
 BYTES = np.uint64(0x0101010101010101)
 
@@ -146,51 +147,74 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Near duplicates by the similarity of their word shingles
 
 
-#: Fingerprints of a text; segments of each, of which two neighbours make a key. Pairs of texts that are within two bits in
-#: any fingerprint share a key for certain; of pairs with similarity 0.8, which mostly differ in more, about 99 in 100 do.
-SEEDS, RING = 8, 5
-#: Over all fingerprints together pairs with similarity 0.8 differ in about 31 of 512 bits, unrelated texts in about 248.
-FAR = 107
+#: 64-bit words of a text's parity bitmap.
+WORDS = 8
+#: Distinct texts (about) in which shingles are counted for the common order, and how many of the most frequent are sent out.
+SAMPLED, COMMON = 10_000, 100_000
 #: Members of a key that are all paired at once. In larger ones all are paired with the least first, and then those that
 #: are not linked yet with each other, in blocks of BLOCK members against blocks.
 PAIRED, BLOCK = 8, 4096
 
 
-def word_fingerprints(texts: DataFrame) -> DataFrame:
-    """texts: id, text. Returns id and fps, SEEDS fingerprints (longs) of the set of lower-cased words."""
-    factors = [(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (1 << 64) - 1 for i in range(SEEDS)]
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles of lower-cased words; one of all words, if they are fewer."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    return np.unique(shingle_hashes(np.array([xxh64_intdigest(w) for w in words], np.uint64), shingle)) if words else np.zeros(1, np.uint64)
+
+
+def common_shingles(texts: DataFrame, shingle: int, every: int) -> np.ndarray:
+    """texts: id, text. The most frequent shingles in a sample of the texts, the most frequent last."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        seen: set[int] = set()
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if i not in seen:
+                    seen.add(i)
+                    found.append(shingle_set(text, shingle))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
+    sample = texts.select("id", "text").where(F.pmod("id", F.lit(every)) == 0)
+    counts = sample.mapInArrow(compute, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """texts: id, text. Returns id, n (distinct shingles), bits (WORDS longs: each bit is the parity of the shingles that
+    fall on it) and keys, the first n - ceil(similarity * n) + 1 shingles in an order that is the same for all texts, the
+    frequent ones last. Any two sets with that Jaccard similarity have one of these keys in common, whatever the order."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.argsort(shared.value)
+        known = shared.value[rank]
         for batch in batches:
-            sets = [set(x.encode().lower().split()) if x else () for x in batch.column(1).to_pylist()]
-            rows = [i for i, x in enumerate(sets) if x]
-            fps = np.zeros((len(sets), SEEDS), np.uint64)
-            if rows:
-                one = np.array([xxh64_intdigest(w) for i in rows for w in sets[i]], np.uint64)
-                sizes = np.array([len(sets[i]) for i in rows])
-                starts = np.cumsum(sizes) - sizes
-                for k, factor in enumerate(factors):
-                    with np.errstate(over="ignore"):
-                        h = (one ^ np.uint64(factor)) * np.uint64(factor)
-                        h ^= h >> np.uint64(32)
-                        h *= np.uint64(0xD6E8FEB86659FD93)
-                        h ^= h >> np.uint64(29)
-                    fps[rows, k] = majority_bits(h, starts)
-            flat = pa.array(fps.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SEEDS, dtype=np.int32)), flat)], ["id", "fps"])
-
-    return texts.select("id", "text").mapInArrow(compute, "id long, fps array<long>")
+            sizes, bits, keys, ends = [], np.zeros((batch.num_rows, WORDS), np.uint64), [np.zeros(0, np.uint64)], [0]
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                h = shingle_set(text, shingle)
+                n = len(h)
+                odd = np.bincount(((h >> np.uint64(20)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                bits[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+                taken = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, rank[at] + 1, 0), kind="stable")]
+                sizes.append(n), keys.append(h[:taken]), ends.append(ends[-1] + taken)
+            lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))], ["id", "n", "bits", "keys"]
+            )
+
+    return texts.select("id", "text").mapInArrow(compute, "id long, n long, bits array<long>, keys array<long>")
 
 
 def shared_keys(sketches: DataFrame) -> DataFrame:
-    """sketches: id, fps, stored. Returns key, id, n (members of the key), stored, for keys of more than one text."""
-    parts = segments(RING)
-    mask = lambda *chosen: (lambda x: x - (1 << 64) if x >> 63 else x)(sum(((1 << parts[i % RING][1]) - 1) << parts[i % RING][0] for i in chosen))
-    each = sketches.select("id", F.posexplode("fps").alias("seed", "fp"))
-    key = lambda i: F.xxhash64("seed", F.lit(i), F.col("fp").bitwiseAND(F.lit(mask(i, i + 1))))
-    keyed = written(each.select(F.explode(F.array(*(key(i) for i in range(RING)))).alias("key"), "id"), "keys")
+    """sketches: id, keys, stored. Returns key, id, n (members of the key), stored, for keys of more than one text."""
+    keyed = written(sketches.select(F.explode("keys").alias("key"), "id"), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(keyed.join(sizes, "key"), "keys")
     drop_written(keyed)
@@ -198,15 +222,18 @@ def shared_keys(sketches: DataFrame) -> DataFrame:
 
 
 def sketched(sketches: DataFrame, name: str) -> DataFrame:
-    return sketches.select(F.col("id").alias(name), F.col("fps").alias(f"fps_{name}"))
+    return sketches.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
 
 
-def not_far() -> Column:
-    """Of pairs with the columns of sketched() for u and v."""
-    return reduce(lambda a, b: a + b, (F.bit_count(F.col("fps_u")[i].bitwiseXOR(F.col("fps_v")[i])) for i in range(SEEDS))) <= FAR
+def not_far(similarity: float) -> Column:
+    """Of pairs with the columns of sketched() for u and v: whether their sets may be so similar. None that are is refused:
+    similar sets are of similar size, and two sets differ in as many shingles as their bitmaps differ in bits, or more."""
+    both = F.col("n_u") + F.col("n_v")
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)))
+    return (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6) & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
-def first_pairs(sized: DataFrame, sketches: DataFrame) -> DataFrame:
+def first_pairs(sized: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (u, v), u < v, that are not far: all under small keys, and under larger ones those with the least id."""
     few = sized.where(F.col("n") <= PAIRED)
     left, right = (few.select("key", F.col("id").alias(x)) for x in "uv")
@@ -214,10 +241,10 @@ def first_pairs(sized: DataFrame, sketches: DataFrame) -> DataFrame:
     many = sized.where(F.col("n") > PAIRED)
     star = many.join(many.groupBy("key").agg(F.min("id").alias("u")), "key").where("u < id").select("u", F.col("id").alias("v"))
     found = pairs.unionByName(star).distinct()
-    return found.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far()).select("u", "v")
+    return found.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select("u", "v")
 
 
-def other_pairs(sized: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+def other_pairs(sized: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (u, v), u < v, that are not far, share a key of more than PAIRED texts and are not connected by roots
     (node, root). Members that are connected need no further link, so a large group of near copies costs its members times
     the others under its keys; texts that are not connected are compared completely."""
@@ -228,7 +255,7 @@ def other_pairs(sized: DataFrame, sketches: DataFrame, roots: DataFrame) -> Data
     side = lambda x, block: mixed.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), block.alias("block")).join(sketched(sketches, x), x)
     left, right = side("u", F.pmod(F.xxhash64("id"), "blocks").cast("int")), side("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))
-    return left.join(right, ["key", "block"]).where(apart & not_far()).select("u", "v").distinct()
+    return left.join(right, ["key", "block"]).where(apart & not_far(similarity)).select("u", "v").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -261,8 +288,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     """The rows of docs that stay: of each group of near-duplicates the one with the least (doc_id, text hash).
 
     Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles (lower-cased, split at white
-    space) is `similarity` or more; groups are what links connect. Candidates come from SEEDS SimHash fingerprints by
-    pigeonring filtering. Copies count as one text, so their number does not matter. Null and empty texts are alike, and
+    space) is `similarity` or more; groups are what links connect. Candidates come from an exact prefix filter on the shingles,
+    so no link is missed (but for collisions of 64-bit hashes). Copies count as one text, so their number does not matter. Null and empty texts are alike, and
     one row of them stays; of rows repeated in doc_id and text one stays. All columns are returned as they are.
     """
     spark = docs.sparkSession
@@ -272,7 +299,10 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     one = F.struct("doc_id")
     # one text of each id: the row with the least doc_id brings it
     copies = written(rows.groupBy("id").agg(F.min(one).alias("least"), F.count("*").alias("n")), "copies")
-    sketches = written(word_fingerprints(rows.select("id", "text")).dropDuplicates(["id"]), "sketches")
+    common = common_shingles(rows, shingle, max(1, copies.count() // SAMPLED))
+    made = written(shingle_sketches(rows, shingle, similarity, common), "sketches")
+    sketches = written(made.dropDuplicates(["id"]), "sketches")
+    drop_written(made)
 
     def linked(pairs: DataFrame) -> DataFrame:
         # of copies only the row with the least doc_id is fetched: keyed by both, copies do not meet in one task
@@ -285,8 +315,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         return links
 
     sized = shared_keys(sketches)
-    links = linked(written(first_pairs(sized, sketches), "pairs"))
-    more = written(other_pairs(sized, sketches, components(links)), "pairs")
+    links = linked(written(first_pairs(sized, sketches, similarity), "pairs"))
+    more = written(other_pairs(sized, sketches, components(links), similarity), "pairs")
     if more.take(1):
         links = links.unionByName(linked(more))
     drop_written(sized)

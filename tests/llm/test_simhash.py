@@ -117,16 +117,38 @@ def stay_by_brute_force(texts, similarity=0.8):
     return set(groups(sorted(texts), linked).values())
 
 
-@pytest.mark.parametrize("size", [9, 100, 1000])
-def test_crowded_keys_lose_no_link(spark, size):
-    """The same words in ever other orders, each order once more with its last words exchanged, and unrelated texts."""
-    r = random.Random(size)
-    words, texts = [f"w{i}" for i in range(40)], []
-    while len(texts) < size:
-        order = r.sample(words, len(words))
-        texts += [order, order[:-2] + order[:-3:-1]][: size - len(texts)]
-    texts += [[f"x{r.randrange(9999)}" for _ in range(40)] for _ in range(size // 3)]
+def test_crowded_keys_lose_no_link(spark):
+    """Groups of 9, 100 and 1000 texts: the same words in ever other orders, each order once more with its last words
+    exchanged; and unrelated texts."""
+    r, texts = random.Random(9), []
+    for size in (9, 100, 1000):
+        words, group = [f"{size}w{i}" for i in range(40)], []
+        while len(group) < size:
+            order = r.sample(words, len(words))
+            group += [order, order[:-2] + order[:-3:-1]][: size - len(group)]
+        texts += group + [[f"x{r.randrange(9999)}" for _ in range(40)] for _ in range(size // 3)]
     r.shuffle(texts)
     texts = {i: " ".join(x) for i, x in enumerate(texts)}
     out = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {x.doc_id for x in out.collect()} == stay_by_brute_force(texts)
+
+
+def test_recall_of_edits(spark):
+    """Pairs just above and below a similarity of 0.8, against an exact join."""
+    r, texts = random.Random(8), []
+    new = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    for edit in ("added", "cut", "moved", "scattered") * 50:
+        words = new(r.choice([50, 100, 200, 400]))
+        n, at = len(words), r.randrange(len(words) - 20)
+        if edit == "added":
+            other = words[:at] + new(r.randint(n // 10, n // 4)) + words[at:]
+        elif edit == "cut":
+            other = words[:at] + words[at + r.randint(n // 20, n // 5):]
+        elif edit == "moved":
+            other = words[at:] + words[:at]
+        else:
+            other = [new(1)[0] if r.random() < 0.025 else w for w in words]
+        texts += [words, other]
+    texts = {i: " ".join(x) for i, x in enumerate(texts)}
+    out = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {x.doc_id for x in out.collect()} == stay_by_brute_force(texts)

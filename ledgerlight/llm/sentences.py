@@ -1,8 +1,8 @@
 """Substring dedup over sliding sentence spans.
 
 Every run of `run` consecutive sentences is hashed (128 bits, white space folded) and joined globally. The first span of
-each hash, by (doc_id, text, place), stays; a sentence covered by any other is removed. Spans of fewer than `min_words`
-words in all are no evidence of copying and are not hashed.
+each hash, by (doc_id, text, place), stays; a sentence covered by any other is removed. A text of fewer sentences is one
+span. Spans without a word, and those of fewer than `min_words` words in all if that is asked for, are not hashed.
 
 Counting is an aggregation with map-side combination (a hot span is one row a task), and the join of spans with repeated
 hashes is a sort-merge join whose hot keys the adaptive skew join splits. No group is collected but the repeated
@@ -54,12 +54,10 @@ def sentence_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
             digests, rows, places = [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 words = [x.split() for x in split(text)]
-                if len(words) < run:
-                    continue
                 sizes = list(map(len, words))
                 joined = [" ".join(x).encode() for x in words]
-                for i in range(len(words) - run + 1):
-                    if sum(sizes[i: i + run]) >= min_words:
+                for i in range(max(len(words) - run, 0) + 1):
+                    if sum(sizes[i: i + run]) >= max(min_words, 1):
                         digests.append(xxh3_128_digest(b"\n".join(joined[i: i + run])))
                         rows.append(row)
                         places.append(i)
@@ -73,12 +71,12 @@ def sentence_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(hashed, "hi long, lo long, doc_id long, th long, pos int")
 
 
-def sentence_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, *, text: str = "text") -> DataFrame:
+def sentence_dedup(docs: DataFrame, run: int = 2, min_words: int = 0, *, text: str = "text") -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed: one row per row of docs.
 
     A document is a (doc_id, text) pair: rows repeated in both are one document and get the same result, not each
     other's repeats. A null text is empty, has no sentences and stays null. A null doc_id sorts first. Documents of
-    fewer than `run` sentences have no span and stay as they are. Other columns of docs are ignored.
+    fewer than `run` sentences repeat only as a whole. Other columns of docs are ignored.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("th"), F.col(text).cast("string").alias("text"))
@@ -95,7 +93,7 @@ def sentence_dedup(docs: DataFrame, run: int = 2, min_words: int = 12, *, text:
             out, counts, removed = [], [], []
             for body, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 parts = split(body or "")
-                covered = {i for at in gone or () for i in range(at, at + run)}
+                covered = {i for at in gone or () for i in range(at, min(at + run, len(parts)))}
                 out.append("".join(x for i, x in enumerate(parts) if i not in covered) if covered else body)
                 counts.append(len(parts))
                 removed.append(len(covered))

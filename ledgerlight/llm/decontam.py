@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every window of a text that has as many words as a benchmark item is fingerprinted from its word shingles, unless it
+Every window of a text that has as many words as a benchmark item (the whole text, if it has fewer) is fingerprinted from its word shingles, unless it
 shares no shingle at all with an item of that size (such a window cannot be similar). Fingerprints are looked up in a
 multi-index: cut into BLOCKS blocks, two fingerprints within `radius` bits differ in at most radius / BLOCKS bits in some
 block, and each block's table lists the items for all its values within that many bits, so no fingerprint within the
@@ -120,12 +120,13 @@ class Index:
         return [(self.items[i][0], *best) for i, best in sorted(found.items())]
 
     def windows(self, n: int, places: np.ndarray, ids: np.ndarray, found: dict[int, list]) -> None:
+        members, fps, tables = self.sizes[n]
+        n = min(n, len(ids))  # a text shorter than the item is one window
         width = max(1, n - self.shingle + 1)  # shingles of a window
         starts = np.unique(places[:, None] - np.arange(width))
         starts = starts[(starts >= 0) & (starts + n <= len(ids))]
         if not len(starts):
             return
-        members, fps, tables = self.sizes[n]
         # runs of starts that lie near each other are fingerprinted from common sums
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
             low = int(run[0])

@@ -60,3 +60,11 @@ def test_items_in_several_parts(spark, hard, monkeypatch):
     monkeypatch.setattr(decontam, "PART", 8)
     out = decontam.contamination(hard, items).where("doc_id = 2").first()
     assert sorted(m.item_id for m in out.matches) == list(range(5))
+
+
+def test_text_shorter_than_its_item(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:7]))], "item_id long, text string")
+    texts = {1: words[:-3], 2: words[2:-1], 3: words[:40], 4: words[:6], 5: words[:3]}
+    out = decontam.contamination(spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string"), items)
+    assert {(r.doc_id, m.item_id, m.n_words) for r in out.collect() for m in r.matches if m.item_id == 1} == {(1, 1, 57), (2, 1, 57)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import time
@@ -70,20 +71,34 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, and a temporary one only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or what the context was given as such. Only where there is none
+    and Spark runs in one process (tests) is a temporary folder made; on a cluster that is an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="ledgerlight-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="ledgerlight-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
+        found = context.getCheckpointDir()
     return found
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM's objects."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors. It is deleted when the
+    application ends, or earlier by drop_written()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ledgerlight/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,9 +106,8 @@ def drop_written(*tables: DataFrame) -> None:
     """Delete tables made by written() that no later plan reads."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            at, files = _folder(df.sparkSession, file)
+            files.delete(at.getParent(), True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

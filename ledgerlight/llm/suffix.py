@@ -13,7 +13,7 @@ windows have their anchor at the same place, so every repeat is seen at anchors,
    prefix it shares with the last winner: prefixes once compared are never compared again, and the merge also gives the
    common prefix of neighbours.
 4. From the common prefixes to the right and, by a second order, to the left, all repeated windows around each anchor
-   follow at once, without comparing pairs.
+   follow at once, without comparing pairs; for several lengths, if they are asked for, from the same order.
 
 Equal suffixes are folded before the exchange, so groups of copies do not grow with their size. A gram with more than
 `crowd` occurrences is not merged in one task: its windows are counted by their 128-bit digests instead.
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import free_shuffles, kept_by_worker, named, small_batches, table, written
+from ledgerlight.llm.common import drop_written, free_shuffles, kept_by_worker, named, small_batches, table, written
 
 GRAM = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +38,7 @@ RUN, MERGE = 6_000_000, 10_000_000
 #: Positions that are hashed, and suffixes of whole groups that are looked at, together.
 CHUNK, GROUPS = 1 << 16, 3000
 SENT = "part int, n int, shared binary, sizes binary, rights binary, places binary, texts binary, tails binary"
-SPANS = "th binary, first int, last int"
+SPANS = "th binary, of int, first int, last int"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -182,18 +182,17 @@ def decoded(shared: np.ndarray, sizes: np.ndarray, tails: bytes, what: list) ->
         yield before, n, x
 
 
-def repeats(right: np.ndarray, left: np.ndarray, shared: np.ndarray, reversed_left: list[bytes], copied: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in sorted order: the least and the greatest number of bytes before the anchor at which a window of
-    `length` bytes begins that is repeated (greatest -1: none).
+def repeats(right: np.ndarray, left: np.ndarray, shared: np.ndarray, reversed_left: list[bytes], copied: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For suffixes in sorted order, and each length: the least and the greatest number of bytes before the anchor at which a
+    window of so many bytes begins that is repeated (greatest -1: none).
 
     right, left: bytes at hand on either side; shared: common bytes to the right with the one before; copied: it stands
     for more than one place. A window that begins d before the anchor is repeated if another suffix has the same next
     length - d bytes (the same block of the right order) and the same d bytes before (of the left order).
     """
     n = len(right)
-    least, most = np.full(n, length, np.int32), np.full(n, -1, np.int32)
     if not n:
-        return least, most
+        return
     order = np.array(sorted(range(n), key=reversed_left.__getitem__), np.int64)
     wide = max(1, int(left.max()))
     grid = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in reversed_left), np.uint8).reshape(n, wide)[order]
@@ -201,27 +200,33 @@ def repeats(right: np.ndarray, left: np.ndarray, shared: np.ndarray, reversed_le
     beside = np.where(differ.any(1), differ.argmax(1), wide)
     beside = np.append(0, np.minimum(beside, np.minimum(left[order][1:], left[order][:-1])))
     del grid, differ
-    for d in range(int(left.max()) + 1):
-        can = (right >= length - d) & (left >= d)
-        if not can.any():
-            continue
-        block = np.empty(n, np.int64)
-        block[order] = np.cumsum(beside < d) if d else 0
-        block += np.cumsum(shared < length - d) * (n + 1)
-        rows = np.flatnonzero(can)
-        _, inverse, counts = np.unique(block[rows], return_inverse=True, return_counts=True)
-        found = rows[(counts[inverse] > 1) | copied[rows]]
-        most[found] = d
-        least[found] = np.minimum(least[found], d)
-    return least, most
-
-
-def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int) -> DataFrame:
-    """texts: th, text (copies may repeat). anchors: as find_anchors() gives them, stored. Returns th, first, last: byte ranges."""
+    for length in lengths:
+        least, most = np.full(n, length, np.int32), np.full(n, -1, np.int32)
+        for d in range(min(int(left.max()), length - GRAM) + 1):
+            can = (right >= length - d) & (left >= d)
+            if not can.any():
+                continue
+            block = np.empty(n, np.int64)
+            block[order] = np.cumsum(beside < d) if d else 0
+            block += np.cumsum(shared < length - d) * (n + 1)
+            rows = np.flatnonzero(can)
+            _, inverse, counts = np.unique(block[rows], return_inverse=True, return_counts=True)
+            found = rows[(counts[inverse] > 1) | copied[rows]]
+            most[found] = d
+            least[found] = np.minimum(least[found], d)
+        yield length, least, most
+
+
+def repeated_spans(texts: DataFrame, anchors: DataFrame, lengths: list[int], crowd: int) -> DataFrame:
+    """texts: th, text (copies may repeat). anchors: those for the least length, as find_anchors() gives them, stored.
+    Returns th, spans: an array of the length that it is for (of), first and last + 1 of byte ranges."""
     spark = texts.sparkSession
-    counts = anchors.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1")
+    length = max(lengths)
+    # stored, so that the join is between two exchanges of its own and the rows of a common gram can be split
+    counts = written(anchors.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1"), "counts")
     alive = anchors.join(counts, "h").select("th", F.struct("pos", "h", (F.col("n") > crowd).alias("crowd")).alias("at"))
     alive = written(alive.groupBy("th").agg(F.collect_set("at").alias("at")), "anchors")
+    drop_written(anchors, counts)
     n, crowded = alive.agg(F.sum(F.size("at")), F.sum(F.size(F.filter("at", lambda x: x["crowd"])))).first()
     parts = max(1, -(-(n or 0) * 2 * length // MERGE))
     there = texts.join(alive, "th")
@@ -270,7 +275,7 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
                 for at, h in zip(places, hashes):
                     right = data[at: at + length]
                     left = data[max(0, at + GRAM - length): at][::-1]
-                    if len(left) + len(right) < length:
+                    if len(left) + len(right) < min(lengths):
                         continue
                     key = (h % (1 << 64)).to_bytes(8, "big") + right + left, len(right)
                     if key in held:
@@ -284,8 +289,8 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
             yield from run()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(ths: list, first, last) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ths, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["th", "first", "last"])
+        def spans(of: int, ths: list, first, last) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ths, pa.binary()), pa.array([of] * len(ths), pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["th", "of", "first", "last"])
 
         kept_by_worker("", lambda: None)
         runs = []
@@ -293,19 +298,22 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
                 if not row["n"]:
                     known = np.frombuffer(row["sizes"], "<i4").reshape(-1, 2)
-                    yield spans([row["texts"][16 * i: 16 * i + 16] for i in range(len(known))], known[:, 0], known[:, 1])
+                    for of in lengths:
+                        long = np.flatnonzero(known[:, 1] - known[:, 0] >= of)
+                        yield spans(of, [row["texts"][16 * i: 16 * i + 16] for i in long.tolist()], known[long, 0], known[long, 1])
                     continue
                 rights, places = np.frombuffer(row["rights"], "<u2").tolist(), np.frombuffer(row["places"], "<i4").tolist()
                 what = [(r, p, row["texts"][16 * i: 16 * i + 16]) for i, (r, p) in enumerate(zip(rights, places))]
                 runs.append(decoded(np.frombuffer(row["shared"], "<u2"), np.frombuffer(row["sizes"], "<u2"), row["tails"], what))
-        def found(kept: list, shared: list) -> pa.RecordBatch:
+
+        def found(kept: list, shared: list) -> Iterator[pa.RecordBatch]:
             right = np.array([x[2][0] for x in kept], np.int32)
             left = np.array([len(x[0]) - 8 for x in kept], np.int32) - right
             near = np.minimum(np.array(shared, np.int32) - 8, length)
-            least, most = repeats(right, left, near, [x[0][8 + x[2][0]:] for x in kept], np.array([x[2][1] < 0 for x in kept], bool), length)
-            hit = [i for i in np.flatnonzero(most >= 0) if kept[i][2][1] >= 0]
-            at = np.array([kept[i][2][1] for i in hit], np.int64)
-            return spans([kept[i][2][2] for i in hit], at - most[hit], at - least[hit] + length)
+            for of, least, most in repeats(right, left, near, [x[0][8 + x[2][0]:] for x in kept], np.array([x[2][1] < 0 for x in kept], bool), lengths):
+                hit = [i for i in np.flatnonzero(most >= 0) if kept[i][2][1] >= 0]
+                at = np.array([kept[i][2][1] for i in hit], np.int64)
+                yield spans(of, [kept[i][2][2] for i in hit], at - most[hit], at - least[hit] + of)
 
         # kept: the suffixes with a neighbour that has the same gram; copies folded into one are known to be repeats
         kept, shared, before = [], [], None
@@ -318,68 +326,87 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, length: int, crowd: int
                 kept.append(x)
                 shared.append(x[1])
             elif len(kept) > GROUPS:
-                yield found(kept, shared)
+                yield from found(kept, shared)
                 kept, shared = [], []
             before = None if near else x
         if kept:
-            yield found(kept, shared)
+            yield from found(kept, shared)
 
     def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for th, text, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 data = text.encode()
-                starts = sorted({d for at in places for d in range(max(0, at + GRAM - length), at + 1) if d + length <= len(data)})
-                if starts:
-                    yield pa.RecordBatch.from_arrays([pa.array([th] * len(starts), pa.binary()), pa.array(starts, pa.int32()), pa.array([hashlib.blake2b(data[d: d + length], digest_size=16).digest() for d in starts], pa.binary())], ["th", "first", "window"])
+                for of in lengths:
+                    starts = sorted({d for at in places for d in range(max(0, at + GRAM - of), at + 1) if d + of <= len(data)})
+                    if starts:
+                        digests = [hashlib.blake2b(data[d: d + of], digest_size=16).digest() for d in starts]
+                        yield pa.RecordBatch.from_arrays([pa.array([th] * len(starts), pa.binary()), pa.array([of] * len(starts), pa.int32()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], ["th", "of", "first", "window"])
 
     normal = there.where(F.exists("at", lambda x: ~x["crowd"])).select(*listed(chosen(False)))
     spans = normal.mapInArrow(send, SENT).repartitionById(parts, "part").mapInArrow(merge, SPANS)
     if crowded:
-        windows = written(there.where(F.exists("at", lambda x: x["crowd"])).select(*listed(chosen(True))).mapInArrow(count_windows, "th binary, first int, window binary"), "windows")
+        windows = written(there.where(F.exists("at", lambda x: x["crowd"])).select(*listed(chosen(True))).mapInArrow(count_windows, "th binary, of int, first int, window binary"), "windows")
         # stored, so that the join is between two exchanges of its own and a hot window's rows can be split
         often = written(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "windows")
-        spans = spans.unionByName(windows.join(often, "window").select("th", "first", (F.col("first") + length).alias("last")).distinct())
-    spans = written(spans.groupBy("th").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+        spans = spans.unionByName(windows.join(often, "window").select("th", "of", "first", (F.col("first") + F.col("of")).alias("last")).distinct())
+    spans = written(spans.groupBy("th").agg(F.collect_set(F.struct("of", "first", "last")).alias("spans")), "spans")
+    drop_written(alive, *((windows, often) if crowded else ()))
     free_shuffles(spark)
     return spans
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, *, text: str = "text", crowd: int = 50_000) -> DataFrame:
+RANGES = "array<struct<first:int,last:int>>"
+
+
+def joined_ranges(ranges: Column) -> Column:
+    """Ranges in order, those that touch folded into one."""
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+    return F.aggregate(
+        ranges, F.array().cast(RANGES),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (last(done)["last"] >= x["first"]),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["first"].alias("first"), F.greatest(last(done)["last"], x["last"]).alias("last")))),
+        ).otherwise(F.concat(done, F.array(x))),
+    )
+
+
+def suffix_dedup(docs: DataFrame, length: int = 400, *, also: tuple[int, ...] = (), text: str = "text", crowd: int = 50_000) -> DataFrame:
     """All columns of docs, and n_bytes, spans (array of first and last + 1 of each maximal removed run) and kept (binary).
+    For each further length n in `also`, spans_n tells what strings of n bytes that start elsewhere too cover; it is not cut.
 
     Each row is a document; repeated rows are copies of each other. Null text counts as empty. Texts shorter than
     `length` lose nothing. Columns named as the new ones are replaced. Results depend on no doc_id, so null or repeated
-    ones do no harm.
+    ones do no harm. Lengths under GRAM are refused.
     """
+    lengths = [length, *also]
+    if min(lengths) < GRAM:
+        raise ValueError(f"lengths must be {GRAM} bytes or more")
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.drop("n_bytes", "spans", "kept")
+    further = [f"spans_{n}" for n in also]
+    own = docs.drop("n_bytes", "spans", "kept", *further)
     texts = own.select(F.unhex(F.md5(body)).alias("th"), body.alias("text"))
-    anchors = written(find_anchors(texts, length), "grams")
-    spans = repeated_spans(texts, anchors, length, crowd)
+    anchors = written(find_anchors(texts, min(lengths)), "grams")
+    spans = repeated_spans(texts, anchors, lengths, crowd)
     columns = own.columns
     keyed = own.select(F.unhex(F.md5(body)).alias("th"), F.struct(*named(columns)).alias("row"))
-    joined = keyed.join(spans, "th", "left").select(*(F.col("row")[c].alias(c) for c in columns), F.array_sort(F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))).alias("spans"))
-    # ranges in order: fold those that touch into one
-    last = F.col("spans")
-    folded = F.aggregate(
-        last, F.array().cast("array<struct<first:int,last:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] >= x["first"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["last"], x["last"]).alias("last")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+    every = F.array_sort(F.coalesce("spans", F.array().cast("array<struct<of:int,first:int,last:int>>")))
+    joined = keyed.join(spans, "th", "left").select(*(F.col("row")[c].alias(c) for c in columns), every.alias("spans"))
+    of = lambda n: F.transform(F.filter("spans", lambda x: x["of"] == n), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last")))
+    ranges = {name: F.when(F.size("spans") > 0, joined_ranges(of(n))).otherwise(F.array().cast(RANGES)).alias(name) for n, name in zip(lengths, ["spans", *further])}
     data = F.encode(body, "utf-8")
-    with_spans = joined.select(*named(columns), F.octet_length(body).cast("long").alias("n_bytes"), F.when(F.size("spans") > 0, folded).otherwise(F.col("spans")).alias("spans"))
+    with_spans = joined.select(*named(columns), F.octet_length(body).cast("long").alias("n_bytes"), *ranges.values())
     # the kept parts lie before each removed run and behind the last
     ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["last"]))
     starts = F.concat(F.transform("spans", lambda x: x["first"]), F.array(F.octet_length(body)))
     parts = F.zip_with(ends, starts, lambda a, b: F.substring(data, a + 1, b - a))
     kept = F.when(F.size("spans") == 0, data).otherwise(F.aggregate(parts, F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x)))
-    return with_spans.withColumn("kept", kept)
+    return with_spans.select(*named(columns), "n_bytes", "spans", *further, kept.alias("kept"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """suffix_dedup() of documents at 400 bytes, as digests; n_repeated_240 counts the bytes in shorter repeats too, of 240
+    bytes or more, which a passage of fifty words has."""
+    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), also=(240,))
+    covered = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
+    return found.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), covered("spans_240").alias("n_repeated_240"))

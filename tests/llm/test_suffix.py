@@ -73,3 +73,24 @@ def test_merge_gives_order_and_common_prefixes(parts):
     got = [s for s, _, _ in merged]
     assert got == sorted(s for p in parts for s in p)
     assert all(n == suffix.common(a, b, 0) for a, (b, n, _) in zip(got, merged[1:]))
+
+
+@pytest.mark.parametrize("crowd", [50_000, 2])
+def test_several_lengths(spark, crowd):
+    texts = material(3) + [material(4)[0]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = sorted(suffix.suffix_dedup(docs, 120, also=(64, 90), crowd=crowd).collect(), key=lambda r: r.doc_id)
+    data = [(t or "").encode() for t in texts]
+    for name, length in (("spans", 120), ("spans_64", 64), ("spans_90", 90)):
+        want = brute(data, length)
+        assert [(sum(s.last - s.first for s in r[name]), len(r[name])) for r in rows] == [w[1:3] for w in want]
+    assert [bytes(r.kept) for r in rows] == [w[3] for w in brute(data, 120)]
+    with pytest.raises(ValueError):
+        suffix.suffix_dedup(docs, 63)
+
+
+def test_query_tells_of_shorter_repeats(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    got = QUERIES["op4_suffix_dedup"](spark, sf).orderBy("doc_id").collect()
+    assert [r.n_repeated_240 for r in got] == [w[1] for w in brute([(d.text or "").encode() for d in docs], 240)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, small_batches, table, written
+from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, named, small_batches, table, written
 from ledgerlight.llm.decontam import shingle_hashes
 
 BYTES = np.uint64(0x0101010101010101)
@@ -151,9 +151,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = 8
 #: Distinct texts (about) in which shingles are counted for the common order, and how many of the most frequent are sent out.
 SAMPLED, COMMON = 10_000, 100_000
-#: Members of a key that are all paired at once. In larger ones all are paired with the least first, and then those that
-#: are not linked yet with each other, in blocks of BLOCK members against blocks.
-PAIRED, BLOCK = 8, 4096
+#: Texts of a key that are told by the least, the greatest and the xor of their ids, without a join.
+TOLD = 3
+#: In larger keys members that are not linked yet are compared in blocks of BLOCK members against blocks; each carries
+#: about KNOWN of its keys, by which most pairs are not given again under further keys.
+BLOCK, KNOWN = 4096, 16
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -165,10 +167,10 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
 
 
 def common_shingles(texts: DataFrame, shingle: int, every: int) -> np.ndarray:
-    """texts: id, text. The most frequent shingles in a sample of the texts, the most frequent last."""
+    """texts: th, text. The most frequent shingles in a sample of the texts, the most frequent last."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -177,16 +179,16 @@ def common_shingles(texts: DataFrame, shingle: int, every: int) -> np.ndarray:
                     found.append(shingle_set(text, shingle))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
-    sample = texts.select("id", "text").where(F.pmod("id", F.lit(every)) == 0)
+    sample = texts.select("th", "text").where(F.pmod(F.xxhash64("th"), F.lit(every)) == 0)
     counts = sample.mapInArrow(compute, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
 def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """texts: id, text. Returns id, n (distinct shingles), bits (WORDS longs: each bit is the parity of the shingles that
-    fall on it) and keys, the first n - ceil(similarity * n) + 1 shingles in an order that is the same for all texts, the
-    frequent ones last. Any two sets with that Jaccard similarity have one of these keys in common, whatever the order."""
+    """texts: th, doc_id, text. Returns th, doc_id, n (distinct shingles), bits (WORDS longs: each bit is the parity of the
+    shingles that fall on it) and keys, the first n - ceil(similarity * n) + 1 shingles in an order that is the same for all
+    texts, the frequent ones last. Any two sets with that Jaccard similarity have one of these keys in common, whatever the order."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common:
         known = shared.value[rank]
         for batch in batches:
             sizes, bits, keys, ends = [], np.zeros((batch.num_rows, WORDS), np.uint64), [np.zeros(0, np.uint64)], [0]
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            for row, text in enumerate(batch.column(2).to_pylist()):
                 h = shingle_set(text, shingle)
                 n = len(h)
                 odd = np.bincount(((h >> np.uint64(20)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
@@ -206,19 +208,39 @@ def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common:
                 sizes.append(n), keys.append(h[:taken]), ends.append(ends[-1] + taken)
             lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))], ["id", "n", "bits", "keys"]
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))],
+                ["th", "doc_id", "n", "bits", "keys"],
             )
 
-    return texts.select("id", "text").mapInArrow(compute, "id long, n long, bits array<long>, keys array<long>")
-
-
-def shared_keys(sketches: DataFrame) -> DataFrame:
-    """sketches: id, keys, stored. Returns key, id, n (members of the key), stored, for keys of more than one text."""
-    keyed = written(sketches.select(F.explode("keys").alias("key"), "id"), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(keyed.join(sizes, "key"), "keys")
-    drop_written(keyed)
-    return sized
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("th", "doc_id", "text").mapInArrow(compute, f"th binary, doc_id {kind}, n long, bits array<long>, keys array<long>")
+
+
+def told_and_crowded(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sketches: id, keys, stored. Returns the distinct pairs (u, v), u < v, of texts under keys of up to TOLD texts, stored;
+    and key, id, n (members of the key) of larger keys, stored. Of keys with the same members only one is returned."""
+    keyed = sketches.select(F.explode("keys").alias("key"), "id")
+    told = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("all")).where("n > 1")
+    told = written(told.groupBy("n", "low", "high", "all").agg(F.min("key").alias("key")), "told")
+    free_shuffles(sketches.sparkSession)
+    middle = F.expr("all ^ low ^ high")
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    low, high = F.col("low"), F.col("high")
+    listed = F.when(F.col("n") == 2, F.array(pair(low, high))).otherwise(F.array(pair(low, middle), pair(low, high), pair(middle, high)))
+    pairs = written(told.where(F.col("n") <= TOLD).select(F.explode(listed).alias("p")).select("p.*").distinct(), "pairs")
+    crowded = written(keyed.join(told.where(F.col("n") > TOLD).select("key", "n"), "key"), "keys")
+    drop_written(told)
+    free_shuffles(sketches.sparkSession)
+    return pairs, crowded
+
+
+def hub_pairs(crowded: DataFrame) -> DataFrame:
+    """(u, v), u < v: each text with the best connected one of all its keys. In a group of near copies that is the text which
+    the others were made from, or one near it, so most of a large group is linked by one pair a text."""
+    degree = crowded.groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = crowded.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("hub"))
+    best = crowded.join(hubs, "key").groupBy("id").agg(F.max("hub").alias("hub")).where("hub.id <> id")
+    return best.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v"))
 
 
 def sketched(sketches: DataFrame, name: str) -> DataFrame:
@@ -233,51 +255,43 @@ def not_far(similarity: float) -> Column:
     return (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6) & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
-def first_pairs(sized: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (u, v), u < v, that are not far: all under small keys, and under larger ones those with the least id."""
-    few = sized.where(F.col("n") <= PAIRED)
-    left, right = (few.select("key", F.col("id").alias(x)) for x in "uv")
-    pairs = left.join(right, "key").where("u < v").select("u", "v")
-    many = sized.where(F.col("n") > PAIRED)
-    star = many.join(many.groupBy("key").agg(F.min("id").alias("u")), "key").where("u < id").select("u", F.col("id").alias("v"))
-    found = pairs.unionByName(star).distinct()
-    return found.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select("u", "v")
-
-
-def other_pairs(sized: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (u, v), u < v, that are not far, share a key of more than PAIRED texts and are not connected by roots
-    (node, root). Members that are connected need no further link, so a large group of near copies costs its members times
-    the others under its keys; texts that are not connected are compared completely."""
-    many = sized.where(F.col("n") > PAIRED).select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def other_pairs(crowded: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u, v), u < v, that are not far, share a key of `crowded` and are not connected by roots (node, root).
+    Members that are connected need no further link, so a large group of near copies costs its members times the others
+    under its keys; texts that are not connected are compared completely."""
+    many = crowded.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     many = written(many, "many")
     mixed = many.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mixed = many.join(mixed.where("low < high").select("key", "blocks"), "key")
-    side = lambda x, block: mixed.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), block.alias("block")).join(sketched(sketches, x), x)
+    mixed = written(many.join(mixed.where("low < high").select("key", "blocks"), "key"), "mixed")
+    drop_written(many)
+    # of many keys those whose hash is a multiple of a power of two: texts take the same ones of the keys they share
+    share = mixed.groupBy("id").agg(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.count("*") / KNOWN, F.lit(1.0))))).cast("long").alias("share"))
+    some = mixed.join(share, "id").where(F.pmod(F.xxhash64("key"), "share") == 0).groupBy("id").agg(F.collect_list("key").alias("known"))
+    members = written(mixed.join(some, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<bigint>"))), "members")
+    drop_written(mixed)
+    side = lambda x, block: members.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("known").alias(f"known_{x}"), block.alias("block")).join(sketched(sketches, x), x)
     left, right = side("u", F.pmod(F.xxhash64("id"), "blocks").cast("int")), side("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))
-    return left.join(right, ["key", "block"]).where(apart & not_far(similarity)).select("u", "v").distinct()
+    # a pair is not given again where both are known to have a lesser key; under the least of all it is given
+    again = F.exists(F.array_intersect("known_u", "known_v"), lambda x: x < F.col("key"))
+    return left.join(right, ["key", "block"]).where(apart & not_far(similarity) & ~again).select("u", "v").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs whose texts have so much Jaccard similarity of their sets of word shingles."""
+    """Pairs whose texts have so much Jaccard similarity of their sets of word shingles (as 64-bit hashes)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shingles(text: str) -> set:
-            words = text.lower().split()
-            return set(zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else {tuple(words)}
-
-        kept: dict[int, set] = {}
+        before, own = None, None
         kept_by_worker("", lambda: None)
         for batch in batches:
             yes = []
             for u, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if u not in kept:
-                    kept.clear()
-                    kept[u] = shingles(a)
-                other = shingles(b)
-                both = len(kept[u] & other)
-                yes.append(both >= similarity * (len(kept[u]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(yes)), batch.column(1).filter(pa.array(yes))], ["u", "v"])
+                if u != before:
+                    before, own = u, shingle_set(a, shingle)
+                other = shingle_set(b, shingle)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                yes.append(both >= similarity * (len(own) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(yes, pa.bool_())), batch.column(1).filter(pa.array(yes, pa.bool_()))], ["u", "v"])
 
     of = lambda x, name: texts.select(F.col("id").alias(x), F.col("text").alias(name))
     both = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b")
@@ -285,47 +299,55 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the one with the least (doc_id, text hash).
+    """The rows of docs that stay: of each group of near-duplicates the one with the least (doc_id, text's digest).
 
     Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles (lower-cased, split at white
-    space) is `similarity` or more; groups are what links connect. Candidates come from an exact prefix filter on the shingles,
-    so no link is missed (but for collisions of 64-bit hashes). Copies count as one text, so their number does not matter. Null and empty texts are alike, and
-    one row of them stays; of rows repeated in doc_id and text one stays. All columns are returned as they are.
+    space) is `similarity` or more; groups are what links connect. Candidates come from an exact prefix filter on the
+    shingles, so no link is missed (but for collisions of their 64-bit hashes). Copies, told by 128-bit digests, count as
+    one text, so their number does not matter. Null and empty texts are alike, and one row of them stays; a null doc_id is
+    the least; of rows repeated in doc_id and text one stays. All columns are returned as they are, whatever their names; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(body).alias("id"), F.col("doc_id"), body.alias("text"))
-    one = F.struct("doc_id")
-    # one text of each id: the row with the least doc_id brings it
-    copies = written(rows.groupBy("id").agg(F.min(one).alias("least"), F.count("*").alias("n")), "copies")
+    th = F.unhex(F.md5(body)).alias("th")
+    rows = docs.select(th, F.col("doc_id"), body.alias("text"))
+    # one text of each digest: the row with the least doc_id brings it; texts are numbered for what follows
+    copies = rows.groupBy("th").agg(F.min(F.struct("doc_id")).alias("least"), F.count("*").alias("n"))
+    copies = written(copies.withColumn("id", F.monotonically_increasing_id()), "copies")
+    one = copies.select(F.col("th").alias("t"), F.col("least.doc_id").alias("d"), "id")
+    same = lambda df: (df["th"] == F.col("t")) & df["doc_id"].eqNullSafe(F.col("d"))
+    again = bool(rows.groupBy("th", "doc_id").count().where("count > 1").take(1))
     common = common_shingles(rows, shingle, max(1, copies.count() // SAMPLED))
     made = written(shingle_sketches(rows, shingle, similarity, common), "sketches")
-    sketches = written(made.dropDuplicates(["id"]), "sketches")
+    sketches = made.join(one, same(made)).select("id", F.col("n"), "bits", "keys")
+    sketches = written(sketches.dropDuplicates(["id"]) if again else sketches, "sketches")
     drop_written(made)
+    free_shuffles(spark)
 
     def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select("u", "v"), "pairs")
         # of copies only the row with the least doc_id is fetched: keyed by both, copies do not meet in one task
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(copies, "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"))
-        free_shuffles(spark)
-        texts = written(rows.join(wanted, (F.col("id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "text").dropDuplicates(["id"]), "texts")
+        wanted = one.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id")
+        texts = rows.join(wanted, same(rows)).select("id", "text")
+        texts = written(texts.dropDuplicates(["id"]) if again else texts, "texts")
         free_shuffles(spark)
         links = written(verified(pairs, texts, shingle, similarity), "links")
-        drop_written(texts)
+        drop_written(texts, pairs)
+        free_shuffles(spark)
         return links
 
-    sized = shared_keys(sketches)
-    links = linked(written(first_pairs(sized, sketches, similarity), "pairs"))
-    more = written(other_pairs(sized, sketches, components(links), similarity), "pairs")
+    told, crowded = told_and_crowded(sketches)
+    links = linked(told.unionByName(hub_pairs(crowded)).distinct())
+    more = written(other_pairs(crowded, sketches, components(links), similarity), "pairs")
     if more.take(1):
         links = links.unionByName(linked(more))
-    drop_written(sized)
+    drop_written(told, crowded, sketches, more)
     roots = components(links).withColumnRenamed("node", "id")
     grouped = copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    best = grouped.groupBy("root").agg(F.min(F.struct("least", "id")).alias("best")).select("best.id", F.col("best.least").alias("least"), F.lit(True).alias("stays"))
-    stays = best.join(copies.select("id", "n"), "id").select(F.col("id").alias("t"), F.col("least.doc_id").alias("d"), "n")
+    best = grouped.groupBy("root").agg(F.min(F.struct("least", "th")).alias("best")).select(F.col("best.th").alias("t"), F.col("best.least.doc_id").alias("d"))
     free_shuffles(spark)
-    kept = docs.join(stays, (F.xxhash64(body) == F.col("t")) & docs["doc_id"].eqNullSafe(F.col("d")))
-    # rows repeated as they are
-    again = rows.groupBy("id", "doc_id").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["t", "d"]) if again else kept).select(*(docs[c] for c in docs.columns))
+    whole = docs.select(th, F.col("doc_id"), F.struct(*named(docs.columns)).alias("row"))
+    kept = whole.join(best, same(whole))
+    return (kept.dropDuplicates(["t", "d"]) if again else kept).select(*(F.col("row")[c].alias(c) for c in docs.columns))

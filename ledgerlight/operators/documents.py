@@ -24,11 +24,11 @@ DASHES = "‐‑‒–—―"
 def text_quality(text: Column, pages: Column) -> list[Column]:
     """chars_per_page, alnum_ratio, word_shape_ratio, passed. Letters and numbers of all scripts count as such."""
     per_page = F.char_length(text) / F.greatest(pages, F.lit(1))
-    solid = F.regexp_count(text, F.lit(r"\S"))
+    solid = F.char_length(F.translate(text, " \t\n\u000b\f\r", ""))
     alnum = F.when(solid > 0, F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) / solid).otherwise(0.0)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    shaped = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Za-z0-9][A-Za-z0-9'\-.,;:()/]*$")))
-    ratio = F.when(F.size(words) > 0, shaped / F.size(words)).otherwise(0.0)
+    n_words = F.regexp_count(text, F.lit(r"\S++"))
+    shaped = F.regexp_count(text, F.lit(r"(?<!\S)[A-Za-z0-9][A-Za-z0-9'\-.,;:()/]*+(?!\S)"))
+    ratio = F.when(n_words > 0, shaped / n_words).otherwise(0.0)
     passed = (per_page >= CHARS_PER_PAGE) & (alnum >= ALNUM) & (ratio >= WORD_SHAPE)
     return [per_page.alias("chars_per_page"), alnum.alias("alnum_ratio"), ratio.alias("word_shape_ratio"), passed.alias("passed")]
 
@@ -53,6 +53,45 @@ def verbatim(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("status", F.when(F.contains("text", F.col("quote")), "VERBATIM"))
 
 
+def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, item_id of documents (doc_id, text) that hold a quote (item_id, quote) as it stands; empty quotes are left out.
+
+    A quote may begin or end within a word of the text, but its inner words stand there whole: texts that have the longest
+    of these are candidates. A quote of one or two words has none; there the words of all texts that hold its longer word's
+    first three characters are looked up. Distinct words of a text are joined, so a common word costs one row a text."""
+    words = F.split("quote", " ")
+    shaped = quotes.where("quote <> ''").select("item_id", "quote", words.alias("words"))
+    longest = lambda of: F.array_max(F.transform(of, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    inner = shaped.where(F.size("words") > 2).select("item_id", "quote", longest(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(1)))).alias("word"))
+    short = shaped.where(F.size("words") <= 2).select("item_id", "quote", longest(F.col("words")).alias("part"))
+    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    found = held.join(inner, "word").select("doc_id", "item_id", "quote")
+    if short.take(1):
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring("word", i, F.lit(n)))
+        vocabulary = held.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+        within = vocabulary.join(short.withColumn("gram", F.substring("part", 1, 3)), "gram").where(F.contains("word", F.col("part"))).select("word", "item_id", "quote").distinct()
+        # a quote that is a single blank has no part: it stands in every text that has one
+        blank = docs.where(F.contains("text", F.lit(" "))).select("doc_id").join(short.where("part = ''").select("item_id", "quote"))
+        found = found.unionByName(held.join(within, "word").select("doc_id", "item_id", "quote")).unionByName(blank)
+    return found.distinct().join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id").distinct()
+
+
+def citation_pairs(texts: DataFrame, quotes: DataFrame, run: int = 3) -> DataFrame:
+    """doc_id, item_id, text, quote: each text (doc_id, text) with the quotes (item_id, quote) of which it has `run` words in
+    a row; shorter quotes go by all their words. Runs are joined by their hashes, each once a text."""
+    def runs(column: str) -> Column:
+        words = F.filter(F.split(F.lower(column), r"\W+"), lambda w: w != "")
+        at = F.sequence(F.lit(1), F.greatest(F.size("_w") - run + 1, F.lit(1)))
+        return words, F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, run), " "))))
+
+    def exploded(df: DataFrame, key: str, column: str) -> DataFrame:
+        words, hashes = runs(column)
+        return df.select(key, words.alias("_w")).select(key, F.explode(hashes).alias("h"))
+
+    pairs = exploded(texts, "doc_id", "text").join(exploded(quotes, "item_id", "quote"), "h").select("doc_id", "item_id").distinct()
+    return pairs.join(texts, "doc_id").join(quotes, "item_id").select("doc_id", "item_id", "text", "quote")
+
+
 def fuzzy(pairs: DataFrame, threshold: float = NEAR) -> DataFrame:
     """pairs: pair, quote, text (both plain). Returns pair, similarity, status (NEAR, ABSENT or EXTRACTION_UNRELIABLE).
 

@@ -134,11 +134,15 @@ def curated(scored: DataFrame, top: int = 10) -> list:
     """At most `top` flags: the best of each indicator and jurisdiction first, then by score within the caps of 40 and 50
     in 100; never padded. A subject is taken once in the second pass.
 
-    The second pass takes by score in turn, so it looks at no more than the best rows of each combination: that many
-    suffice, as each row it takes or skips counts against a cap. What comes to the driver is bounded by combinations x top.
+    The second pass takes by score in turn. Of a combination's rows with one subject only the best can ever be taken, so
+    the others go first. Of those left, no more than `top` are passed over for their subject, for so many are chosen at
+    most, and no more than `top` are taken; where a cap passes one over, the combination has ended. So the best 2 x top of
+    each combination decide, and that times the number of combinations bounds what comes to the driver.
     """
-    w = Window.partitionBy("indicator", "jurisdiction").orderBy(F.desc("score"), "subject")
-    rows = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 4 * top).orderBy(F.desc("score"), "subject", "indicator").collect()
+    columns = scored.columns
+    place = Window.partitionBy("indicator", "jurisdiction").orderBy(F.desc("score"), "subject")
+    best = scored.groupBy("indicator", "jurisdiction", "subject").agg(F.max_by(F.struct(*columns), F.struct("score", *(c for c in columns if c not in ("score", "indicator", "jurisdiction", "subject")))).alias("row")).select("row.*")
+    rows = best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= 2 * top).orderBy(F.desc("score"), "subject", "indicator", "jurisdiction").collect()
     per_indicator, per_place = max(1, int(top * 0.4)), max(1, int(top * 0.5))
     chosen, by_indicator, by_place = [], {}, {}
 

@@ -11,18 +11,17 @@ from ledgerlight.operators.aggregates import attested_only_by, coverage_tiers, z
 from ledgerlight.plans.base import query
 from ledgerlight.sources.views import Tables
 
-STARTS, GOALS = (1, 6), (2_000_000_000, 2_000_000_008)
-
 PATHS = """adj AS (SELECT source AS node, target AS other, id AS edge, edge_type, valid_from FROM edge UNION ALL SELECT target, source, id, edge_type, valid_from FROM edge WHERE source <> target),
-p(start, node, nodes, edges, types, dates, spent) AS (SELECT id, id, [id], []::BIGINT[], []::VARCHAR[], []::DATE[], 0 FROM entity WHERE id BETWEEN 1 AND 6
+p(start, node, nodes, edges, types, dates, spent) AS (SELECT id, id, [id], []::BIGINT[], []::VARCHAR[], []::DATE[], 0 FROM entity WHERE entity_type = 'company'
  UNION ALL SELECT p.start, a.other, list_append(p.nodes, a.other), list_append(p.edges, a.edge), list_append(p.types, a.edge_type), list_append(p.dates, a.valid_from), p.spent + CASE WHEN a.edge_type = 'same_as' THEN 0 ELSE 1 END
- FROM p JOIN adj a ON a.node = p.node WHERE p.spent < 2 AND NOT list_contains(p.nodes, a.other) AND (p.node = p.start OR p.node NOT BETWEEN 2000000000 AND 2000000008)),
-found AS (SELECT start, node AS goal, edges, types, dates FROM p WHERE node BETWEEN 2000000000 AND 2000000008 AND node <> start)"""
+ FROM p JOIN adj a ON a.node = p.node WHERE p.spent < 2 AND NOT list_contains(p.nodes, a.other) AND p.node < 2000000000),
+found AS (SELECT start, node AS goal, edges, types, dates FROM p WHERE node >= 2000000000)"""
 
 
 def _paths(t: Tables):
-    e = t.entity
-    return G.bounded_paths(t.edge, e.where(F.col("id").between(*STARTS)).select(F.col("id").alias("start")), e.where(F.col("id").between(*GOALS)).select(F.col("id").alias("goal")), 2)
+    """From every company to every public body, whose ids are those from 2,000,000,000 on."""
+    of = lambda kind, name: t.entity.where(F.col("entity_type") == kind).select(F.col("id").alias(name))
+    return G.bounded_paths(t.edge, of("company", "start"), of("public_body", "goal"), 2)
 
 
 @query("g01_adjacency", "SELECT node, CAST(count(*) AS BIGINT) AS degree, CAST(sum(edge % 1000) AS BIGINT) AS check_sum FROM (SELECT source AS node, id AS edge FROM edge UNION ALL SELECT target, id FROM edge WHERE source <> target) GROUP BY node")
@@ -59,15 +58,13 @@ def g05(spark, sf_dir):
     return _leveled(Tables(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("g06_relationship_level", f"""{PATH_LEVELS}, pairs AS (SELECT s.id AS start, g.id AS goal FROM entity s, entity g WHERE s.id BETWEEN 1 AND 6 AND g.id BETWEEN 2000000000 AND 2000000008),
+@query("g06_relationship_level", f"""{PATH_LEVELS}, pairs AS (SELECT CAST(s_suppkey AS BIGINT) AS start, 2000000000 + s_nationkey AS goal FROM supplier),
 b AS (SELECT start, goal, min(level) AS best, count(*) AS paths FROM pl GROUP BY ALL)
 SELECT start, goal, CASE WHEN paths IS NULL THEN 4 ELSE best END AS level, coalesce(paths, 0) AS paths FROM pairs LEFT JOIN b USING (start, goal)""")
 def g06(spark, sf_dir):
+    """Each supplier's relationship with its own nation."""
     t = Tables(spark, sf_dir)
-    e = t.entity
-    # the pairs asked for: a few named starts and goals
-    pairs = e.where(F.col("id").between(*STARTS)).select(F.col("id").alias("start")).join(F.broadcast(e.where(F.col("id").between(*GOALS)).select(F.col("id").alias("goal"))))
-    return G.relationship_levels(pairs, _leveled(t))
+    return G.relationship_levels(t.read("supplier").selectExpr("s_suppkey AS start", "2000000000L + s_nationkey AS goal"), _leveled(t))
 
 
 @query("g07_identity_confidence", f"""WITH RECURSIVE {PATHS}, u AS (SELECT start, goal, array_to_string(edges, ',') AS path, unnest(CASE WHEN list_contains(types, 'same_as') THEN list_transform(list_filter(list_zip(edges, types), lambda x: x[2] = 'same_as'), lambda x: x[1]) ELSE [NULL] END) AS edge FROM found),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.scalars import normalise_name
 from ledgerlight.operators import read_api, registers, scoring
 from ledgerlight.operators import resolve as R
+from ledgerlight.operators.sequence import placed
 from ledgerlight.plans.base import query
 from ledgerlight.sources.views import Tables
 
@@ -19,8 +19,9 @@ SELECT k, CASE WHEN donor_status = 'Individual' THEN 'skipped_individual' WHEN n
  CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS amount_cents, CAST(CASE WHEN r IS NULL THEN d + 1 WHEN r = 'bad' THEN NULL ELSE d END AS VARCHAR) AS donated_on, coalesce(r = 'bad', false) AS invalid_received FROM m""")
 def b07(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    numbered = t.company.select("normalised_name", (F.row_number().over(Window.orderBy("company_number")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    donors = t.read("orders").join(numbered, F.col("o_custkey") % F.col("n") == F.col("i"))
+    numbered = placed(t.company.select("normalised_name", "company_number"), ["company_number"], F.row_number(), "place").select("normalised_name", (F.col("place") - 1).alias("i"))
+    size = t.company.agg(F.count("*").alias("n"))  # one row
+    donors = t.read("orders").crossJoin(F.broadcast(size)).withColumn("i", F.col("o_custkey") % F.col("n")).join(numbered, "i")
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
     rows = donors.select(
         F.col("o_orderkey").alias("k"), F.expr("CASE o_orderkey % 5 WHEN 0 THEN 'Individual' WHEN 1 THEN 'Trade Union' ELSE 'Company' END").alias("donor_status"), F.lower("normalised_name").alias("donor_name"),
@@ -96,10 +97,14 @@ def d18(spark, sf_dir):
     return Tables(spark, sf_dir).award.groupBy("supplier_name").agg(F.count("*").alias("n_rows"), F.count_distinct("award_date").alias("dates"), F.min("award_date").cast("string").alias("earliest"))
 
 
-@query("d21_fisher")
+@query("d21_fisher", """WITH t AS (SELECT buyer_nation AS key, count(*) FILTER (method = 'direct' AND source_id = 'ua_prozorro') AS a, count(*) FILTER (method <> 'direct' AND source_id = 'ua_prozorro') AS b, count(*) FILTER (method = 'direct' AND source_id <> 'ua_prozorro') AS c, count(*) FILTER (method <> 'direct' AND source_id <> 'ua_prozorro') AS d FROM tender GROUP BY 1),
+k AS (SELECT *, unnest(range(greatest(0, 2 * a + b + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM t),
+w AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(c + d - a - c + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM k),
+s AS (SELECT key, x, p, first_value(p) OVER (PARTITION BY key ORDER BY x = a DESC) AS seen, a, b, c, d FROM w)
+SELECT key, a, b, c, d, round(least(1.0, sum(p) FILTER (x = a OR p <= seen * (1 - 1e-9))), 6) AS p FROM s GROUP BY ALL""")
 def d21(spark, sf_dir):
     t = Tables(spark, sf_dir).tender.groupBy("buyer_nation").agg(F.count_if((F.col("method") == "direct") & (F.col("source_id") == "ua_prozorro")).alias("a"), F.count_if((F.col("method") != "direct") & (F.col("source_id") == "ua_prozorro")).alias("b"), F.count_if((F.col("method") == "direct") & (F.col("source_id") != "ua_prozorro")).alias("c"), F.count_if((F.col("method") != "direct") & (F.col("source_id") != "ua_prozorro")).alias("d"))
-    return scoring.fisher(t.withColumnRenamed("buyer_nation", "key"))
+    return scoring.fisher(t.withColumnRenamed("buyer_nation", "key")).withColumn("p", F.round("p", 6))
 
 
 @query("d22_discrimination", """WITH r AS (SELECT source_id, method = 'direct' AS f, value_cents > 15000000 AS g FROM tender), u AS (SELECT source_id, 'direct' AS indicator, f AS hit FROM r UNION ALL SELECT source_id, 'large', g FROM r), c AS (SELECT source_id = 'ua_prozorro' AS vip, indicator, count(*) AS n, count(*) FILTER (hit) AS flags FROM u GROUP BY ALL)
@@ -128,7 +133,7 @@ def e07(spark, sf_dir):
 @query("e10_supplier_ranking", "WITH r AS (SELECT supplier_name, count(DISTINCT value_kind) AS kinds, count(*) AS awards, max(value_cents) AS largest FROM award GROUP BY 1) SELECT *, rank() OVER (ORDER BY kinds DESC, awards DESC) AS rank FROM r")
 def e10(spark, sf_dir):
     r = Tables(spark, sf_dir).award.groupBy("supplier_name").agg(F.count_distinct("value_kind").alias("kinds"), F.count("*").alias("awards"), F.max("value_cents").alias("largest"))
-    return r.withColumn("rank", F.rank().over(Window.orderBy(F.desc("kinds"), F.desc("awards"))).cast("long"))
+    return placed(r, [F.desc("kinds"), F.desc("awards")], F.rank(), "rank").withColumn("rank", F.col("rank").cast("long"))
 
 
 def _flags(t: Tables):
@@ -137,16 +142,23 @@ def _flags(t: Tables):
     return direct.unionByName(limited).select("indicator", F.col("source_id").alias("jurisdiction"), F.col("tender_id").alias("subject"), "value_cents", F.lit(100).alias("length"), F.lit(True).alias("has_url"))
 
 
-@query("h31_score", """WITH f AS (SELECT 'direct' AS indicator, source_id AS jurisdiction, tender_id AS subject, value_cents FROM tender WHERE method = 'direct' UNION ALL SELECT 'limited', source_id, tender_id, value_cents FROM tender WHERE method IN ('limited', 'direct') AND value_cents > 10000000),
-n AS (SELECT *, count(*) OVER (PARTITION BY indicator) AS i, count(*) OVER (PARTITION BY jurisdiction) AS j, count(*) OVER () AS t FROM f), k AS (SELECT subject, count(DISTINCT indicator) AS kinds FROM f GROUP BY 1)
-SELECT indicator, jurisdiction, subject, round(((1 - i / t) + (1 - j / t)) * 3 + CASE WHEN value_cents > 0 THEN log10(value_cents) ELSE 0 END * 2 + 0.5 + CASE WHEN kinds >= 2 THEN 4 ELSE 0 END + 1, 6) AS score FROM n JOIN k USING (subject)""")
+SCORES = """f AS (SELECT 'direct' AS indicator, source_id AS jurisdiction, tender_id AS subject, value_cents FROM tender WHERE method = 'direct' UNION ALL SELECT 'limited', source_id, tender_id, value_cents FROM tender WHERE method IN ('limited', 'direct') AND value_cents > 10000000),
+n AS (SELECT *, count(*) OVER (PARTITION BY indicator) AS i, count(*) OVER (PARTITION BY jurisdiction) AS j, count(*) OVER () AS t FROM f), k AS (SELECT subject, count(DISTINCT indicator) AS kinds FROM f GROUP BY 1),
+scored AS (SELECT indicator, jurisdiction, subject, round(((1 - i / t) + (1 - j / t)) * 3 + CASE WHEN value_cents > 0 THEN log10(value_cents) ELSE 0 END * 2 + 0.5 + CASE WHEN kinds >= 2 THEN 4 ELSE 0 END + 1, 6) AS score FROM n JOIN k USING (subject))"""
+
+
+@query("h31_score", f"WITH {SCORES} SELECT * FROM scored")
 def h31(spark, sf_dir):
     return scoring.flag_scores(_flags(Tables(spark, sf_dir))).select("indicator", "jurisdiction", "subject", F.round("score", 6).alias("score"))
 
 
-@query("f01_curated")
+@query("f01_curated", f"""WITH RECURSIVE {SCORES}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, subject, indicator, jurisdiction) AS pos, row_number() OVER (PARTITION BY indicator, jurisdiction ORDER BY score DESC, subject) AS place FROM scored),
+pick(k, taken, subjects, inds, places) AS (SELECT count(*), list(pos), list(subject), list(indicator), list(jurisdiction) FROM (SELECT * FROM o WHERE place = 1 ORDER BY pos LIMIT 10)
+ UNION ALL SELECT k + 1, list_append(taken, b.pos), list_append(subjects, b.subject), list_append(inds, b.indicator), list_append(places, b.jurisdiction) FROM (SELECT k, taken, subjects, inds, places, arg_min(struct_pack(pos := pos, subject := subject, indicator := indicator, jurisdiction := jurisdiction), pos) AS b
+  FROM pick JOIN o ON k < 10 AND NOT list_contains(subjects, subject) AND len(list_filter(inds, lambda x: x = indicator)) < 4 AND len(list_filter(places, lambda x: x = jurisdiction)) < 5 GROUP BY ALL))
+SELECT indicator, jurisdiction, subject, score FROM o WHERE pos IN (SELECT unnest(taken) FROM pick)""")
 def f01(spark, sf_dir):
-    scored = scoring.flag_scores(_flags(Tables(spark, sf_dir)))
+    scored = scoring.flag_scores(_flags(Tables(spark, sf_dir))).select("indicator", "jurisdiction", "subject", F.round("score", 6).alias("score"))
     return spark.createDataFrame([tuple(r[c] for c in scored.columns) for r in scoring.curated(scored, 10)], scored.schema)
 
 

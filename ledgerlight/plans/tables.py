@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import scalars as S
@@ -163,12 +162,21 @@ def d20(spark, sf_dir):
     return A.with_interval(rates, "hits", "n").withColumn("low", F.round("low", 9)).withColumn("high", F.round("high", 9))
 
 
-@query("d24_graph_hash", "SELECT sha256(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS digest, count(*) AS n FROM (SELECT concat_ws('|', CAST(id AS VARCHAR), edge_type, coalesce(CAST(valid_from AS VARCHAR), 'None')) AS r FROM edge)")
+@query("d24_graph_hash", """WITH r AS (SELECT sha256(concat_ws('|', CAST(id AS VARCHAR), edge_type, coalesce(CAST(valid_from AS VARCHAR), 'None'))) AS d FROM edge),
+a AS (SELECT left(d, 2) AS p, sha256(string_agg(d, '' ORDER BY d)) AS d, count(*) AS n FROM r GROUP BY 1), b AS (SELECT left(p, 1) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM a GROUP BY 1)
+SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b""")
 def d24(spark, sf_dir):
     row = F.concat_ws("|", F.col("id").cast("string"), "edge_type", F.coalesce(F.col("valid_from").cast("string"), F.lit("None")))
     return A.table_digest(Tables(spark, sf_dir).edge, row)
 
 
+@query("d24_checksum", """WITH r AS (SELECT CAST('0x' || left(md5(concat_ws('|', CAST(id AS VARCHAR), edge_type, coalesce(CAST(valid_from AS VARCHAR), 'None'))), 15) AS BIGINT) AS h FROM edge)
+SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(CAST(h AS HUGEINT)) % 1000000007 AS BIGINT) AS total FROM r""")
+def d24_checksum(spark, sf_dir):
+    row = F.concat_ws("|", F.col("id").cast("string"), "edge_type", F.coalesce(F.col("valid_from").cast("string"), F.lit("None")))
+    return A.table_checksum(Tables(spark, sf_dir).edge, row).withColumn("total", (F.col("total") % 1_000_000_007).cast("long"))
+
+
 @query("b05_last_write", "SELECT source_id, arg_max(status, event_id) AS status, max(event_id) AS event_id FROM run GROUP BY 1")
 def b05(spark, sf_dir):
     return E.last_write(Tables(spark, sf_dir).run, ["source_id"], "event_id").select("source_id", "status", "event_id")
@@ -225,7 +233,8 @@ def f02(spark, sf_dir):
 
 @query("f03_salted_order", "SELECT company_number, row_number() OVER (ORDER BY sha256('salt' || company_number)) AS place FROM company")
 def f03(spark, sf_dir):
-    return Tables(spark, sf_dir).company.select("company_number", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("salt"), "company_number"), 256))).cast("long").alias("place"))
+    salted = Tables(spark, sf_dir).company.select("company_number", F.sha2(F.concat(F.lit("salt"), "company_number"), 256).alias("salted"))
+    return E.placed(salted, ["salted"], F.row_number(), "place").select("company_number", F.col("place").cast("long").alias("place"))
 
 
 @query("f04_next_pending", "SELECT company_number FROM company WHERE company_number NOT IN (SELECT company_number FROM resolution WHERE company_number IS NOT NULL) ORDER BY company_number LIMIT 50")
@@ -308,23 +317,21 @@ def p01(spark, sf_dir):
 
 @query("p05_verbatim", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def p05(spark, sf_dir):
-    """Which documents quote which items word for word. An item may begin or end within a word of a document, but its inner
-    words stand there whole: documents that have the longest of these are candidates, and then the whole is compared."""
+    """Which documents quote which items word for word."""
     t = Tables(spark, sf_dir)
-    words = F.split("text", " ")
-    inner = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    items = t.read("benchmark").select("item_id", F.col("text").alias("quote"), F.array_max(inner)["w"].alias("word"))
-    docs = t.read("documents").select("doc_id", "text")
-    near = docs.select("doc_id", F.explode(words).alias("word")).join(items, "word").select("doc_id", "item_id", "quote").distinct()
-    return near.join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    return P.quoted(t.read("documents").select("doc_id", "text"), t.read("benchmark").select("item_id", F.col("text").alias("quote"))).select("doc_id", "item_id")
 
 
 @query("p05_near")
 def p05_near(spark, sf_dir):
-    """Citations of altered passages, checked against their documents by fuzzy comparison."""
+    """Citations of altered passages: each document with every item of which it has three words in a row, compared fuzzily."""
     t = Tables(spark, sf_dir)
-    pairs = t.read("documents").where("length(text) < 2000").join(F.broadcast(t.read("benchmark").select("item_id", F.col("text").alias("quote"))), F.col("doc_id") % 40 == F.col("item_id"))
-    return P.fuzzy(pairs.select(F.concat_ws("/", "doc_id", "item_id").alias("pair"), P.plain_quotes(F.col("quote")).alias("quote"), P.plain_quotes(F.col("text")).alias("text")))
+    quotes = t.read("benchmark").select("item_id", P.plain_quotes(F.col("text")).alias("quote"))
+    texts = t.read("documents").select("doc_id", P.plain_quotes(F.col("text")).alias("text"))
+    pairs = P.citation_pairs(texts, quotes)
+    # few rows that each take long: dealt over all tasks
+    dealt = pairs.select(F.concat_ws("/", "doc_id", "item_id").alias("pair"), "quote", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair")
+    return P.fuzzy(dealt)
 
 
 @query("p02_html")

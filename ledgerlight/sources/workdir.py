@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed and stored in the shared checkpoint folder; a temporary one is set only where none is configured."""
+    """df computed and stored in the shared checkpoint folder. Only where none is configured and Spark runs in one process
+    (tests) is a temporary one made; on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not re.fullmatch(r"local(\[.*])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="ledgerlight-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)

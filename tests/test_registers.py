@@ -137,3 +137,53 @@ def test_streams(spark, tmp_path):
     by = run(streaming.runs_by_window(stream), "windows", "append")
     assert by and all(r.runs == 6 for r in by)
     assert run(streaming.sessions(stream), "sessions", "complete")[0].runs == 39
+
+
+def plainly_curated(rows, top):
+    """rows: indicator, jurisdiction, subject, score; the whole table, in turn."""
+    rows = sorted(rows, key=lambda r: (-r[3], r[2], r[0], r[1]))
+    best = {}
+    for r in rows:
+        best.setdefault(r[:2], r)
+    chosen = [r for r in rows if best[r[:2]] is r][:top]
+    for r in rows:
+        if len(chosen) < top and r[2] not in {c[2] for c in chosen} and sum(c[0] == r[0] for c in chosen) < max(1, int(top * 0.4)) and sum(c[1] == r[1] for c in chosen) < max(1, int(top * 0.5)):
+            chosen.append(r)
+    return chosen
+
+
+def test_curated_where_subjects_repeat(spark):
+    import random
+
+    r = random.Random(2)
+    for case in range(4):
+        # one subject has the best sixty rows of its combination; others repeat under several indicators
+        rows = [("a", "x", "same", 100.0 - i / 7) for i in range(60)] + [(r.choice("ab"), r.choice("xyz"), f"s{r.randrange(12)}", float(r.randrange(90))) for _ in range(80)]
+        flags = spark.createDataFrame(rows, "indicator string, jurisdiction string, subject string, score double")
+        for top in (3, 10):
+            assert [tuple(x)[:4] for x in scoring.curated(flags, top)] == plainly_curated(rows, top)
+
+
+def test_places_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlight.operators.sequence import placed
+
+    rows = spark.createDataFrame([(i * 37 % 101 // 3,) for i in range(101)], "v int").repartition(5)
+    ranked = placed(rows, ["v"], F.rank(), "place").collect()
+    values = sorted(r.v for r in ranked)
+    assert all(r.place == values.index(r.v) + 1 for r in ranked) and len(ranked) == 101
+    assert sorted(r.place for r in placed(rows, [F.desc("v")], F.row_number(), "place").collect()) == list(range(1, 102))
+
+
+def test_quotes_of_few_words(spark):
+    from ledgerlight.operators.documents import citation_pairs, quoted
+
+    texts = {1: "the cat sat on the mat", 2: "concatenate on", 3: "a b", 4: "nothing", 5: None}
+    quotes = {1: "cat", 2: "at on", 3: "cat sat on the", 4: "t s", 5: "b", 6: " ", 7: "on the m", 8: "", 9: "absent words here"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(quotes.items()), "item_id long, quote string")
+    got = {tuple(r) for r in quoted(docs, items).collect()}
+    assert got == {(d, i) for d, t in texts.items() for i, q in quotes.items() if t and q and q in t}
+    near = {(r.doc_id, r.item_id) for r in citation_pairs(docs, items).collect()}
+    assert {(1, 3)} <= near and not any(i == 9 for _, i in near)

@@ -1,4 +1,4 @@
-"""Names of people and of organisations in register entries, as Column expressions of their own design."""
+"""Names of people and of organisations in register entries, as Column expressions."""
 
 from __future__ import annotations
 
@@ -21,14 +21,19 @@ CONNECTORS = ("the", "a", "an", "and", "of", "for", "in", "at", "&", "to", "on",
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z'\\-]+"), lambda w: w != "")
+# A person's name is folded to lower-case words one blank apart, and then one pattern takes it to pieces.
+_TITLE, _FRONT, _OFFICE = ("|".join(x) for x in (TITLES, TITLES + PREFIXES, FUNCTIONAL))
+_SEATED = rf"^((?:(?:{_FRONT})(?: |$))*+)(.*?) ?(?:\bof (.+))?$"
+# Titles that mean the same rank.
+SAME_RANK = {"baron": "lord", "baroness": "lady"}
 
 
-def territorial(text: Column) -> Column:
-    """What follows "of", lower-cased, letters only; null if nothing does."""
-    raw = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?is)\bof\s+(.+)$", 1)
-    return F.nullif(F.regexp_replace(F.lower(F.trim(F.regexp_replace(raw, r"[^A-Za-z&\s]", ""))), r"\s+", " "), F.lit(""))
+def folded(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z'&\-]+", " "))
+
+
+def _found(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def same_territory(member: Column, officer: Column) -> Column:
@@ -37,37 +42,32 @@ def same_territory(member: Column, officer: Column) -> Column:
 
 
 def common_title(title: Column) -> Column:
-    return F.when(title == "baron", "lord").when(title == "baroness", "lady").otherwise(title)
+    """A title, or the one that stands for its rank."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in SAME_RANK.items() for x in pair))[title], title)
 
 
 def member_name(name: Column) -> Column:
-    """struct(surname, forename, title, territorial, functional) of "Lord Sample of Place" or "Jane Sample"."""
-    words = _words(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?is)\s+of\s+.*$", ""))
-    is_front = lambda w: F.lower(w).isin(*TITLES, *PREFIXES)
-    # the leading titles and forms of address end where the first other word stands
-    place = F.array_position(F.transform(words, lambda w: ~is_front(w)), F.lit(True)).cast("int")
-    count = F.when(place == 0, F.size(words)).otherwise(place - 1)
-    front, rest = F.slice(words, 1, count), F.slice(words, count + 1, F.size(words))
-    title = F.try_element_at(F.filter(F.transform(front, F.lower), lambda w: w.isin(*TITLES)), F.lit(-1))
-    functional = (F.size(rest) == 1) & F.lower(F.try_element_at(rest, F.lit(1))).isin(*FUNCTIONAL)
-    none = (F.size(rest) == 0) | functional
+    """struct(surname, forename, title, seat, office) of "Lord Sample of Place" or "Jane Sample": titles and forms of
+    address, then names, then the seat. Who is named by a church office alone has no surname, forename or seat."""
+    plain = folded(name)
+    core = F.regexp_extract(plain, _SEATED, 2)
+    office = core.rlike(f"^(?:{_OFFICE})$")
+    person = F.when(~office, core)
     return F.struct(
-        F.when(none, "").otherwise(F.lower(F.try_element_at(rest, F.lit(-1)))).alias("surname"), F.when(~none & (F.size(rest) > 1), F.lower(F.try_element_at(rest, F.lit(1)))).alias("forename"),
-        title.alias("title"), F.when(~none, territorial(name)).alias("territorial"), functional.alias("functional"))
+        F.coalesce(_found(person, r"([^ ]+)$", 1), F.lit("")).alias("surname"), _found(person, r"^([^ ]+) ", 1).alias("forename"),
+        _found(F.regexp_extract(plain, _SEATED, 1), rf".*\b({_TITLE})\b", 1).alias("title"), F.when(~office & (core != ""), _found(plain, _SEATED, 3)).alias("seat"), office.alias("office"))
 
 
 def officer_name(name: Column) -> Column:
-    """struct(surname, forename, title, territorial) of "SAMPLE, Jane Mary, Dame"."""
-    parts = F.transform(F.split(F.coalesce(name, F.lit("")), ","), lambda p: F.trim(p))
-    part = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(""))
-    several = F.size(parts) >= 2
-    first = F.filter(F.transform(_words(part(2)), F.lower), lambda w: ~w.isin(*TITLES))
-    trailing = F.filter(F.transform(_words(part(-1)), F.lower), lambda w: w.isin(*TITLES))
-    title = F.when(F.lower(part(3)).isin(*TITLES), F.lower(part(3))).when(several & (part(2) != ""), F.try_element_at(trailing, F.lit(1)))
-    empty = part(1) == ""
+    """struct(surname, forename, title, seat) of "SAMPLE, Jane Mary, Dame" or "SAMPLE, Jane, Lord Sample of Place": a surname,
+    given names, and behind a second comma what else the person is called."""
+    pieces = r"^([^,]*)(?:,([^,]*))?(?:,(.*))?$"
+    surname, given, more = (folded(F.regexp_extract(F.coalesce(name, F.lit("")), pieces, k)) for k in (1, 2, 3))
+    there = surname != ""
+    called = F.when(more != "", more).otherwise(given)
     return F.struct(
-        F.when(empty, "").otherwise(F.lower(F.regexp_replace(part(1), "[^A-Za-z'\\-]", ""))).alias("surname"), F.when(~empty & several, F.try_element_at(first, F.lit(1))).alias("forename"),
-        F.when(~empty, title).alias("title"), F.when(~empty & several, territorial(part(-1))).alias("territorial"))
+        F.replace(surname, F.lit(" "), F.lit("")).alias("surname"), F.when(there, _found(given, rf"^(?:(?:{_TITLE}) )*+([^ ]+)", 1)).alias("forename"),
+        F.when(there, _found(called, rf"^(?:.*? )??({_TITLE})(?: |$)", 1)).alias("title"), F.when(there, _found(called, r"\bof (.+)$", 1)).alias("seat"))
 
 
 def without_notes(text: Column) -> Column:

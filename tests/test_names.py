@@ -14,20 +14,24 @@ def apply(spark, f, *values):
 
 
 @pytest.mark.parametrize("name,want", [
-    ("Lord Sample of Newplace", ("sample", None, "lord", "newplace", False)), ("Sir John Example", ("example", "john", "sir", None, False)), ("Rt Hon Jane O'Test", ("o'test", "jane", None, None, False)),
-    ("The Lord Bishop of Oldtown", ("", None, "lord", None, True)), ("Lady", ("", None, "lady", None, False)), (None, ("", None, None, None, False)),
+    ("Viscountess  Quill of Upper & Nether Marl", ("quill", None, "viscountess", "upper & nether marl", False)), ("Dame Ivy Rook", ("rook", "ivy", "dame", None, False)), ("Prof Sir Abel  Tarn-Moss", ("tarn-moss", "abel", "sir", None, False)),
+    ("Mr A. B. O'Dell", ("o'dell", "a", None, None, False)), ("The Lord Archbishop of Fen", ("", None, "lord", None, True)), ("Earl of Wick", ("", None, "earl", None, False)), ("Offord", ("offord", None, None, None, False)), (" ", ("", None, None, None, False)), (None, ("", None, None, None, False)),
 ])
 def test_member_name(spark, name, want):
     assert apply(spark, names.member_name, name) == want
 
 
 @pytest.mark.parametrize("name,want", [
-    ("SAMPLE, John Peter, Sir", ("sample", "john", "sir", None)), ("SAMPLE, John, Lord Sample Of New Place Kg", ("sample", "john", "lord", "new place kg")), ("SAMPLE", ("sample", None, None, None)), ("", ("", None, None, None)),
+    ("ROOK, Ivy May, Dame", ("rook", "ivy", "dame", None)), ("QUILL, Zoe, Viscountess Quill Of Nether Marl Obe", ("quill", "zoe", "viscountess", "nether marl obe")), ("TARN MOSS, Sir Abel", ("tarnmoss", "abel", "sir", None)), ("O'DELL", ("o'dell", None, None, None)), (", Ivy", ("", None, None, None)), (None, ("", None, None, None)),
 ])
 def test_officer_name(spark, name, want):
     assert apply(spark, names.officer_name, name) == want
 
 
+def test_rank(spark):
+    assert [apply(spark, names.common_title, x) for x in ("baron", "lady", "earl", None)] == ["lord", "lady", "earl", None]
+
+
 def test_territory(spark):
     same = lambda a, b: apply(spark, names.same_territory, a, b)
     assert same("new place", "new place kg") and same("x", None) and not same(None, "x") and not same("new", "newplace")

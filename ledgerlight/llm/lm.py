@@ -215,4 +215,6 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    """stupid_backoff() of documents; sums are rounded, as their last digits depend on the order of adding."""
+    scored = stupid_backoff(table(spark, sf_dir, "documents"))
+    return scored.withColumn("score", F.round("score", 4)).withColumn("per_token", F.round("per_token", 6))

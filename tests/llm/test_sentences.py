@@ -4,17 +4,17 @@ from ledgerlight.llm.queries import QUERIES
 from ledgerlight.llm.sentences import sentence_dedup, splitter
 
 
-def brute(docs, run=2, least=12):
-    """docs: {(doc_id, text)}, each once."""
+def brute(docs, run=2):
+    """docs: {(doc_id, text)}, each once. Runs of any number of words; a text of fewer sentences is one run."""
     split, seen, out = splitter(), set(), {}
     for doc_id, text in sorted(docs):
         parts = split(text)
         folded = [" ".join(p.split()) for p in parts]
         covered = set()
-        for i in range(len(parts) - run + 1):
+        for i in range(max(len(parts) - run, 0) + 1):
             key = tuple(folded[i: i + run])
-            if len(" ".join(key).split()) >= least:
-                covered.update(range(i, i + run) if key in seen else ())
+            if any(key):
+                covered.update(range(i, min(i + run, len(parts))) if key in seen else ())
                 seen.add(key)
         out[doc_id] = "".join(p for i, p in enumerate(parts) if i not in covered), len(parts), len(covered)
     return out
@@ -49,27 +49,11 @@ def test_repeats_inside_a_document(spark):
     assert rows.text == passage + "Between them. "
 
 
-def brute_of_all(docs, run=2):
-    """As brute, for runs of any number of words; a text of fewer sentences is one run."""
-    split, seen, out = splitter(), set(), {}
-    for doc_id, text in sorted(docs):
-        parts = split(text)
-        folded = [" ".join(p.split()) for p in parts]
-        covered = set()
-        for i in range(max(len(parts) - run, 0) + 1):
-            key = tuple(folded[i: i + run])
-            if any(key):
-                covered.update(range(i, min(i + run, len(parts))) if key in seen else ())
-                seen.add(key)
-        out[doc_id] = "".join(p for i, p in enumerate(parts) if i not in covered), len(parts), len(covered)
-    return out
-
-
 def test_short_sentences_and_short_texts(spark, sample):
     verse = "".join(f"line {i}\n" for i in range(30))
     docs = {(1, "Yes. No. " + verse), (2, verse + "Other end."), (3, "Alone."), (4, "Alone."), (5, " \n"), (6, " \n"), (7, "Hi. Ho."), (8, "Hi. Ho.")}
     docs |= {(100 + r.doc_id, r.text) for r in sample.collect()}
     out = sentence_dedup(spark.createDataFrame(list(docs), "doc_id long, text string")).collect()
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in out}
-    assert got == brute_of_all(docs)
+    assert got == brute(docs)
     assert got[2] == ("Other end.", 31, 30) and got[4] == ("", 1, 1) and got[8] == ("", 2, 2)

@@ -108,3 +108,8 @@ def ceased_on(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, pattern, i)
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(2)))
     return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3), month.cast("string"), part(1)), "yyyy-M-d"))
+
+
+def as_published(name: Column) -> Column:
+    """A name as registers print it: one leading title and what follows "of" left out."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), rf"(?i)^(?:{_FRONT})\.?\s+", ""), r"(?is)\s+of\s.*$", ""))

@@ -121,3 +121,57 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+
+
+def int_or_null(value: str) -> Column:
+    """Cut towards zero; null if unreadable."""
+    return F.expr(f"CAST(try_cast(trim(`{value}`) AS DOUBLE) AS BIGINT)")
+
+
+def instant(value: str) -> Column:
+    """A date or an ISO time as a timestamp; without a zone it is UTC; null if unreadable."""
+    text = F.trim(F.col(value))
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$") | (F.length(text) <= 10), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d([T ]|$)"), F.try_to_timestamp(zoned))
+
+
+def days_between(first: str, second: str) -> Column:
+    """Days from one ISO date text to another; null if either cannot be read."""
+    day = lambda c: F.try_to_date(F.substring(F.trim(F.col(c)), 1, 10), "yyyy-MM-dd")
+    return F.date_diff(day(second), day(first)).cast("long")
+
+
+def percent_text(ratio: Column) -> Column:
+    """Whole percent, halves to the even one."""
+    return F.concat(F.bround(ratio * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
+def money_text(cents: Column) -> Column:
+    """Two decimals, with commas between thousands."""
+    return F.format_number(cents.cast("decimal(38,0)") / 100, 2)
+
+
+def confidence_note(confidence: Column, method: Column) -> Column:
+    """What is said of a match in every explanation, whether sure or not."""
+    return F.concat(F.lit("[match_confidence="), F.coalesce(confidence.cast("string"), F.lit("unknown")), F.lit(", method="), F.coalesce(method, F.lit("unknown")), F.lit("]"))
+
+
+def tri_state(text: Column) -> Column:
+    """True, false, or null for anything that is neither."""
+    said = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return F.when(said.isin("yes", "true", "y", "1"), True).when(said.isin("no", "false", "n", "0"), False)
+
+
+def listed(text: Column, mark: str) -> Column:
+    """The parts between marks, trimmed, empty ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\" + mark), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def subject_tender(subject: Column) -> Column:
+    """What stands before the first colon of a flag's subject."""
+    return F.substring_index(subject, ":", 1)
+
+
+def domain(url: Column) -> Column:
+    """Host of a URL in lower case without "www."; null if it has none."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")

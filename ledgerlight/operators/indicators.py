@@ -146,3 +146,13 @@ def contract_splitting(tender: DataFrame, award: DataFrame, resolution: DataFram
     subject = F.concat("company_number", F.lit("@"), "buyer", F.lit(":"), F.col("anchor").cast("string"))
     groups = mine.select("buyer", "company_number").distinct()
     return with_units(flags.select(subject.alias("subject"), "pieces", "awards", "total_cents", severity_band(F.date_diff("last", "anchor"), window).alias("band"), "confidence"), groups)
+
+
+def unscoreable(tender: DataFrame, least: int = 4) -> DataFrame:
+    """tender with i002, i003 and i004: why the bid window, the buyer's shares and the price cannot be scored, or "scored"."""
+    buyer = tender.groupBy("buyer_name").agg(F.count("*").alias("of_buyer"))
+    known = framework(tender).join(buyer, "buyer_name", "left")
+    return known.select(
+        *tender.columns, F.when(F.col("tender_start").isNull(), "no_start").when(F.col("tender_end").isNull(), "no_end").otherwise("scored").alias("i002"),
+        F.when(F.col("buyer_name").isNull(), "no_buyer").when(F.col("of_buyer") < least, "few_awards").otherwise("scored").alias("i003"),
+        F.when(F.col("framework"), "framework").when(F.coalesce("value_cents", F.lit(0)) <= 0, "no_value").otherwise("scored").alias("i004"))

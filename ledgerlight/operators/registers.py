@@ -224,3 +224,40 @@ def register_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return pages.select(F.col("page").cast("string").alias("page"), "html").mapInArrow(parse, kind)
+
+
+def money_of(fields: Column) -> Column:
+    """struct(exact, low, high) in cents of an interest's fields: a decimal value counts, else the band that a text names."""
+    said = F.coalesce(fields["Value"], F.lit(""))
+    exact = F.round(F.nullif(F.translate(F.trim(said), "£,", ""), F.lit("")).try_cast("decimal(38,6)") * 100).cast("long")
+    low, high = value_band(F.coalesce(fields["ValueBand"], F.lit("")))
+    return F.struct(exact.alias("exact"), F.when(exact.isNull(), low).alias("low"), F.when(exact.isNull(), high).alias("high"))
+
+
+def relinked(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row: links (lei, company_number) of stored records that a new resolution removes, adds, changes or leaves."""
+    j = stored.select("lei", F.col("company_number").alias("was")).join(fresh.select("lei", F.col("company_number").alias("now")), "lei")
+    same = F.col("was").eqNullSafe(F.col("now"))
+    return j.agg(
+        F.count_if(F.col("was").isNotNull() & F.col("now").isNull()).alias("removed"), F.count_if(F.col("was").isNull() & F.col("now").isNotNull()).alias("added"),
+        F.count_if(~same & F.col("was").isNotNull() & F.col("now").isNotNull()).alias("changed"), F.count_if(same).alias("unchanged"))
+
+
+def snapshot_attestations(entries: DataFrame) -> DataFrame:
+    """member_id, description, reference: one attestation of the same edge for each snapshot and page on which it stands.
+    entries: member_id, description, captured (a timestamp's digits), page_no."""
+    reference = F.concat("member_id", F.lit(":"), "captured", F.lit(":p"), F.lpad(F.col("page_no").cast("string"), 2, "0"))
+    return entries.select("member_id", "description", reference.alias("reference")).distinct()
+
+
+def interest_edges(leaves: DataFrame, family: tuple[str, ...] = ("Family",)) -> DataFrame:
+    """interest, donor, organisation, since, until, inverted of leaf interests with their fields: categories of family are
+    dropped, each of several donors is a unit, only what says so is an organisation, and an end before its start is no end.
+    leaves: interest, category, fields (map)."""
+    kept = leaves.where(~F.coalesce(F.exists(F.array(*map(F.lit, family)), lambda w: F.contains("category", w)), F.lit(False)))
+    donors = F.from_json(F.col("fields")["Donor"], "ARRAY<STRUCT<Name: STRING, Status: STRING>>")
+    own = F.array(F.struct(F.col("fields")["OrganisationName"].alias("Name"), F.col("fields")["Status"].alias("Status")))
+    each = kept.select("interest", "fields", F.explode(F.when(F.size(donors) > 0, donors).otherwise(own)).alias("d"))
+    day = lambda k: F.try_to_date(F.col("fields")[k], "yyyy-MM-dd")
+    inverted = F.coalesce(day("EndDate") < day("StartDate"), F.lit(False))
+    return each.select("interest", F.col("d.Name").alias("donor"), F.coalesce(F.col("d.Status").isin(*ORGANISATION_DONORS), F.lit(False)).alias("organisation"), day("StartDate").alias("since"), F.when(~inverted, day("EndDate")).alias("until"), inverted.alias("inverted"))

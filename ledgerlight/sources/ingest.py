@@ -96,7 +96,11 @@ def ingest(source_id: str, lines: DataFrame) -> dict[str, DataFrame]:
 def companies_csv(spark: SparkSession, path: str) -> DataFrame:
     """Company rows of a bulk CSV: header names without case, spaces, underscores and dots; rows without a number left out;
     dates as dd/mm/yyyy or ISO; blank cells null; the four activity codes as a list."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8", escape='"')
+    return company_rows(spark.read.csv(path, header=True, encoding="UTF-8", escape='"'))
+
+
+def company_rows(raw: DataFrame) -> DataFrame:
+    """The same for cells that have been read, all strings."""
     names = {"".join(c for c in n.lower() if c not in " _."): n for n in raw.columns}
     cell = lambda *keys: F.nullif(F.trim(next((F.col(f"`{names[k]}`") for k in keys if k in names), F.lit(None).cast("string"))), F.lit(""))
     flat = raw.select(
@@ -105,6 +109,26 @@ def companies_csv(spark: SparkSession, path: str) -> DataFrame:
     return flat.where("company_number IS NOT NULL").withColumn("normalised_name", normalise_name(F.col("company_name"))).withColumn("incorporation_date", any_date("i", "dd/MM/yyyy", "yyyy-MM-dd")).withColumn("last_made_up", any_date("m", "dd/MM/yyyy", "yyyy-MM-dd")).drop("i", "m")
 
 
+def ingest_counts(source_id: str, lines: DataFrame) -> DataFrame:
+    """One row: documents that gave a tender (ingested) and those that did not (failed), and rows by kind. One document
+    that cannot be read stops no other."""
+    made = ingest(source_id, lines)
+    out = lines.agg(F.count("*").alias("documents"))
+    for kind, rows in made.items():
+        out = out.crossJoin(rows.agg(F.count("*").alias(f"{kind}s")))  # one row each
+    return out.withColumn("ingested", F.col("tenders")).withColumn("failed", F.col("documents") - F.col("tenders"))
+
+
+def cohort_awards(lines: DataFrame) -> DataFrame:
+    """tender_id, award_id, supplier_name, award_date (text), value (double) of OCDS documents: a supplier without a name has
+    that of the party with its id; the date is the first ten characters."""
+    r = lines.select(F.from_json("document", OCDS).alias("r")).where("r.ocid IS NOT NULL AND r.ocid <> ''")
+    each = r.select(F.coalesce("r.tender.id", "r.ocid").alias("tender_id"), F.col("r.parties").alias("parties"), F.explode("r.awards").alias("a"))
+    each = each.select("tender_id", "parties", "a", F.explode_outer("a.suppliers").alias("s"))
+    party = F.try_element_at(F.filter("parties", lambda p: p["id"] == F.col("s.id")), F.lit(1))["name"]
+    return each.select("tender_id", F.col("a.id").alias("award_id"), F.coalesce(F.nullif("s.name", F.lit("")), party).alias("supplier_name"), F.substring("a.date", 1, 10).alias("award_date"), F.col("a.value.amount").try_cast("double").alias("value"))
+
+
 def cached_fetches(content: DataFrame, sidecar: DataFrame, now, most_days: int) -> DataFrame:
     """key, hit, reason: a stored fetch is a miss if its record is missing or unreadable, too old, or of other content.
 
@@ -128,3 +152,22 @@ def wayback_rows(json_array: DataFrame) -> DataFrame:
 def without_personal(rows: DataFrame, allowed: list[str]) -> DataFrame:
     """Only the columns on the list; what is not on it never leaves the scan."""
     return rows.select(*[c for c in rows.columns if c in allowed and c not in PERSONAL])
+
+
+def donation_rows(raw: DataFrame) -> DataFrame:
+    """reference and cells of a donation file under the names that registers.donations() reads; rows without a reference are left out."""
+    keys = {"ecref": "reference", "donorstatus": "donor_status", "donorname": "donor_name", "companyregistrationnumber": "number", "value": "value", "receiveddate": "received", "accepteddate": "accepted"}
+    there = {"".join(c for c in n.lower() if c not in " _."): n for n in raw.columns}
+    cells = [(F.col(f"`{there[k]}`") if k in there else F.lit(None)).cast("string").alias(name) for k, name in keys.items()]
+    return raw.select(*cells).where(F.trim("reference") != "")
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """id, attributes (JSON) of the records on pages (document: JSON with an array `data`); one that is on two pages counts once."""
+    data = F.from_json("document", "STRUCT<data: ARRAY<STRUCT<id: STRING, attributes: STRING>>>")["data"]
+    return pages.select(F.explode(data).alias("d")).select("d.id", "d.attributes").groupBy("id").agg(F.min("attributes").alias("attributes"))
+
+
+def enumerated(rows: DataFrame, prefix: str) -> DataFrame:
+    """rows with `wanted`: whether their number belongs to a kind of company, by its prefix."""
+    return rows.withColumn("wanted", F.coalesce(F.startswith(normalise_company_number(F.col("company_number")), F.lit(prefix)), F.lit(False)))

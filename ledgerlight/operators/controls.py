@@ -83,12 +83,14 @@ def footprint(outcomes: DataFrame, many: int = 5) -> DataFrame:
 
 def capped_name_lookup(entity: DataFrame, names: DataFrame, most: int = 200) -> DataFrame:
     """name, id, outcome: entities whose normalised name equals; refused if over `most` names contain it, for then the window
-    that a prefilter would look at is cut; none and several are told apart."""
+    that a prefilter would look at is cut; none and several are told apart. Names of under three characters are not counted."""
     wanted = names.select("name").distinct().withColumn("n", normalise_name(F.col("name")))
     have = entity.select("id", normalise_name(F.col("name")).alias("h"))
     exact = wanted.join(have, F.col("n") == F.col("h"), "left").groupBy("name", "n").agg(F.count("id").alias("hits"), F.min("id").alias("id"))
-    # the asked names are few: a stated query set against all rows
-    near = have.join(F.broadcast(wanted), F.contains(F.col("h"), F.col("n"))).groupBy("name").agg(F.count("*").alias("seen"))
+    # names that contain an asked one have its first three characters somewhere: an equi-join, whatever the number of names
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("h") - 2, F.lit(1))), lambda i: F.substring("h", i, F.lit(3))))
+    held = have.select("id", "h", F.explode(grams).alias("gram"))
+    near = held.join(wanted.where(F.length("n") >= 3).withColumn("gram", F.substring("n", 1, 3)), "gram").where(F.contains(F.col("h"), F.col("n"))).groupBy("name").agg(F.count_distinct("id").alias("seen"))
     outcome = F.when(F.col("seen") > most, "refused").when(F.col("hits") == 0, "none").when(F.col("hits") > 1, "ambiguous").otherwise("unique")
     return exact.join(near, "name", "left").select("name", F.when(outcome == "unique", F.col("id")).alias("id"), outcome.alias("outcome"))
 

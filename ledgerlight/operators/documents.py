@@ -180,6 +180,27 @@ def content_outcome(status_code: Column, content_type: Column, url: Column, text
     )
 
 
+def content_kind(content_type: Column, url: Column, head: Column) -> Column:
+    """How a fetched body is read: pdf by its type or its path, html by its type or its first characters, else text."""
+    kind, path = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+    return F.when(F.contains(kind, F.lit("pdf")) | F.endswith(path, F.lit(".pdf")), "pdf").when(F.contains(kind, F.lit("html")) | F.lower(head).rlike(r"^\s*<(!doctype html|html)"), "html").otherwise("text")
+
+
+def decoded_text(body: Column) -> Column:
+    """Bytes as UTF-8 if they are that, else as Latin-1."""
+    return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(F.decode(body, "ISO-8859-1"))
+
+
+def extraction_outcome(layer: Column, pages: Column, backend: bool, recognised: Column) -> Column:
+    """struct(status, text): the text layer if it passes the quality gate; else what a recogniser read, if it passes too; a
+    missing backend, an unreadable file (null layer) and text that fails are told apart, and never an empty success."""
+    good = lambda t: text_quality(t, pages)[3]
+    status = (
+        F.when(layer.isNull(), "FAILED").when(good(layer), "TEXT_LAYER").when(F.lit(not backend), "BACKEND_UNAVAILABLE")
+        .when(F.coalesce(good(recognised), F.lit(False)), "OCR").otherwise("EXTRACTION_UNRELIABLE"))
+    return F.struct(status.alias("status"), F.when(status == "TEXT_LAYER", layer).when(status == "OCR", recognised).alias("text"))
+
+
 def keyed_tokens(ids: DataFrame, id_type: str, key: bytes) -> DataFrame:
     """id, token: HMAC-SHA256 of "id_type:id". Refuses to run without a key; empty ids have no token."""
     if not key:

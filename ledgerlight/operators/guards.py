@@ -29,3 +29,15 @@ def with_provenance(flags: DataFrame, **record: str) -> DataFrame:
     if missing := [k for k, v in record.items() if not v]:
         raise ValueError(f"provenance without {missing}")
     return flags.withColumn("provenance", F.struct(*(F.lit(v).alias(k) for k, v in record.items())))
+
+
+def registry_problems(entries: DataFrame) -> DataFrame:
+    """source_id, problems of a source register's entries: what keeps one from being used. entries: source_id, tier,
+    redistribution, url, sla_days, all strings."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    n = entries.groupBy(F.col("source_id").alias("_s")).agg(F.count("*").alias("_n"))
+    rules = [
+        (blank("source_id"), "no source_id"), (F.col("_n") > 1, "source_id used twice"), (~F.coalesce(F.col("tier").isin("a", "b", "c"), F.lit(False)), "unknown tier"), (blank("redistribution"), "no licence"),
+        (~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)), "no url"), (F.coalesce(F.col("sla_days").try_cast("int") <= 0, F.lit(True)), "no agreed days")]
+    found = F.filter(F.array(*(F.when(cond, F.lit(what)) for cond, what in rules)), lambda x: x.isNotNull())
+    return entries.join(n, F.col("source_id").eqNullSafe(F.col("_s"))).select("source_id", found.alias("problems"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.graph import bounded_paths, neighbours_by_type
+from ledgerlight.operators.graph import bounded_paths, costed, neighbours_by_type
 from ledgerlight.operators.guards import entity_summary
 
 
@@ -33,9 +33,12 @@ def get_entity(entity: DataFrame, edge: DataFrame, node: int) -> tuple[DataFrame
 
 
 def find_paths(edge: DataFrame, start: int, goal: int, hops: int = 2) -> DataFrame:
+    """Paths between two entities of at most 1 to 4 hops, those first whose costed edges are all dated, then by their edges."""
     spark = edge.sparkSession
     one = lambda name, v: spark.range(1).select(F.lit(v).cast("long").alias(name))
-    return bounded_paths(edge, one("start", start), one("goal", goal), clamp(hops, 1, 4))
+    found = bounded_paths(edge, one("start", start), one("goal", goal), clamp(hops, 1, 4))
+    dated = F.forall(costed("edges"), lambda e: e["valid_from"].isNotNull())
+    return found.withColumn("dated", dated).orderBy(F.desc("dated"), F.transform("edges", lambda e: e["edge"]))
 
 
 def get_attestations(attestation: DataFrame, edge_id: int) -> DataFrame:

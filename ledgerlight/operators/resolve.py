@@ -63,3 +63,13 @@ def reconcile(persisted: DataFrame, desired: DataFrame, key: str, floor: int = 2
     counts = both.agg(F.count_if(F.col("d").isNull()).alias("stale"), F.count_if(F.col("p").isNull()).alias("create"), F.count_if(F.col("p").isNotNull() & F.col("d").isNotNull()).alias("keep"))
     total = F.col("stale") + F.col("keep")
     return counts.withColumn("refused", (total >= floor) & (F.col("stale") > share * total))
+
+
+def alias_report(slots: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: former names, those that two companies had, those that another bears now, and the aliases that are left.
+    slots: company_number, former, seq; empty slots do not count."""
+    used = slots.where("former IS NOT NULL AND former <> ''").groupBy("former").agg(F.count_distinct("company_number").alias("n"))
+    kept = former_names(slots, current).select("former", F.lit(True).alias("kept"))
+    j = used.join(kept, "former", "left")
+    alone = F.col("n") == 1
+    return j.agg(F.count("*").alias("names"), F.count_if(~alone).alias("shared"), F.count_if(alone & F.col("kept").isNull()).alias("borne"), F.count("kept").alias("aliases"))

@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every window of a text that has as many words as a benchmark item (the whole text, if it has fewer) is fingerprinted from its word shingles, unless it
-shares no shingle at all with an item of that size (such a window cannot be similar). Fingerprints are looked up in a
-multi-index: cut into BLOCKS blocks, two fingerprints within `radius` bits differ in at most radius / BLOCKS bits in some
-block, and each block's table lists the items for all its values within that many bits, so no fingerprint within the
-radius is missed. Candidates in the radius are verified by the exact weighted Jaccard similarity of their shingles, each
-weighted by its number of occurrences.
+Every window of a text that has as many words as a benchmark item (the whole text, if it has fewer) is fingerprinted from
+its word shingles, unless it shares no shingle at all with an item of that size (such a window cannot be similar).
+Fingerprints are looked up in a multi-index: cut into BLOCKS blocks, two fingerprints within `radius` bits differ in at
+most radius / BLOCKS bits in some block, so items whose block is that near in any of them are all that can be within the
+radius. Only items that share a shingle with the text are looked at, so neither memory nor time grows with items that
+have nothing to do with it. Candidates in the radius are verified by the exact weighted Jaccard similarity of their
+shingles, each weighted by its number of occurrences.
 
 Items go to the executors in parts of at most PART words; the texts are read once for each part. Within a part the
 operator is a map without a shuffle.
@@ -14,6 +15,7 @@ operator is a map without a shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -63,16 +65,15 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Items of one part: their shingles, fingerprints by size, and the tables of the multi-index."""
+    """Items of one part: their shingles, who has each of them, and fingerprints by size, in blocks."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int, similarity: float):
         self.shingle, self.radius, self.similarity = shingle, radius, similarity
         self.word: dict[str, int] = {}
-        rng = np.random.default_rng(7)
         self.items = []  # id, words, shingles with counts
         by_size: dict[int, list[int]] = defaultdict(list)
         fingerprints: list[int] = []
-        self.holders: dict[int, set[int]] = defaultdict(set)  # shingle: sizes of items with it
+        self.holders: dict[int, list[int]] = defaultdict(list)  # shingle: items with it
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -81,21 +82,17 @@ class Index:
             hashes = shingle_hashes(ids, shingle)
             fingerprints.append(int(majority(bit_sums(hashes)[-1:], len(hashes))[0]))
             by_size[len(words)].append(len(self.items))
-            self.items.append((item_id, len(words), Counter(hashes.tolist())))
             for h in set(hashes.tolist()):
-                self.holders[h].add(len(words))
+                self.holders[h].append(len(self.items))
+            self.items.append((item_id, len(words), Counter(hashes.tolist())))
+        self.shorts = sorted({min(n, shingle) for n in by_size})
         self.known = np.array(sorted(self.holders), np.uint64)
         self.maybe = np.zeros(1 << 20, bool)  # by the low bits, before the search among the known
         self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        near = [[v for v in range(256) if bin(u ^ v).count("1") <= radius // BLOCKS] for u in range(256)]
-        self.sizes = {}
-        for n, members in by_size.items():
-            fps = np.array([fingerprints[i] for i in members], np.uint64)
-            tables = np.zeros((BLOCKS, 256, len(members)), bool)
-            for k, fp in enumerate(fps.tolist()):
-                for block in range(BLOCKS):
-                    tables[block, near[fp >> 8 * block & 255], k] = True
-            self.sizes[n] = np.array(members), fps, tables
+        u = np.arange(256)
+        self.near = np.array([x.bit_count() for x in range(256)])[u[:, None] ^ u] <= radius // BLOCKS
+        self.fps = np.array(fingerprints, np.uint64)
+        self.blocks = self.fps.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
 
     def matches(self, text: str | None) -> list[tuple]:
         """MATCH rows of a text: for each item its most similar window (the first of them) and the number of windows."""
@@ -103,8 +100,9 @@ class Index:
         get = self.word.get
         ids = np.array([get(w, 0) for w in words], np.uint64)
         found: dict[int, list] = {}
-        sizes: dict[int, list[int]] = defaultdict(list)  # size: places of shingles of items of that size
-        for short in {min(n, self.shingle) for n in self.sizes}:
+        places: dict[int, set[int]] = defaultdict(set)  # size: places of shingles of items of that size
+        members: dict[int, set[int]] = defaultdict(set)  # size: those items
+        for short in self.shorts:
             if len(ids) < short:
                 continue
             hashes = shingle_hashes(ids, short) if len(ids) > short else shingle_hashes(ids, len(ids))
@@ -112,15 +110,16 @@ class Index:
             if len(at):
                 place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
                 for p in at[self.known[place] == hashes[at]].tolist():
-                    for n in self.holders[int(hashes[p])]:
+                    for item in self.holders[int(hashes[p])]:
+                        n = self.items[item][1]
                         if min(n, self.shingle) == short:
-                            sizes[n].append(p)
-        for n, places in sizes.items():
-            self.windows(n, np.array(places), ids, found)
+                            places[n].add(p)
+                            members[n].add(item)
+        for n in places:
+            self.windows(n, np.array(sorted(members[n])), np.array(sorted(places[n])), ids, found)
         return [(self.items[i][0], *best) for i, best in sorted(found.items())]
 
-    def windows(self, n: int, places: np.ndarray, ids: np.ndarray, found: dict[int, list]) -> None:
-        members, fps, tables = self.sizes[n]
+    def windows(self, n: int, members: np.ndarray, places: np.ndarray, ids: np.ndarray, found: dict[int, list]) -> None:
         n = min(n, len(ids))  # a text shorter than the item is one window
         width = max(1, n - self.shingle + 1)  # shingles of a window
         starts = np.unique(places[:, None] - np.arange(width))
@@ -136,9 +135,9 @@ class Index:
             blocks = own.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
             candidate = np.zeros((len(own), len(members)), bool)
             for block in range(BLOCKS):
-                candidate |= tables[block][blocks[:, block]]
+                candidate |= self.near[blocks[:, block][:, None], self.blocks[members, block]]
             for w, k in zip(*map(np.ndarray.tolist, np.nonzero(candidate))):
-                differing = (int(own[w]) ^ int(fps[k])).bit_count()
+                differing = (int(own[w]) ^ int(self.fps[members[k]])).bit_count()
                 if differing > self.radius:
                     continue
                 at = int(run[w]) - low
@@ -181,9 +180,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simil
     for number, items in enumerate(parts_of(benchmark)):
         shared = spark.sparkContext.broadcast(items)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, n=number) -> Iterator[pa.RecordBatch]:
-            kept_by_worker("", lambda: None)
-            index = Index(shared.value, shingle, radius, similarity)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = kept_by_worker(name, lambda: Index(shared.value, shingle, radius, similarity))
             fields = pa.struct([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]]) for f in MATCH.split(", ")])
             for batch in batches:
                 rows = [[dict(zip((f.name for f in fields), m)) for m in index.matches(x)] for x in texts_of(batch, text)]
@@ -197,5 +195,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, simil
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and item that contamination() finds in it."""
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")

@@ -341,4 +341,5 @@ def extract_html(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_html() of all pages."""
     return extract_html(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))

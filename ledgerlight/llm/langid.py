@@ -154,6 +154,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents, by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = fit(docs.where("NOT held_out"))
     return identify(docs.select("doc_id", "held_out", "text"), model, without=("text",)).select("doc_id", "held_out", "lang_pred", "score")

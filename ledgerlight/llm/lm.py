@@ -133,24 +133,26 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
     bits = min(63, math.ceil(math.log2(n_bytes * order)) + 20)
     held = blocks(rows)
 
-    def owners(found: np.ndarray) -> np.ndarray:
-        """Bounds of each partition's hashes in the sorted ones; zero belongs to none."""
-        edges = [-(-(p << bits) // parts) for p in range(parts)]
-        edges[0] = 1
-        return np.searchsorted(found, np.array(edges + [1 << bits], np.uint64))
+    def owners(found: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """The partitions that own some of the sorted hashes, and where these stand; zero belongs to none. A block has no
+        more of them than n-grams, however many partitions there are."""
+        top = found >> np.uint64(max(0, bits - 31))
+        part = (top * np.uint64(parts)) >> np.uint64(min(bits, 31))
+        first = int(np.searchsorted(found, 1))
+        names, starts = np.unique(part[first:], return_index=True)
+        ends = np.append(starts[1:], len(found) - first)
+        for p, a, b in zip(names.tolist(), (starts + first).tolist(), (ends + first).tolist()):
+            yield p, slice(a, b)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for to, sizes, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found, counts = np.unique(block_ngrams(unpacked(sizes, data), order, bits)[0].ravel(), return_counts=True)
-                bounds = owners(found)
-                for part in range(parts):
-                    mine = slice(bounds[part], bounds[part + 1])
-                    if n := int(mine.stop - mine.start):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([part], pa.int32()), pa.array([to], pa.int64()), pa.array([n], pa.int32()), pa.array([planes(np.diff(found[mine], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(counts[mine])], pa.binary())],
-                            ["part", "block", "n", "hashes", "counts"],
-                        )
+                for part, mine in owners(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), pa.array([to], pa.int64()), pa.array([mine.stop - mine.start], pa.int32()), pa.array([planes(np.diff(found[mine], prepend=np.uint64(0)))], pa.binary()), pa.array([planes(counts[mine])], pa.binary())],
+                        ["part", "block", "n", "hashes", "counts"],
+                    )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(r["part"], r["block"], np.cumsum(from_planes(r["hashes"], r["n"])), from_planes(r["counts"], r["n"])) for b in batches for r in b.to_pylist()]
@@ -181,10 +183,9 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         hashes, sizes = block_ngrams(unpacked(asked["sizes"], asked["texts"]), order, bits)
         found, inverse = np.unique(hashes.ravel(), return_inverse=True)
         inverse = inverse.reshape(hashes.shape)
-        bounds = owners(found)
         counts = np.zeros(len(found))
-        for part, values in answers.items():
-            counts[bounds[part]: bounds[part + 1]] = values
+        for part, mine in owners(found):
+            counts[mine] = answers[part]
         counts = counts[inverse]  # (order, words), of the n-grams ending at each word
         doc = np.repeat(np.arange(len(sizes)), sizes)
         logs, open_ = np.zeros(len(doc)), np.ones(len(doc), bool)

@@ -207,6 +207,7 @@ def pack_documents(
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() of all documents, a row for each piece."""
     import public_tokenizers
 
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

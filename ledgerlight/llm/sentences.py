@@ -103,4 +103,5 @@ def sentence_dedup(docs: DataFrame, run: int = 2, min_words: int = 0, *, text: s
 
 
 def op10_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sentence_dedup() of all documents, two sentences to a span."""
     return sentence_dedup(table(spark, sf_dir, "documents"))

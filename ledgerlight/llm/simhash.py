@@ -140,6 +140,7 @@ def simhash_components(fps: DataFrame, m: int = 5, hot: int = 64) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components: see shingle_fingerprints() and simhash_components()."""
     fps = written(shingle_fingerprints(table(spark, sf_dir, "documents"), 3), "documents")
     return simhash_components(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

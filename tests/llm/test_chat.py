@@ -54,3 +54,10 @@ def test_hard_rows(spark):
     assert found[1] == ([("user", "a"), ("", ""), ("assistant", "t"), ("assistant", "t")], ["t", "t"])
     assert found[2][1] == ["y" * 20000] and found[3][1] == ODD
     assert format_chats(df.limit(0)).count() == 0
+
+
+def test_system_turn_longer_than_the_budget(spark):
+    turns = [(1, 0, "system", "s" * 3000)] + [(1, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(1, 12)]
+    w = format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget=100, history=10).orderBy("window").collect()
+    assert all(r.text.startswith("<|turn|>system<|text|>sss") for r in w) and sum(r.n_turns - r.n_repeated for r in w) == 12
+    assert [r.text[s.start: s.start + s.length] for r in w for s in r.loss] == [t for _, _, role, t in turns if role == "assistant"]

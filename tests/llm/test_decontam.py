@@ -68,3 +68,14 @@ def test_text_shorter_than_its_item(spark):
     texts = {1: words[:-3], 2: words[2:-1], 3: words[:40], 4: words[:6], 5: words[:3]}
     out = decontam.contamination(spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string"), items)
     assert {(r.doc_id, m.item_id, m.n_words) for r in out.collect() for m in r.matches if m.item_id == 1} == {(1, 1, 57), (2, 1, 57)}
+
+
+def test_many_items_of_one_size(spark):
+    """Items that have nothing to do with a text cost nothing, and none of the others is lost."""
+    r = random.Random(11)
+    items = {i: " ".join(f"w{r.randrange(300)}" for _ in range(12)) for i in range(3000)}
+    docs = {d: " ".join(f"w{r.randrange(300)}" for _ in range(60)) + " " + items[d * 7] + " end" for d in range(40)}
+    frame = lambda rows, schema: spark.createDataFrame(list(rows.items()), schema)
+    out = decontam.contamination(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"))
+    got = {(x.doc_id, m.item_id) for x in out.collect() for m in x.matches}
+    assert {(d, d * 7) for d in docs} <= got and got == brute(docs, items)

@@ -186,22 +186,30 @@ def common_shingles(texts: DataFrame, shingle: int, every: int) -> np.ndarray:
     return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
+def folded_bits(wide: np.ndarray, size: int) -> np.ndarray:
+    """A parity bitmap (bytes, a power of two of them) as if made with `size` bytes."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, size))
+
+
 def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """texts: th, doc_id, text. Returns th, doc_id, n (distinct shingles), bits (WORDS longs: each bit is the parity of the
-    shingles that fall on it) and keys, the first n - ceil(similarity * n) + 1 shingles in an order that is the same for all
-    texts, the frequent ones last. Any two sets with that Jaccard similarity have one of these keys in common, whatever the order."""
+    """texts: th, doc_id, text. Returns th, doc_id, n (distinct shingles), wide (a bitmap of two to four bits a shingle: each
+    is the parity of the shingles that fall on it), bits (the same folded to WORDS longs) and keys, the first
+    n - ceil(similarity * n) + 1 shingles in an order that is the same for all texts, the frequent ones last. Any two sets
+    with that Jaccard similarity have one of these keys in common, whatever the order."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.argsort(shared.value)
         known = shared.value[rank]
         for batch in batches:
-            sizes, bits, keys, ends = [], np.zeros((batch.num_rows, WORDS), np.uint64), [np.zeros(0, np.uint64)], [0]
+            sizes, bits, wide, keys, ends = [], np.zeros((batch.num_rows, WORDS), np.uint64), [], [np.zeros(0, np.uint64)], [0]
             for row, text in enumerate(batch.column(2).to_pylist()):
                 h = shingle_set(text, shingle)
                 n = len(h)
-                odd = np.bincount(((h >> np.uint64(20)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-                bits[row] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+                size = max(64 * WORDS, 1 << (2 * n - 1).bit_length())
+                odd = np.bincount(((h >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+                wide.append(np.packbits(odd.astype(np.uint8), bitorder="little"))
+                bits[row] = folded_bits(wide[-1], 8 * WORDS).view("<u8")
                 taken = n - int(np.ceil(similarity * n - 1e-9)) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -209,12 +217,12 @@ def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common:
                 sizes.append(n), keys.append(h[:taken]), ends.append(ends[-1] + taken)
             lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))],
-                ["th", "doc_id", "n", "bits", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))],
+                ["th", "doc_id", "n", "wide", "bits", "keys"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("th", "doc_id", "text").mapInArrow(compute, f"th binary, doc_id {kind}, n long, bits array<long>, keys array<long>")
+    return texts.select("th", "doc_id", "text").mapInArrow(compute, f"th binary, doc_id {kind}, n long, wide binary, bits array<long>, keys array<long>")
 
 
 def told_and_crowded(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,6 +264,24 @@ def not_far(similarity: float) -> Column:
     return (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6) & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
+def not_far_at_all(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (u, v) those that are not far by their whole bitmaps either, which tell long texts apart as well."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = []
+            for n, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                size = min(len(a), len(b))
+                differ = folded_bits(np.frombuffer(a, np.uint8), size) ^ folded_bits(np.frombuffer(b, np.uint8), size)
+                yes.append(int(np.bitwise_count(differ).sum()) <= n * ((1 - similarity) / (1 + similarity)) + 1e-6)
+            yes = pa.array(yes, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], ["u", "v"])
+
+    near = pairs.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"))
+    wide = lambda x: sketches.select(F.col("id").alias(x), F.col("wide").alias(f"wide_{x}"))
+    return near.join(wide("u"), "u").join(wide("v"), "v").select("u", "v", "n", "wide_u", "wide_v").mapInArrow(compare, "u long, v long")
+
+
 def other_pairs(crowded: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (u, v), u < v, that are not far, share a key of `crowded` and are not connected by roots (node, root).
     Members that are connected need no further link, so a large group of near copies costs its members times the others
@@ -322,13 +348,14 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     again = bool(rows.groupBy("th", "doc_id").count().where("count > 1").take(1))
     common = common_shingles(rows, shingle, max(1, copies.count() // SAMPLED))
     made = written(shingle_sketches(rows, shingle, similarity, common), "sketches")
-    sketches = made.join(one, same(made)).select("id", F.col("n"), "bits", "keys")
+    sketches = made.join(one, same(made)).select("id", F.col("n"), "wide", "bits", "keys")
     sketches = written(sketches.dropDuplicates(["id"]) if again else sketches, "sketches")
     drop_written(made)
     free_shuffles(spark)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select("u", "v"), "pairs")
+        pairs = written(not_far_at_all(pairs, sketches, similarity), "pairs")
+        free_shuffles(spark)
         # of copies only the row with the least doc_id is fetched: keyed by both, copies do not meet in one task
         wanted = one.join(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id")
         texts = rows.join(wanted, same(rows)).select("id", "text")

@@ -215,3 +215,10 @@ def keyed_tokens(ids: DataFrame, id_type: str, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "token"])
 
     return ids.select(F.col("id").cast("string").alias("id")).mapInArrow(token, "id string, token string")
+
+
+def adjudicated(checked: DataFrame, adjudicate=None) -> DataFrame:
+    """checked (status) with note: what a further judge (a function of the rows' struct, as a Column) says of NEAR rows; by
+    default nobody is asked. The status never changes."""
+    said = F.lit(None).cast("string") if adjudicate is None else F.when(F.col("status") == "NEAR", adjudicate(F.struct(*checked.columns)))
+    return checked.withColumn("note", said)

@@ -159,3 +159,36 @@ def h38(spark, sf_dir):
     rows = _read(spark, sf_dir, "events", "event_id AS k", "CASE event_id % 3 WHEN 0 THEN concat('completeness=partial;seen=', event_id % 100, ';advertised=100') WHEN 1 THEN concat('completeness=unverifiable;seen=', event_id % 100, ';advertised=') ELSE 'ValueError: no' END AS note")
     read = read_note(F.col("note"))
     return rows.select("k", read["state"].alias("state"), read["seen"].alias("seen"), read["advertised"].alias("advertised"))
+
+
+FRAMEWORK_TITLES = ["Supply Framework 2", "A DPS for cleaning", "Call-Off order", "Dynamic Purchasing of beds", "Approved Supplier List", "Frame works", "Spare parts", "Call centre"]
+
+
+@query("h16_framework_words", f"SELECT p_partkey AS k, regexp_matches(lower({FRAMEWORK_TITLES}[p_partkey % 8 + 1] || ' ' || p_type), 'framework|dynamic purchasing|dps|call-off|call off|supplier list') AS framework FROM part")
+def h16_words(spark, sf_dir):
+    rows = Tables(spark, sf_dir).read("part").select(F.col("p_partkey").alias("k"), F.element_at(F.array(*map(F.lit, FRAMEWORK_TITLES)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("title"), "p_type")
+    return rows.select("k", S.is_framework(F.col("title"), F.col("p_type"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("framework"))
+
+
+@query("f06_sorted_aliases", "SELECT company_number, normalised_name, row_number() OVER (ORDER BY company_number DESC, normalised_name) AS place FROM company")
+def f06(spark, sf_dir):
+    from ledgerlight.operators.sequence import placed
+
+    rows = Tables(spark, sf_dir).company.select("company_number", "normalised_name")
+    return placed(rows, [F.desc("company_number"), F.col("normalised_name")], F.row_number(), "place").withColumn("place", F.col("place").cast("long"))
+
+
+@query("k01_all_indicators", f"""WITH days AS (SELECT tender_id, CAST(floor((epoch(tender_end) - epoch(tender_start)) / 86400) AS BIGINT) AS d FROM tender WHERE tender_start IS NOT NULL AND tender_end IS NOT NULL) SELECT 'i002' AS indicator_id, count(*) AS flags, (SELECT count(*) FROM days) AS units FROM days WHERE d < 15
+UNION ALL SELECT 'i004', count(*) FILTER (NOT framework AND abs(price - estimate) / estimate >= 0.25), count(*) FROM (SELECT tender_key % 20 IN (0, 1) AS framework, t.value_cents AS estimate, a.value_cents AS price FROM tender t JOIN award a USING (tender_id)) WHERE price > 0 AND estimate > 0""")
+def k01(spark, sf_dir):
+    """All registered indicators that run on tenders and awards alone."""
+    from ledgerlight.operators.plugins import run_all
+
+    t = Tables(spark, sf_dir)
+    return run_all("CO", {"tender": t.tender, "award": t.award}).groupBy("indicator_id").agg(F.count("*").alias("flags"), F.max("units").alias("units"))
+
+
+@query("k04_adjudicated", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'VERBATIM' WHEN 1 THEN 'NEAR' ELSE 'ABSENT' END AS status, CASE WHEN item_id % 3 = 1 THEN 'asked' END AS note FROM benchmark")
+def k04(spark, sf_dir):
+    rows = Tables(spark, sf_dir).read("benchmark").selectExpr("item_id", "element_at(array('VERBATIM', 'NEAR', 'ABSENT'), CAST(item_id % 3 AS INT) + 1) AS status")
+    return P.adjudicated(rows, lambda row: F.when(row["item_id"] >= 0, "asked"))

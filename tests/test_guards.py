@@ -194,3 +194,22 @@ def test_importable_without_text_operators():
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['ledgerlight.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 60 and len(e.oracle_sql()) > 60"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_indicator_plugins(spark):
+    from ledgerlight.operators import plugins
+
+    with pytest.raises(ValueError):
+        plugins.register("i002", ("GB",), ("tender",), lambda t: t)
+    with pytest.raises(ValueError):
+        plugins.run_all("XX", {})
+
+
+def test_work_folder_without_a_configured_one(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "from ledgerlight.session import session; from ledgerlight.sources.workdir import settled; s = session('local[1]', partitions=1, memory='1g'); assert settled(s.range(3)).count() == 3"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, check=True, timeout=300)

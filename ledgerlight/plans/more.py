@@ -101,7 +101,7 @@ def d18(spark, sf_dir):
 k AS (SELECT *, unnest(range(greatest(0, 2 * a + b + c - (a + b + c + d)), least(a + b, a + c) + 1)) AS x FROM t),
 w AS (SELECT *, exp(lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(c + d - a - c + x + 1) - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1)) AS p FROM k),
 s AS (SELECT key, x, p, first_value(p) OVER (PARTITION BY key ORDER BY x = a DESC) AS seen, a, b, c, d FROM w)
-SELECT key, a, b, c, d, round(least(1.0, sum(p) FILTER (x = a OR p <= seen * (1 - 1e-9))), 6) AS p FROM s GROUP BY ALL""")
+SELECT key, a, b, c, d, round(least(1.0, sum(p) FILTER (x = a OR p <= seen * (1 + 1e-9))), 6) AS p FROM s GROUP BY ALL""")
 def d21(spark, sf_dir):
     t = Tables(spark, sf_dir).tender.groupBy("buyer_nation").agg(F.count_if((F.col("method") == "direct") & (F.col("source_id") == "ua_prozorro")).alias("a"), F.count_if((F.col("method") != "direct") & (F.col("source_id") == "ua_prozorro")).alias("b"), F.count_if((F.col("method") == "direct") & (F.col("source_id") != "ua_prozorro")).alias("c"), F.count_if((F.col("method") != "direct") & (F.col("source_id") != "ua_prozorro")).alias("d"))
     return scoring.fisher(t.withColumnRenamed("buyer_nation", "key")).withColumn("p", F.round("p", 6))

@@ -33,3 +33,12 @@ s AS (SELECT doc_id, CASE WHEN cc.n >= 2 THEN ln(cc.n / pb.n) WHEN cb.n >= 2 THE
  FROM g JOIN ca ON ca.k = a LEFT JOIN cb ON cb.k = b LEFT JOIN cc ON cc.k = c LEFT JOIN ca pa ON pa.k = g.pa LEFT JOIN cb pb ON pb.k = g.pb),
 d AS (SELECT doc_id, count(*) AS n_tokens, sum(score) AS score FROM s GROUP BY 1)
 SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(score, 0), 4) AS score, round(score / n_tokens, 6) AS per_token FROM documents LEFT JOIN d USING (doc_id)"""
+
+#: Sentences end behind closing punctuation or at a line's end; spans of two, or a text's only one; all but the first of each go.
+OP10 = r"""WITH b AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?…。！？]+["''”’)\]]*\s+|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents),
+s AS (SELECT doc_id, text, CASE WHEN len(p) > 1 AND regexp_full_match(p[1], '\s*') THEN list_prepend(p[1] || p[2], p[3:]) ELSE p END AS parts FROM b),
+k AS (SELECT doc_id, i, list_transform(parts[i:i + 1], lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS span FROM (SELECT doc_id, parts, unnest(range(1, greatest(len(parts) - 1, 1) + 1)) AS i FROM s WHERE len(parts) > 0)),
+g AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) AS r FROM k WHERE array_to_string(span, '') <> '') WHERE r > 1),
+c AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS j FROM g), e AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM s),
+o AS (SELECT doc_id, coalesce(string_agg(part, '' ORDER BY j) FILTER (c.j IS NULL), '') AS kept, count(c.j) AS n_removed FROM e LEFT JOIN c USING (doc_id, j) GROUP BY 1)
+SELECT s.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(len(parts) AS BIGINT) AS n_sentences, coalesce(n_removed, 0) AS n_removed FROM s LEFT JOIN o USING (doc_id)"""

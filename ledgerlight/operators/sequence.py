@@ -18,7 +18,9 @@ def anchored_clusters(rows: DataFrame, keys: list[str], date: str, window: int)
     dates = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(date)).alias("dates"))
     start = F.array().cast("array<date>")
     anchors = F.aggregate("dates", start, lambda done, d: F.when((F.size(done) > 0) & (F.date_diff(d, F.try_element_at(done, F.lit(-1))) <= window), done).otherwise(F.concat(done, F.array(d))))
-    each = dates.select(*keys, anchors.alias("anchors"), F.explode("dates").alias(date))
+    # folded before the dates are taken apart: in one select the fold would run again for each of them
+    folded = dates.select(*keys, "dates", anchors.alias("anchors"))
+    each = folded.select(*keys, "anchors", F.explode("dates").alias(date))
     marked = each.select(*keys, date, F.when(F.array_contains("anchors", F.col(date)), F.col(date)).alias("mark"))
     owner = marked.select(*keys, date, F.last("mark", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(date)).alias("anchor"))
     return rows.join(owner, [*keys, date])

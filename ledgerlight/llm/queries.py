@@ -14,6 +14,7 @@ from ledgerlight.llm.quality import op8_quality
 from ledgerlight.llm.sentences import op10_sentence_dedup
 from ledgerlight.llm.simhash import op5_simhash
 from ledgerlight.llm.suffix import op4_suffix_dedup
+from ledgerlight.llm.whitening import op11_whitening
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op3_chat, op4_suffix_dedup, op5_simhash, op6_packing, op7_decontamination, op8_quality, op9_lm_scoring, op10_sentence_dedup, op12_minhash)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op3_chat, op4_suffix_dedup, op5_simhash, op6_packing, op7_decontamination, op8_quality, op9_lm_scoring, op10_sentence_dedup, op11_whitening, op12_minhash)}
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3, "op4_suffix_dedup": OP4, "op9_lm_scoring": OP9, "op10_sentence_dedup": OP10, "op12_minhash": OP12}

@@ -130,19 +130,3 @@ def ceiling(controls: DataFrame, reachable: DataFrame, needed: float = 0.9) -> D
     n = controls.join(reachable.select("id").distinct().withColumn("r", F.lit(1)), "id", "left").agg(F.count("*").alias("total"), F.count("r").alias("reachable"))
     rate = F.col("reachable") / F.nullif("total", F.lit(0))
     return n.withColumn("ceiling", rate).withColumn("can_pass", F.coalesce(rate >= needed, F.lit(False)))
-
-
-def write_flags(flags: DataFrame, path: str, dry_run: bool = False) -> int:
-    """Replace the flags of each (source_id, indicator_id) in flags by these, and return how many were written.
-
-    Partitions that flags do not name stay. The number written is counted again from the files and must agree."""
-    spark = flags.sparkSession
-    expected = flags.count()
-    if dry_run or not expected:
-        return expected
-    scope = [tuple(r) for r in flags.select("source_id", "indicator_id").distinct().collect()]
-    flags.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "indicator_id").parquet(path)
-    stored = spark.read.parquet(path).join(spark.createDataFrame(scope, "s string, i string"), (F.col("source_id") == F.col("s")) & (F.col("indicator_id") == F.col("i")), "left_semi").count()
-    if stored != expected:
-        raise RuntimeError(f"{expected} flags, {stored} stored")
-    return stored

@@ -178,16 +178,6 @@ def f06(spark, sf_dir):
     return placed(rows, [F.desc("company_number"), F.col("normalised_name")], F.row_number(), "place").withColumn("place", F.col("place").cast("long"))
 
 
-@query("k01_all_indicators", f"""WITH days AS (SELECT tender_id, CAST(floor((epoch(tender_end) - epoch(tender_start)) / 86400) AS BIGINT) AS d FROM tender WHERE tender_start IS NOT NULL AND tender_end IS NOT NULL) SELECT 'i002' AS indicator_id, count(*) AS flags, (SELECT count(*) FROM days) AS units FROM days WHERE d < 15
-UNION ALL SELECT 'i004', count(*) FILTER (NOT framework AND abs(price - estimate) / estimate >= 0.25), count(*) FROM (SELECT tender_key % 20 IN (0, 1) AS framework, t.value_cents AS estimate, a.value_cents AS price FROM tender t JOIN award a USING (tender_id)) WHERE price > 0 AND estimate > 0""")
-def k01(spark, sf_dir):
-    """All registered indicators that run on tenders and awards alone."""
-    from ledgerlight.operators.plugins import run_all
-
-    t = Tables(spark, sf_dir)
-    return run_all("CO", {"tender": t.tender, "award": t.award}).groupBy("indicator_id").agg(F.count("*").alias("flags"), F.max("units").alias("units"))
-
-
 @query("k04_adjudicated", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'VERBATIM' WHEN 1 THEN 'NEAR' ELSE 'ABSENT' END AS status, CASE WHEN item_id % 3 = 1 THEN 'asked' END AS note FROM benchmark")
 def k04(spark, sf_dir):
     rows = Tables(spark, sf_dir).read("benchmark").selectExpr("item_id", "element_at(array('VERBATIM', 'NEAR', 'ABSENT'), CAST(item_id % 3 AS INT) + 1) AS status")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import names
@@ -231,17 +229,6 @@ def g12(spark, sf_dir):
     return found.select(F.array_join(F.transform("edges", lambda e: e["edge"].cast("string")), ",").alias("path"), "dated")
 
 
-@query("i10_written_flags", "SELECT source_id, 'direct' AS indicator_id, count(*) AS n FROM tender WHERE method = 'direct' GROUP BY 1")
-def i10(spark, sf_dir):
-    """Flags written twice: the second run replaces the first's, and the count is checked from the files."""
-    flags = Tables(spark, sf_dir).tender.where("method = 'direct'").select("source_id", F.lit("direct").alias("indicator_id"), F.col("tender_id").alias("subject"))
-    settled(spark.range(1))
-    path = f"{spark.sparkContext.getCheckpointDir()}/flags-{uuid.uuid4().hex}"
-    controls.write_flags(flags.unionByName(flags), path)
-    controls.write_flags(flags, path)
-    return spark.read.parquet(path).groupBy("source_id", "indicator_id").agg(F.count("*").alias("n"))
-
-
 @query("i11_subject_tender", "SELECT award_id, t.tender_id, t.buyer_name FROM award a JOIN tender t USING (tender_id)")
 def i11(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -7,19 +7,32 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed and stored in the shared checkpoint folder. Only where none is configured and Spark runs in one process
-    (tests) is a temporary one made; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or what the context was given as such. Only where none is configured and Spark runs
+    in one process (tests) is a temporary one made; on a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
             if not re.fullmatch(r"local(\[.*])?", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             found = tempfile.mkdtemp(prefix="ledgerlight-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed and stored in the shared folder; gone when the application ends."""
+    dropped_at_end(df.sparkSession, shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def dropped_at_end(spark: SparkSession, path: str) -> str:
+    """path, which Spark deletes when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path

@@ -64,12 +64,3 @@ def test_lift_and_backfill(spark):
     current = spark.createDataFrame([("1", "old", "s"), ("2", None, "s")], "k string, a string, b string")
     bulk = spark.createDataFrame([("1", None), ("2", "new"), ("3", "x")], "k string, a string")
     assert sorted(map(tuple, controls.backfill(current, bulk, "k", ["a"]).collect())) == [("1", "old", "s"), ("2", "new", "s")]
-
-
-def test_sink_replaces_only_its_scope(spark, tmp_path):
-    flags = lambda rows: spark.createDataFrame(rows, "source_id string, indicator_id string, subject string")
-    path = str(tmp_path / "flags")
-    assert controls.write_flags(flags([("s", "i1", "a"), ("s", "i2", "b")]), path) == 2
-    assert controls.write_flags(flags([("s", "i1", "c"), ("s", "i1", "d")]), path) == 2
-    assert controls.write_flags(flags([("s", "i1", "z")]), path, dry_run=True) == 1
-    assert sorted(r.subject for r in spark.read.parquet(path).collect()) == ["b", "c", "d"]

@@ -196,15 +196,6 @@ def test_importable_without_text_operators():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
 
 
-def test_indicator_plugins(spark):
-    from ledgerlight.operators import plugins
-
-    with pytest.raises(ValueError):
-        plugins.register("i002", ("GB",), ("tender",), lambda t: t)
-    with pytest.raises(ValueError):
-        plugins.run_all("XX", {})
-
-
 def test_work_folder_without_a_configured_one(tmp_path):
     import os
     import subprocess

@@ -113,21 +113,6 @@ def officers(rows: DataFrame) -> DataFrame:
         F.when(has_id, "GB-COH-OFFICER").otherwise("GB-COH-OFFICER-UNRESOLVED").alias("scheme"), F.when(has_id, 1.0).otherwise(0.5).alias("confidence"), status.alias("status"))
 
 
-def contested(members: DataFrame, officers_: DataFrame) -> DataFrame:
-    """member, officer, tier, confidence: pairs of one surname whose titles agree. Buckets of a surname and title with more
-    than one member need a forename that agrees; an officer that two members claim goes to neither.
-
-    members: member, surname, title, forename; officers: officer, surname, title, forename (null if unknown)."""
-    crowd = members.groupBy("surname", "title").agg(F.count("*").alias("n"))
-    joined = members.join(crowd, ["surname", "title"]).join(officers_.select("officer", "surname", F.col("title").alias("t"), F.col("forename").alias("f")), "surname").where(F.col("t") == F.col("title"))
-    same = F.coalesce(F.col("f") == F.col("forename"), F.lit(False))
-    differ = F.coalesce(F.col("f") != F.col("forename"), F.lit(False))
-    tier = F.when(same, "forename").when(~differ & (F.col("n") == 1), "title_only")
-    claims = joined.withColumn("tier", tier).where("tier IS NOT NULL").select("member", "officer", "tier").distinct()
-    single = claims.groupBy("officer").agg(F.count_distinct("member").alias("claimants")).where("claimants = 1").select("officer")
-    return claims.join(single, "officer", "left_semi").withColumn("confidence", F.when(F.col("tier") == "forename", 0.85).otherwise(0.6))
-
-
 def appointments(rows: DataFrame, persons: DataFrame, company: DataFrame) -> DataFrame:
     """officer_id, company_number, valid_from, valid_to, status of second-hop appointments: persons are never created, companies
     must exist, and dates that contradict each other are both left out.

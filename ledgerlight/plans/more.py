@@ -188,16 +188,6 @@ def h27(spark, sf_dir):
     return Tables(spark, sf_dir).read("customer").select(F.col("c_custkey").alias("k"), F.concat(F.substring("c_mktsegment", 1, 64), F.lit(":"), F.substring(F.sha2(normalise_name(F.col("c_name")), 256), 1, 32)).alias("scoped"))
 
 
-@query("l05_contested", """WITH m AS (SELECT c_custkey AS member, 's' || CAST(c_custkey % 400 AS VARCHAR) AS surname, c_mktsegment AS title, 'f' || CAST(c_custkey % 7 AS VARCHAR) AS forename FROM customer), o AS (SELECT s_suppkey AS officer, 's' || CAST(s_suppkey * 3 % 400 AS VARCHAR) AS surname, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'HOUSEHOLD' ELSE 'MACHINERY' END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'f' || CAST(s_suppkey % 7 AS VARCHAR) END AS forename FROM supplier),
-j AS (SELECT member, officer, CASE WHEN o.forename = m.forename THEN 'forename' WHEN o.forename IS NULL AND n = 1 THEN 'title_only' END AS tier FROM (SELECT *, count(*) OVER (PARTITION BY surname, title) AS n FROM m) m JOIN o USING (surname, title)), c AS (SELECT DISTINCT * FROM j WHERE tier IS NOT NULL)
-SELECT member, officer, tier, CASE tier WHEN 'forename' THEN 0.85 ELSE 0.6 END::DOUBLE AS confidence FROM c WHERE officer IN (SELECT officer FROM c GROUP BY 1 HAVING count(DISTINCT member) = 1)""")
-def l05(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    members = t.read("customer").selectExpr("c_custkey AS member", "concat('s', c_custkey % 400) AS surname", "c_mktsegment AS title", "concat('f', c_custkey % 7) AS forename")
-    officers = t.read("supplier").selectExpr("s_suppkey AS officer", "concat('s', s_suppkey * 3 % 400) AS surname", "element_at(array('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'), CAST(s_suppkey % 5 AS INT) + 1) AS title", "CASE WHEN s_suppkey % 2 = 0 THEN concat('f', s_suppkey % 7) END AS forename")
-    return registers.contested(members, officers)
-
-
 @query("l16_unresolved_share", "WITH n AS (SELECT DISTINCT supplier_name FROM award), r AS (SELECT DISTINCT supplier_name FROM award JOIN resolution USING (award_id) WHERE match_confidence > 0) SELECT count(*) AS names, count(*) FILTER (supplier_name NOT IN (SELECT supplier_name FROM r)) AS unresolved, round(100.0::DOUBLE * count(*) FILTER (supplier_name NOT IN (SELECT supplier_name FROM r)) / count(*), 1) AS share FROM n")
 def l16(spark, sf_dir):
     t = Tables(spark, sf_dir)

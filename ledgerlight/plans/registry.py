@@ -1,6 +1,6 @@
 """All registered queries, and for each the SQL that must give the same rows."""
 
-from ledgerlight.plans import graph, indicators, ingestion, more, rules, runs, tables, trials  # noqa: F401
+from ledgerlight.plans import graph, identity, indicators, ingestion, more, rules, runs, tables, trials  # noqa: F401
 from ledgerlight.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -61,12 +61,6 @@ def test_unreadable_end_is_not_still_serving(spark):
     assert [(r.registry_id, r.confidence, r.status) for r in registers.officers(rows).collect()] == [("o1", 1.0, "ended"), ("c:N M", 0.5, "ended_date_unknown"), ("c:N", 0.5, "serving")]
 
 
-def test_an_officer_claimed_twice_goes_to_neither(spark):
-    m = spark.createDataFrame([(1, "a", "lord", "john"), (2, "a", "lord", "jim"), (3, "b", "lady", "ann"), (4, "c", "sir", None)], "member int, surname string, title string, forename string")
-    o = spark.createDataFrame([(10, "a", "lord", "john"), (11, "a", "lord", None), (12, "b", "lady", None), (13, "c", "dame", None)], "officer int, surname string, title string, forename string")
-    assert sorted((r.member, r.officer, r.tier) for r in registers.contested(m, o).collect()) == [(1, 10, "forename"), (3, 12, "title_only")]
-
-
 def test_golden_takes_each_edge_once(spark):
     schema = "id long, edge_type string, source_name string, source_scheme string, source_registry_id string, target_name string, target_scheme string, target_registry_id string, valid_from string"
     golden = spark.createDataFrame([(1, "o", "A", "S", "1", "X", None, None, "2020-01-01"), (2, "o", "a", None, None, "x", None, None, None), (3, "p", "A", None, None, "X", None, None, None)], schema).withColumn("valid_from", F.to_date("valid_from"))

@@ -10,6 +10,8 @@ from ledgerlight.operators import resolve as R
 from ledgerlight.operators.plugins import run_indicators
 from ledgerlight.plans.base import query
 from ledgerlight.plans.indicators import FRAMEWORK, PLACEHOLDER
+from ledgerlight.sources import ingest
+from ledgerlight.sources.fetching import ConnectorSource
 from ledgerlight.sources.flags import FlagStore
 from ledgerlight.sources.views import Tables
 from ledgerlight.sources.workdir import dropped_at_end, shared_dir
@@ -81,3 +83,50 @@ def k01(spark, sf_dir):
     flags = store.read().groupBy("source_id", "indicator_id").agg(F.count("*").alias("flags"))
     ran = spark.createDataFrame(rows, "source_id string, indicator_id string, units long, unscoreable long")
     return ran.join(flags, ["source_id", "indicator_id"], "left").select("source_id", "indicator_id", F.coalesce("flags", F.lit(0)).alias("flags"), "units", "unscoreable")
+
+
+def _pages(t: Tables, size: int = 500) -> str:
+    """Orders as pages of releases, written for from_folder(): each names the next by its cursor."""
+    page = F.floor(F.col("o_orderkey") / size)
+    release = F.struct(F.concat(F.lit("ocds-"), F.col("o_orderkey").cast("string")).alias("ocid"), F.struct(F.col("o_orderkey").cast("string").alias("id"), F.struct(F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.lit("GBP").alias("currency")).alias("value")).alias("tender"))
+    orders = t.read("orders")
+    last = orders.agg(F.max(page)).first()[0]
+    pages = orders.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(release)).alias("releases"))
+    following = F.when(F.col("page") < last, F.struct(F.concat(F.lit("p"), F.col("page") + 1).alias("cursor")))
+    path = folder(t.spark, "pages")
+    pages.select(F.to_json(F.struct("releases", following.alias("next_page"))).alias("value"), F.when(F.col("page") == 0, "first").otherwise(F.concat(F.lit("p"), "page")).alias("cursor")).write.partitionBy("cursor").text(path)
+    return path
+
+
+def _connected(reader, path: str):
+    return reader.format("connector").option("source_id", "uk_contracts_finder").option("transport", "ledgerlight.sources.fetching:from_folder").option("path", path).option("tasks_per_partition", "4").option("pages_per_batch", "7")
+
+
+def _tenders(artifacts):
+    releases = artifacts.select(F.explode(F.from_json(F.decode("payload", "UTF-8"), "STRUCT<releases: ARRAY<STRING>>")["releases"]).alias("document"))
+    return ingest.contracts_finder(releases)["tender"].select("tender_id", "value_cents", "currency")
+
+
+FETCHED = "SELECT CAST(o_orderkey AS VARCHAR) AS tender_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS value_cents, 'GBP' AS currency FROM orders"
+
+
+@query("a01_connector_source", FETCHED)
+def a01(spark, sf_dir):
+    """Pages listed and fetched by a connector through Spark's own reader."""
+    spark.dataSource.register(ConnectorSource)
+    return _tenders(_connected(spark.read, _pages(Tables(spark, sf_dir))).load())
+
+
+@query("a01_connector_stream", FETCHED)
+def a01_stream(spark, sf_dir):
+    """The same pages as a stream whose offset is the cursor, seven pages a batch; stopped after one batch and restarted."""
+    spark.dataSource.register(ConnectorSource)
+    path, out = _pages(Tables(spark, sf_dir)), folder(spark, "artifacts")
+    for once in (True, False):
+        stream = _connected(spark.readStream, path).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
+        run = (stream.trigger(availableNow=True) if once else stream).start()
+        try:
+            run.awaitTermination() if once else run.processAllAvailable()
+        finally:
+            run.stop()
+    return _tenders(spark.read.parquet(out))

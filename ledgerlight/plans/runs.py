@@ -6,15 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.scalars import severity_band
+from ledgerlight.operators import indicators as I
 from ledgerlight.operators import resolve as R
 from ledgerlight.operators.plugins import run_indicators
-from ledgerlight.plans.base import query
-from ledgerlight.plans.indicators import FRAMEWORK, PLACEHOLDER
+from ledgerlight.plans.base import ORACLE_SQL, query
+from ledgerlight.plans.indicators import FRAMEWORK, GB_THRESHOLD, PLACEHOLDER
 from ledgerlight.sources import ingest
 from ledgerlight.sources.fetching import ConnectorSource
 from ledgerlight.sources.flags import FlagStore
+from ledgerlight.sources.merged import MergedTable
 from ledgerlight.sources.views import Tables
-from ledgerlight.sources.workdir import dropped_at_end, shared_dir
+from ledgerlight.sources.workdir import dropped_at_end, settled, shared_dir
+from ledgerlight.streaming.clusters import cluster_stream, splitting_flags
 
 SOURCES = {"ua_prozorro": "ua", "uk_contracts_finder": "gb", "co_secop_ii": "co"}
 
@@ -130,3 +134,55 @@ def a01_stream(spark, sf_dir):
         finally:
             run.stop()
     return _tenders(spark.read.parquet(out))
+
+
+def _streamed(spark, awards, keys: list[str], window: int):
+    """Clusters of awards that come as a stream: in eight batches by date, out of order by up to five days, and at last one
+    award of a much later day, with which all others are behind the watermark."""
+    path, out = folder(spark, "awards"), folder(spark, "clusters")
+    awards = settled(awards)
+    first, last = awards.agg(F.min("award_date"), F.max("award_date")).first()
+    shuffled = F.date_diff(F.date_add("award_date", F.pmod(F.xxhash64("tender_id"), F.lit(6)).cast("int")), F.lit(first))
+    slot = F.least(F.floor(shuffled * 8 / ((last - first).days + 6)), F.lit(7))
+    for k in range(8):  # one after the other, as files are taken in the order of their times
+        awards.where(slot == k).coalesce(1).write.mode("append").parquet(path)
+    end = awards.limit(1).select(*(F.lit(None).cast(awards.schema[c].dataType).alias(c) for c in keys), F.date_add(F.lit(last), window + 60).alias("award_date"), F.lit("end").alias("tender_id"), F.lit(0).cast("long").alias("value_cents"), F.lit(None).cast("double").alias("match_confidence"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(awards.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    writer = cluster_stream(stream, keys, window).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+ORACLE_SQL["j06_clusters"] = ORACLE_SQL["e01_clusters"]
+ORACLE_SQL["j06_splitting"] = f"SELECT subject, pieces, awards, total_cents, band, confidence FROM ({ORACLE_SQL['i09_splitting']})"
+
+
+@query("j06_clusters")
+def j06(spark, sf_dir):
+    """e01_clusters, its rows coming as a stream."""
+    awards = Tables(spark, sf_dir).award.select(F.col("supplier_key").alias("k"), "award_date", "tender_id", "value_cents", F.lit(None).cast("double").alias("match_confidence"))
+    return _streamed(spark, awards, ["k"], 60).select("k", F.col("anchor").cast("string").alias("anchor"), F.col("awards").alias("n"))
+
+
+@query("j06_splitting")
+def j06_splitting(spark, sf_dir):
+    """i09_splitting, its awards coming as a stream."""
+    t = Tables(spark, sf_dir)
+    tender = I.framework(t.tender).where("NOT framework AND buyer_nation <> ''").select("tender_id", F.col("buyer_nation").alias("buyer"))
+    mine = I.evaluable(t.award, R.resolve_awards(t.award, t.company)).where("value_cents > 0").join(tender, "tender_id")
+    awards = mine.select("buyer", "company_number", "award_date", "tender_id", "value_cents", "match_confidence")
+    found = splitting_flags(_streamed(spark, awards, ["buyer", "company_number"], 30), GB_THRESHOLD)
+    subject = F.concat("company_number", F.lit("@"), "buyer", F.lit(":"), F.col("anchor").cast("string"))
+    return found.select(subject.alias("subject"), "pieces", "awards", "total_cents", severity_band(F.date_diff("last", "anchor"), 30).alias("band"), "confidence")
+
+
+@query("b05_incremental", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+def b05_incremental(spark, sf_dir):
+    """The last event of each user, from three batches merged one after the other into a stored table; the second is sent
+    twice, and each has events that are older than some of the batch before."""
+    rows = Tables(spark, sf_dir).read("events").select("user_id", "event_type", "event_id")
+    table = MergedTable(spark, folder(spark, "merged"), ["user_id"], "event_id", buckets=8)
+    for batch in (0, 1, 1, 2):
+        table.merge(rows.where((F.col("event_id") % 5 + F.floor(F.col("event_id") * 3 / rows.agg(F.max("event_id") + 1).first()[0])) % 3 == batch), batch)
+    return table.read()

@@ -19,6 +19,7 @@ from ledgerlight.sources.merged import MergedTable
 from ledgerlight.sources.views import Tables
 from ledgerlight.sources.workdir import dropped_at_end, settled, shared_dir
 from ledgerlight.streaming.clusters import cluster_stream, splitting_flags
+from ledgerlight.streaming.resume import ResumableFetch
 
 SOURCES = {"ua_prozorro": "ua", "uk_contracts_finder": "gb", "co_secop_ii": "co"}
 
@@ -186,3 +187,34 @@ def b05_incremental(spark, sf_dir):
     for batch in (0, 1, 1, 2):
         table.merge(rows.where((F.col("event_id") % 5 + F.floor(F.col("event_id") * 3 / rows.agg(F.max("event_id") + 1).first()[0])) % 3 == batch), batch)
     return table.read()
+
+
+class Interrupted(ResumableFetch):
+    """A run that breaks off after its third batch has been stored, before that is known to be done."""
+
+    def store(self, batch, batch_id):
+        super().store(batch, batch_id)
+        if batch_id == 2:
+            raise RuntimeError("stopped")
+
+
+@query("j04_resumed", "SELECT c_name AS key, sha256('document of ' || c_name) AS sha256, 1 AS times FROM customer WHERE c_custkey % 10 > 0 UNION ALL SELECT c_name, NULL, 5 FROM customer WHERE c_custkey % 10 = 0")
+def j04_resumed(spark, sf_dir):
+    """Customers named by five roster files, each in two or more of them; the run is stopped half-way and resumed. Every tenth
+    has no document, and is tried whenever a file names it."""
+    rows, path = Tables(spark, sf_dir).read("customer"), folder(spark, "fetched")
+    for i in range(5):
+        rows.where((F.col("c_custkey") % 5 >= i - 2) & (F.col("c_custkey") % 5 <= i + 1) | (F.col("c_custkey") % 10 == 0)).select(F.col("c_name").alias("key")).coalesce(1).write.mode("append").parquet(f"{path}/roster")
+
+    def fetch(key: str) -> bytes:
+        if key.endswith("0"):
+            raise FileNotFoundError(key)
+        return f"document of {key}".encode()
+
+    try:
+        Interrupted(spark, f"{path}/roster", path, fetch).run()
+    except Exception:  # as the stopped run ends; what went wrong otherwise shows in the rows
+        pass
+    resumed = ResumableFetch(spark, f"{path}/roster", path, fetch)
+    resumed.run()
+    return resumed.outcomes().groupBy("key").agg(F.max("sha256").alias("sha256"), F.count("*").cast("int").alias("times"))

@@ -5,12 +5,6 @@ import pytest
 from ledgerlight.streaming.resume import ResumableFetch
 
 
-def fetch(key):
-    if key.startswith("bad"):
-        raise OSError(key)
-    return key.encode()
-
-
 def roster(spark, path, *keys):
     spark.createDataFrame([(k,) for k in keys], "key string").coalesce(1).write.mode("append").parquet(path)
 
@@ -26,6 +20,11 @@ def test_each_key_once_however_often_it_is_stopped(spark, tmp_path):
     roster(spark, at, "c", "d", "bad")
     stopped = []
 
+    def fetch(key):
+        if key.startswith("bad"):
+            raise OSError(key)
+        return key.encode()
+
     class Stopped(ResumableFetch):
         def store(self, batch, batch_id):
             if batch_id == 1 and len(stopped) == 0:  # before anything of the batch is stored

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.scalars import legal_name, normalise_company_number, normalise_name, strict_name, strip_suffix
 from ledgerlight.operators.aggregates import with_interval, zero_filled
+from ledgerlight.operators.substring import substring_pairs
 
 # Product codes and words of protective and medical supplies.
 MEDICAL_CODES = ("18", "33", "35", "39530")
@@ -87,12 +88,11 @@ def capped_name_lookup(entity: DataFrame, names: DataFrame, most: int = 200) ->
     wanted = names.select("name").distinct().withColumn("n", normalise_name(F.col("name")))
     have = entity.select("id", normalise_name(F.col("name")).alias("h"))
     exact = wanted.join(have, F.col("n") == F.col("h"), "left").groupBy("name", "n").agg(F.count("id").alias("hits"), F.min("id").alias("id"))
-    # names that contain an asked one have its first three characters somewhere: an equi-join, whatever the number of names
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("h") - 2, F.lit(1))), lambda i: F.substring("h", i, F.lit(3))))
-    held = have.select("id", "h", F.explode(grams).alias("gram"))
-    near = held.join(wanted.where(F.length("n") >= 3).withColumn("gram", F.substring("n", 1, 3)), "gram").where(F.contains(F.col("h"), F.col("n"))).groupBy("name").agg(F.count_distinct("id").alias("seen"))
+    texts = have.groupBy(F.col("h").alias("text")).agg(F.count_distinct("id").alias("ids"))
+    pairs = substring_pairs(wanted.where(F.char_length("n") >= 3).select(F.col("n").alias("pattern")), texts)
+    near = pairs.join(texts, "text").groupBy(F.col("pattern").alias("n")).agg(F.sum("ids").alias("seen"))
     outcome = F.when(F.col("seen") > most, "refused").when(F.col("hits") == 0, "none").when(F.col("hits") > 1, "ambiguous").otherwise("unique")
-    return exact.join(near, "name", "left").select("name", F.when(outcome == "unique", F.col("id")).alias("id"), outcome.alias("outcome"))
+    return exact.join(near, "n", "left").select("name", F.when(outcome == "unique", F.col("id")).alias("id"), outcome.alias("outcome"))
 
 
 def backfill(current: DataFrame, bulk: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -236,15 +236,34 @@ def i11(spark, sf_dir):
     return flags.withColumn("tender_id", S.subject_tender(F.col("subject"))).join(t.tender.select("tender_id", "buyer_name"), "tender_id").select("award_id", "tender_id", "buyer_name")
 
 
-@query("i12_tender_metadata", """WITH b AS (SELECT source_id, buyer_name, min(tender_id) AS first FROM tender GROUP BY ALL)
-SELECT t.tender_id AS k, CASE WHEN tender_key % 5 IN (0, 3) THEN t.tender_id WHEN tender_key % 5 IN (1, 2) THEN first END AS tender_id, CASE tender_key % 5 WHEN 0 THEN 'id' WHEN 1 THEN 'arrow' WHEN 2 THEN 'buyer' WHEN 3 THEN 'colon' END AS way FROM tender t JOIN b USING (source_id, buyer_name)""")
+#: Subjects of seven kinds: an id, buyers before arrows (whole, a part of them, another case), a name, parts of one, an id and more.
+SUBJECT = """CASE tender_key % 7 WHEN 0 THEN tender_id WHEN 1 THEN upper(buyer_name) || ' → someone' WHEN 2 THEN substr(buyer_name, 10) || '→x' WHEN 3 THEN lower(buyer_name)
+ WHEN 4 THEN CASE WHEN tender_key % 70 = 4 THEN '#0' WHEN tender_key % 70 = 11 THEN 'R' ELSE substr(buyer_name, 12, 7) END WHEN 5 THEN tender_id || ':' || buyer_name ELSE 'no one ' || tender_id END"""
+
+
+@query("i12_tender_metadata", f"""WITH s AS (SELECT source_id, tender_id AS k, {SUBJECT} AS subject FROM tender), b AS (SELECT source_id, lower(buyer_name) AS name, min(tender_id) AS first FROM tender GROUP BY ALL),
+d AS (SELECT DISTINCT source_id, subject FROM s),
+h AS (SELECT d.*, (SELECT min(tender_id) FROM tender t WHERE t.source_id = d.source_id AND t.tender_id = d.subject) AS by_id,
+ CASE WHEN contains(subject, '→') THEN (SELECT min(first) FROM b WHERE b.source_id = d.source_id AND contains(name, lower(trim(split_part(subject, '→', 1))))) END AS by_arrow,
+ (SELECT min(first) FROM b WHERE b.source_id = d.source_id AND name = lower(subject)) AS by_name, (SELECT min(first) FROM b WHERE b.source_id = d.source_id AND contains(name, lower(left(subject, 50)))) AS by_part,
+ CASE WHEN contains(subject, ':') THEN (SELECT min(tender_id) FROM tender t WHERE t.source_id = d.source_id AND t.tender_id = split_part(d.subject, ':', 1)) END AS by_colon FROM d)
+SELECT k, coalesce(by_id, by_arrow, by_name, by_part, by_colon) AS tender_id, CASE WHEN by_id IS NOT NULL THEN 'id' WHEN by_arrow IS NOT NULL THEN 'arrow' WHEN by_name IS NOT NULL THEN 'buyer' WHEN by_part IS NOT NULL THEN 'part' WHEN by_colon IS NOT NULL THEN 'colon' END AS way FROM s JOIN h USING (source_id, subject)""")
 def i12(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    subject = F.expr("CASE tender_key % 5 WHEN 0 THEN tender_id WHEN 1 THEN concat(buyer_name, '→', tender_id) WHEN 2 THEN lower(buyer_name) WHEN 3 THEN concat(tender_id, ':x') ELSE concat('no one ', tender_id) END")
-    flags = t.tender.select("source_id", F.col("tender_id").alias("k"), subject.alias("subject"))
+    flags = t.tender.select("source_id", F.col("tender_id").alias("k"), F.expr(SUBJECT).alias("subject"))
     return flags.join(ladders.tender_metadata(flags, t.tender), ["source_id", "subject"]).select("k", "tender_id", "way")
 
 
+@query("c09_substring_join", "SELECT p_name AS pattern, count(*) AS n FROM (SELECT DISTINCT lower(c_mktsegment) AS p_name FROM customer UNION SELECT DISTINCT substr(s_name, 14, 3) FROM supplier UNION SELECT '' UNION SELECT '#' UNION SELECT '00') JOIN (SELECT DISTINCT c_name || ' ' || lower(c_mktsegment) AS name FROM customer) ON contains(name, p_name) GROUP BY 1")
+def c09_join(spark, sf_dir):
+    """Patterns of all lengths, rare and frequent, against customers' names."""
+    from ledgerlight.operators.substring import substring_pairs
+
+    t = Tables(spark, sf_dir)
+    patterns = spark.sql("SELECT DISTINCT lower(c_mktsegment) AS pattern FROM {customer} UNION SELECT substr(s_name, 14, 3) FROM {supplier} UNION SELECT explode(array('', '#', '00'))", customer=t.read("customer"), supplier=t.read("supplier"))
+    return substring_pairs(patterns, t.read("customer").selectExpr("c_name || ' ' || lower(c_mktsegment) AS text")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
 @query("i14_dossier")
 def i14(spark, sf_dir):
     t = Tables(spark, sf_dir)

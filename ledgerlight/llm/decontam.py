@@ -1,12 +1,16 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every window of a text that has as many words as a benchmark item (the whole text, if it has fewer) is fingerprinted from
-its word shingles, unless it shares no shingle at all with an item of that size (such a window cannot be similar).
-Fingerprints are looked up in a multi-index: cut into BLOCKS blocks, two fingerprints within `radius` bits differ in at
-most radius / BLOCKS bits in some block, so items whose block is that near in any of them are all that can be within the
-radius. Only items that share a shingle with the text are looked at, so neither memory nor time grows with items that
-have nothing to do with it. Candidates in the radius are verified by the exact weighted Jaccard similarity of their
-shingles, each weighted by its number of occurrences.
+its word shingles and looked up in a multi-index: cut into BLOCKS blocks, two fingerprints within `radius` bits differ in at
+most radius / BLOCKS bits in some block, so a window whose blocks are all farther from an item's is beyond the radius.
+Candidates within the radius are verified by the exact weighted Jaccard similarity of their shingles, each weighted by its
+number of occurrences.
+
+Which windows are fingerprinted, and against which items, is told by an index of the items' shingles, exactly: a window as
+similar as asked has all but w - ceil(similarity * w) of an item's w shingles, so it has one of any one more of them. Each
+item is listed under so many of its rarest. A window is compared with those items alone that are listed under a shingle
+which stands in it: an opening that most items share lists none of them, unless it is nearly all they have. Items of the
+same words are one. So time goes with the pairs of windows and items that have something rare in common.
 
 Items go to the executors in parts of at most PART words; the texts are read once for each part. Within a part the
 operator is a map without a shuffle.
@@ -14,6 +18,7 @@ operator is a map without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -64,31 +69,68 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both) if a or b else 0.0
 
 
+class Listed:
+    """Shingles of one length, sorted, and the items (as numbers) listed under each."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        order = sorted(pairs)
+        hashes = np.array([h for h, _ in order], np.uint64)
+        self.items = np.array([i for _, i in order], np.int64)
+        self.known, self.first = np.unique(hashes, return_index=True)
+        self.many = np.diff(np.append(self.first, len(hashes)))
+        self.maybe = np.zeros(1 << 20, bool)  # by the low bits, before the search among the known
+        self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item): where a shingle stands in a text, and each item listed under it."""
+        at = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
+        hit = self.known[slot] == hashes[at]
+        at, slot = at[hit], slot[hit]
+        return np.repeat(at, self.many[slot]), self.items[spans(self.first[slot], self.many[slot])]
+
+
+def spans(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... many[0] numbers, then from first[1] on, and so forth."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 class Index:
-    """Items of one part: their shingles, who has each of them, and fingerprints by size, in blocks."""
+    """Items of one part, those of the same words as one: their shingles, where they are listed, and fingerprints in blocks."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int, similarity: float):
         self.shingle, self.radius, self.similarity = shingle, radius, similarity
         self.word: dict[str, int] = {}
-        self.items = []  # id, words, shingles with counts
-        by_size: dict[int, list[int]] = defaultdict(list)
-        fingerprints: list[int] = []
-        self.holders: dict[int, list[int]] = defaultdict(list)  # shingle: items with it
-        for item_id, text in items:
+        self.names: list[list[tuple[int, int]]] = []  # of each: (place among all items, item_id)
+        self.counts: list[Counter] = []
+        self.texts: dict[bytes, int] = {}
+        sizes, fingerprints = [], []
+        often: Counter = Counter()  # (shingle's length, shingle): items with it
+        for place, (item_id, text) in enumerate(items):
             words = words_of(text)
             if not words:
                 continue
             ids = np.array([self.word.setdefault(w, len(self.word) + 1) for w in words], np.uint64)
+            if (known := self.texts.setdefault(ids.tobytes(), len(self.names))) < len(self.names):
+                self.names[known].append((place, item_id))
+                continue
             hashes = shingle_hashes(ids, shingle)
             fingerprints.append(int(majority(bit_sums(hashes)[-1:], len(hashes))[0]))
-            by_size[len(words)].append(len(self.items))
-            for h in set(hashes.tolist()):
-                self.holders[h].append(len(self.items))
-            self.items.append((item_id, len(words), Counter(hashes.tolist())))
-        self.shorts = sorted({min(n, shingle) for n in by_size})
-        self.known = np.array(sorted(self.holders), np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)  # by the low bits, before the search among the known
-        self.maybe[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            sizes.append(len(words))
+            self.names.append([(place, item_id)])
+            self.counts.append(Counter(hashes.tolist()))
+            often.update((min(len(words), shingle), h) for h in self.counts[-1])
+        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for item, (n, counts) in enumerate(zip(sizes, self.counts)):
+            short, total = min(n, shingle), counts.total()
+            needed = total - math.ceil(similarity * total - 1e-9) + 1
+            for h in sorted(counts, key=lambda h: (often[short, h], h)):
+                if needed <= 0:
+                    break
+                pairs[short].append((h, item))
+                needed -= counts[h]
+        self.listed = {short: Listed(p) for short, p in pairs.items()}
+        self.sizes = np.array(sizes, np.int64)
         u = np.arange(256)
         self.near = np.array([x.bit_count() for x in range(256)])[u[:, None] ^ u] <= radius // BLOCKS
         self.fps = np.array(fingerprints, np.uint64)
@@ -96,57 +138,50 @@ class Index:
 
     def matches(self, text: str | None) -> list[tuple]:
         """MATCH rows of a text: for each item its most similar window (the first of them) and the number of windows."""
-        words = words_of(text)
         get = self.word.get
-        ids = np.array([get(w, 0) for w in words], np.uint64)
+        ids = np.array([get(w, 0) for w in words_of(text)], np.uint64)
         found: dict[int, list] = {}
-        places: dict[int, set[int]] = defaultdict(set)  # size: places of shingles of items of that size
-        members: dict[int, set[int]] = defaultdict(set)  # size: those items
-        for short in self.shorts:
+        for short, listed in self.listed.items():
             if len(ids) < short:
                 continue
-            hashes = shingle_hashes(ids, short) if len(ids) > short else shingle_hashes(ids, len(ids))
-            at = np.flatnonzero(self.maybe[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            if len(at):
-                place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
-                for p in at[self.known[place] == hashes[at]].tolist():
-                    for item in self.holders[int(hashes[p])]:
-                        n = self.items[item][1]
-                        if min(n, self.shingle) == short:
-                            places[n].add(p)
-                            members[n].add(item)
-        for n in places:
-            self.windows(n, np.array(sorted(members[n])), np.array(sorted(places[n])), ids, found)
-        return [(self.items[i][0], *best) for i, best in sorted(found.items())]
-
-    def windows(self, n: int, members: np.ndarray, places: np.ndarray, ids: np.ndarray, found: dict[int, list]) -> None:
+            place, item = listed.found(shingle_hashes(ids, short))
+            for n in np.unique(self.sizes[item]).tolist():
+                mine = self.sizes[item] == n
+                self.windows(n, place[mine], item[mine], ids, found)
+        rows = [(place, item_id, best) for item, best in found.items() for place, item_id in self.names[item]]
+        return [(item_id, *best) for _, item_id, best in sorted(rows)]
+
+    def windows(self, n: int, place: np.ndarray, item: np.ndarray, ids: np.ndarray, found: dict[int, list]) -> None:
+        """Compare each item of n words with the windows that hold a place of it."""
         n = min(n, len(ids))  # a text shorter than the item is one window
         width = max(1, n - self.shingle + 1)  # shingles of a window
-        starts = np.unique(places[:, None] - np.arange(width))
-        starts = starts[(starts >= 0) & (starts + n <= len(ids))]
-        if not len(starts):
-            return
+        low = np.maximum(place - width + 1, 0)
+        many = np.maximum(np.minimum(place, len(ids) - n) - low + 1, 0)
+        # pairs of a window's start and an item, each once, by start
+        pairs = np.unique(spans(low, many) * len(self.sizes) + np.repeat(item, many))
+        starts, item = np.divmod(pairs, len(self.sizes))
         # runs of starts that lie near each other are fingerprinted from common sums
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
-            low = int(run[0])
-            hashes = shingle_hashes(ids[low: int(run[-1]) + n], min(n, self.shingle))
+        cuts = np.flatnonzero(np.diff(starts) > width) + 1
+        for at, who in zip(np.split(starts, cuts), np.split(item, cuts)):
+            if not len(at):
+                continue
+            own, slot = np.unique(at, return_inverse=True)
+            first = int(own[0])
+            hashes = shingle_hashes(ids[first: int(own[-1]) + n], min(n, self.shingle))
             sums = bit_sums(hashes)
-            own = majority(sums[run - low + width] - sums[run - low], width)
-            blocks = own.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-            candidate = np.zeros((len(own), len(members)), bool)
+            prints = majority(sums[own - first + width] - sums[own - first], width)
+            blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+            candidate = np.zeros(len(at), bool)
             for block in range(BLOCKS):
-                candidate |= self.near[blocks[:, block][:, None], self.blocks[members, block]]
-            for w, k in zip(*map(np.ndarray.tolist, np.nonzero(candidate))):
-                differing = (int(own[w]) ^ int(self.fps[members[k]])).bit_count()
-                if differing > self.radius:
-                    continue
-                at = int(run[w]) - low
-                alike = weighted_jaccard(Counter(hashes[at: at + width].tolist()), self.items[members[k]][2])
+                candidate |= self.near[blocks[slot, block], self.blocks[who, block]]
+            differing = np.bitwise_count(prints[slot] ^ self.fps[who])
+            for k in np.flatnonzero(candidate & (differing <= self.radius)).tolist():
+                start, i = int(at[k]) - first, int(who[k])
+                alike = weighted_jaccard(Counter(hashes[start: start + width].tolist()), self.counts[i])
                 if alike >= self.similarity:
-                    i = int(members[k])
                     best = found.setdefault(i, [0, n, 0, -1.0, 0])
                     if alike > best[3]:
-                        best[0], best[2], best[3] = at + low, differing, alike
+                        best[0], best[2], best[3] = start + first, int(differing[k]), alike
                     best[4] += 1
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -79,3 +80,45 @@ def test_many_items_of_one_size(spark):
     out = decontam.contamination(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"))
     got = {(x.doc_id, m.item_id) for x in out.collect() for m in x.matches}
     assert {(d, d * 7) for d in docs} <= got and got == brute(docs, items)
+
+
+def test_items_with_a_common_opening():
+    """Items of one template, and a text that repeats their opening: neither time nor matches go with their number."""
+    r = random.Random(12)
+    opening = "which of the following statements is"
+    items = [(i, f"{opening} " + " ".join(f"w{r.randrange(5000)}" for _ in range(35))) for i in range(3000)]
+    began = time.time()
+    index = decontam.Index(items, 5, 20, 0.8)
+    built = time.time() - began
+    filler = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    text = " ".join(f"{opening} {filler(150)}" for _ in range(50)) + " " + items[7][1] + " " + items[8][1]
+    began = time.time()
+    found = index.matches(text)
+    assert [m[0] for m in found] == [7, 8] and time.time() - began < 1 and built < 20
+    docs = {0: text, 1: f"{opening} " * 40}
+    few = dict(items[5:9])
+    assert {(d, m[0]) for d in docs for m in decontam.Index(list(few.items()), 5, 20, 0.8).matches(docs[d])} == brute(docs, few)
+
+
+def test_items_that_are_mostly_alike():
+    """All but a few words in common: listed under what they share too, so none is lost; windows are counted exactly."""
+    r = random.Random(13)
+    common = [f"c{i}" for i in range(60)]
+    items = {}
+    for i in range(30):
+        words = list(common)
+        words[r.randrange(60)] = f"own{i}"
+        items[i] = " ".join(words)
+    docs = {0: "before " + items[3] + " after", 1: " ".join(common[2:]) + " end of it", 2: " ".join(common[:30])}
+    index = decontam.Index(list(items.items()), 5, 64, 0.8)  # any fingerprint is near enough
+    found = {(d, m[0]): m[5] for d in docs for m in index.matches(docs[d])}
+    shingles = lambda w: Counter(tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4)))
+    expected = {}
+    for d, text in docs.items():
+        words = text.split()
+        for i, item in items.items():
+            n = min(60, len(words))
+            alike = sum(decontam.weighted_jaccard(shingles(words[s: s + n]), shingles(item.split())) >= 0.8 for s in range(len(words) - n + 1))
+            if alike:
+                expected[d, i] = alike
+    assert found == expected and len(found) >= 10

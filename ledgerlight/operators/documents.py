@@ -134,36 +134,37 @@ def fuzzy(pairs: DataFrame, threshold: float = NEAR) -> DataFrame:
     return pairs.select("pair", "quote", "text").mapInArrow(compare, "pair string, similarity double, status string")
 
 
-def visible_text(pages: DataFrame, drop: tuple[str, ...] = ("script", "style", "template")) -> DataFrame:
-    """page_id, text: text of a page's elements but those dropped, each stripped, joined by single spaces.
+def html_text(html: str, drop: tuple[str, ...] = ("script", "style", "template")) -> str:
+    """Text of a page's elements but those dropped, each stripped, joined by single spaces; comments are dropped."""
+    from html.parser import HTMLParser
 
-    An empty page is a valid empty text; comments are dropped."""
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.parts, self.inside = [], 0
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from html.parser import HTMLParser
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag in drop
 
-        class Text(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.parts, self.inside = [], 0
+        def handle_endtag(self, tag):
+            self.inside -= tag in drop and self.inside > 0
 
-            def handle_starttag(self, tag, attrs):
-                self.inside += tag in drop
+        def handle_data(self, data):
+            if not self.inside and data.strip():
+                self.parts.append(data.strip())
 
-            def handle_endtag(self, tag):
-                self.inside -= tag in drop and self.inside > 0
+    parser = Text()
+    parser.feed(html)
+    parser.close()
+    return " ".join(parser.parts)
 
-            def handle_data(self, data):
-                if not self.inside and data.strip():
-                    self.parts.append(data.strip())
 
+def visible_text(pages: DataFrame, drop: tuple[str, ...] = ("script", "style", "template")) -> DataFrame:
+    """page_id, text: html_text() of each page. An empty page is a valid empty text; a null one has none."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for html in batch.column(1).to_pylist():
-                parser = Text()
-                parser.feed(html or "")
-                parser.close()
-                out.append(None if html is None else " ".join(parser.parts))
+            out = [None if html is None else html_text(html, drop) for html in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["page_id", "text"])
 
     return pages.select("page_id", "html").mapInArrow(extract, "page_id long, text string")

@@ -14,6 +14,7 @@ from ledgerlight.plans.base import ORACLE_SQL, query
 from ledgerlight.plans.indicators import FRAMEWORK, GB_THRESHOLD, PLACEHOLDER
 from ledgerlight.sources import ingest
 from ledgerlight.sources.fetching import ConnectorSource
+from ledgerlight.sources.files import document_scan
 from ledgerlight.sources.flags import FlagStore
 from ledgerlight.sources.merged import MergedTable
 from ledgerlight.sources.views import Tables
@@ -218,3 +219,61 @@ def j04_resumed(spark, sf_dir):
     resumed = ResumableFetch(spark, f"{path}/roster", path, fetch)
     resumed.run()
     return resumed.outcomes().groupBy("key").agg(F.max("sha256").alias("sha256"), F.count("*").cast("int").alias("times"))
+
+
+class Reader:
+    """Stands for a recogniser: reads the samples' text behind their fifth byte, but of those marked R."""
+
+    name = "sample reader"
+
+    def is_available(self):
+        return True
+
+    def unavailable_reason(self):
+        return None
+
+    def extract(self, data):
+        if data[4:5] == b"R":
+            raise ValueError("blurred")
+        return data[5:].decode(), 1
+
+
+def sample_layer(data: bytes) -> list[str]:
+    """The text layer of a sample: of those marked L all their text; others have none or can't be parsed."""
+    if data[:4] != b"%PDF" or data[4:5] == b"B":
+        raise ValueError("no PDF")
+    return [data[5:].decode() if data[4:5] == b"L" else ""]
+
+
+def write_files(rows, path: str) -> None:
+    """rows (name, content) as files in a folder, written by the executors."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        files.create_dir(root)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with files.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content)
+            yield batch.slice(0, 0).select(["name"])
+
+    rows.select("name", "content").mapInArrow(write, "name string").count()
+
+
+PASSES = "solid > 0 AND length(text) >= 50 AND alnum >= 0.5 * solid AND len(words) > 0 AND len(list_filter(words, lambda x: regexp_matches(x, '^[A-Za-z0-9][A-Za-z0-9''\\-.,;:()/]*$'))) >= 0.6 * len(words)"
+
+
+@query("a20_document_scan", f"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words, len(regexp_extract_all(text, '\\S')) AS solid, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]')) AS alnum FROM documents),
+s AS (SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN 'TEXT_LAYER' WHEN 1 THEN CASE WHEN {PASSES} THEN 'TEXT_LAYER' ELSE 'EXTRACTION_UNRELIABLE' END WHEN 2 THEN CASE WHEN {PASSES} THEN 'OCR' ELSE 'EXTRACTION_UNRELIABLE' END ELSE 'FAILED' END AS status FROM w)
+SELECT doc_id, status, CASE WHEN status = 'FAILED' THEN 0 WHEN doc_id % 6 = 0 THEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ELSE length(text) END AS chars FROM s""")
+def a20(spark, sf_dir):
+    """Documents as files of six kinds: a page, PDFs with a layer, as an image, broken and blurred, and an unknown kind."""
+    docs, path = Tables(spark, sf_dir).read("documents"), folder(spark, "files")
+    kind = F.col("doc_id") % 6
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.when(kind == 0, F.concat(F.lit("<html><script>x</script><p>"), escaped, F.lit("</p>"))).otherwise(F.concat(F.lit("%PDF"), F.element_at(F.array(*map(F.lit, "?LIBLR")), (kind + 1).cast("int")), "text"))
+    write_files(docs.select(F.concat("doc_id", F.element_at(F.array(*map(F.lit, (".HTML", ".pdf", ".pdf", ".PDF", ".docx", ".pdf"))), (kind + 1).cast("int"))).alias("name"), F.encode(body, "UTF-8").alias("content")), path)
+    found = document_scan(spark, path, sample_layer, Reader())
+    return found.select(F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).cast("long").alias("doc_id"), "status", "chars")

@@ -78,28 +78,31 @@ def without_notes(text: Column) -> Column:
     return F.regexp_replace(F.rtrim(text), rf"(?:\s*\({inner}*\)\s*)+$", "")
 
 
+# An entry is a role, a comma and an organisation, or an organisation alone: a comma before a bare legal form is part of it.
+_ENTRY = rf"(?is)^(?:([^,]*),(?!\s*(?:{'|'.join(SUFFIXES)})\.?\s*$))?\s*(.*?)\s*$"
+_PROSE = "|".join(rf"\Q{marker}\E" for marker in PROSE)
+_FORM = rf"(?i)\b(?:{'|'.join(ORGANISATIONS)})\b"
+# What could be a name: up to nine words and a hundred characters, from a capital, a number or a letter of a script without case.
+_NAMELIKE = r"^(?=.{1,100}$)(?!\p{Ll})[\p{L}\p{N}]\S*(?:\s+\S+){0,8}$"
+_AMONG = r"(?i)(?<!\S)[,.\-'()]*(?:%s)[,.\-'()]*(?!\S)"
+
+
 def counterparty(description: Column, category: Column) -> Column:
     """struct(name, private): the organisation that an entry names, or null; private if it concerns family.
 
-    Notes in brackets go first. What stands behind the first comma is the organisation, unless it is a bare legal form.
-    A legal form or a kind of organisation names one; without, a short capitalised name does if the category is
-    shareholdings or the entry speaks of a company."""
+    An organisation is told by its legal form or kind. Without one a name does where a company is to be expected (in the
+    category of shareholdings, or behind a role if the entry speaks of a company): no date, and three in five of its words,
+    connecting ones aside, in capitals. Running text names nobody."""
     core = without_notes(description)
-    after = F.trim(F.regexp_extract(core, r"(?s)^[^,]*,(.*)$", 1))
-    has_role = F.contains(core, F.lit(",")) & ~after.rlike(rf"(?i)^({'|'.join(SUFFIXES)})\.?$")
-    role, candidate = F.when(has_role, F.lower(F.substring_index(core, ",", 1))), F.when(has_role, after).otherwise(core)
-    private = F.coalesce(F.contains(role, F.lit("family")), F.lit(False))
-    prose = F.lit(False)
-    for marker in PROSE:
-        prose = prose | F.contains(candidate, F.lit(marker))
-    words = F.filter(F.split(candidate, r"\s+"), lambda w: w != "")
-    bare = lambda w: F.lower(F.regexp_replace(w, r"^[,.\-'()]+|[,.\-'()]+$", ""))
-    telling = F.filter(words, lambda w: ~bare(w).isin(*CONNECTORS) & w.rlike(r"^\p{L}"))
-    capital = F.size(F.filter(telling, lambda w: w.rlike(r"^\p{Lu}")))
-    named = (F.char_length(candidate) <= 100) & candidate.rlike(r"^[\p{L}\p{N}]") & F.size(words).between(1, 9) & ~candidate.rlike(r"^\p{Ll}") & ~F.exists(words, lambda w: bare(w).isin(*MONTHS)) & (F.size(telling) > 0) & (capital / F.greatest(F.size(telling), F.lit(1)) >= 0.6)
-    organisation = candidate.rlike(rf"(?i)\b({'|'.join(ORGANISATIONS)})\b")
-    expected = F.coalesce(F.startswith(category, F.lit("Category 2")), F.lit(False)) | (has_role & description.rlike(r"(?i)\b(company|corporation|firm)\b"))
-    return F.struct(F.when(~private & (candidate != "") & ~prose & (organisation | (expected & named)), candidate).alias("name"), private.alias("private"))
+    role, name = (F.regexp_extract(core, _ENTRY, k) for k in (1, 2))
+    family = F.coalesce(F.contains(F.lower(role), F.lit("family")), F.lit(False))
+    words = F.regexp_replace(name, _AMONG % "|".join(CONNECTORS), "")
+    lettered, capital = (F.regexp_count(words, F.lit(rf"(?<!\S)\p{{{kind}}}")) for kind in ("L", "Lu"))
+    looks = name.rlike(_NAMELIKE) & ~name.rlike(_AMONG % "|".join(MONTHS)) & (lettered > 0) & (5 * capital >= 3 * lettered)
+    holding = F.coalesce(F.startswith(category, F.lit("Category 2")), F.lit(False))
+    company = (role != "") & description.rlike(r"(?i)\b(?:company|corporation|firm)\b")
+    told = (name != "") & ~family & ~name.rlike(_PROSE) & (name.rlike(_FORM) | ((holding | company) & looks))
+    return F.struct(F.when(told, name).alias("name"), family.alias("private"))
 
 
 def ceased_on(text: Column) -> Column:

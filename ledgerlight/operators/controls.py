@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.scalars import legal_name, normalise_company_number, normalise_name, strict_name, strip_suffix
-from ledgerlight.operators.aggregates import with_interval, zero_filled
+from ledgerlight.operators.aggregates import with_interval
 from ledgerlight.operators.substring import substring_pairs
 
 # Product codes and words of protective and medical supplies.
@@ -95,9 +95,14 @@ def capped_name_lookup(entity: DataFrame, names: DataFrame, most: int = 200) ->
     return exact.join(near, "n", "left").select("name", F.when(outcome == "unique", F.col("id")).alias("id"), outcome.alias("outcome"))
 
 
+def one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with the same key the least by all columns."""
+    return rows.groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+
+
 def backfill(current: DataFrame, bulk: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """current with the columns of bulk where it has the key and a value; keys that only bulk has are ignored."""
-    extra = bulk.select(key, *(F.col(c).alias(f"new_{c}") for c in columns)).dropDuplicates([key])
+    extra = one_of_each(bulk.select(key, *(F.col(c).alias(f"new_{c}") for c in columns)), key)
     j = current.join(extra, key, "left")
     return j.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in current.columns))
 
@@ -105,12 +110,11 @@ def backfill(current: DataFrame, bulk: DataFrame, key: str, columns: list[str])
 def temporal_lift(levels: DataFrame, baseline: str) -> DataFrame:
     """cohort, level, n, rate with its interval, and the rate's difference to the baseline cohort; every level in every cohort.
     levels: cohort, level (1 to 4)."""
-    parts = None
-    for r in levels.select("cohort").distinct().orderBy("cohort").collect():  # a handful of cohorts
-        one = zero_filled(levels.where(F.col("cohort").eqNullSafe(F.lit(r["cohort"]))), "level", [1, 2, 3, 4]).withColumn("cohort", F.lit(r["cohort"]))
-        parts = one if parts is None else parts.unionByName(one)
     totals = levels.groupBy("cohort").agg(F.count("*").alias("total"))
-    rated = with_interval(parts.join(totals, "cohort"), "n", "total").withColumn("rate", F.col("n") / F.col("total"))
+    counts = levels.groupBy("cohort", "level").agg(F.count("*").alias("n"))
+    every = totals.select("cohort", "total", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("level"))
+    filled = every.join(counts, every["cohort"].eqNullSafe(counts["cohort"]) & (every["level"] == counts["level"]), "left").select(every["cohort"], every["level"], "total", F.coalesce("n", F.lit(0)).alias("n"))
+    rated = with_interval(filled, "n", "total").withColumn("rate", F.col("n") / F.col("total"))
     base = rated.where(F.col("cohort") == baseline).select("level", F.col("rate").alias("base"))
     return rated.join(base, "level", "left").select("cohort", "level", "n", "rate", "low", "high", (F.col("rate") - F.col("base")).alias("delta"))
 
@@ -119,7 +123,7 @@ def bound_gates(report: DataFrame, strata: list[str], code: str, graph: str, man
     """stratum, passed, reason for every stratum: a report counts only if it is bound to this code, graph and manifest, and
     "true", "1" and "yes" alone are true. report: stratum, passed (string), code, graph, manifest."""
     domain = report.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, strata))).alias("stratum"))
-    j = domain.join(report.dropDuplicates(["stratum"]), "stratum", "left")
+    j = domain.join(one_of_each(report, "stratum"), "stratum", "left")
     same = (F.col("code") == code) & (F.col("graph") == graph) & (F.col("manifest") == manifest)
     reason = F.when(F.col("code").isNull(), "missing").when(~F.coalesce(same, F.lit(False)), "stale binding").when(~F.lower(F.trim("passed")).isin("true", "1", "yes"), "failing")
     return j.select("stratum", F.coalesce(reason.isNull(), F.lit(False)).alias("passed"), reason.alias("reason"))
@@ -130,3 +134,17 @@ def ceiling(controls: DataFrame, reachable: DataFrame, needed: float = 0.9) -> D
     n = controls.join(reachable.select("id").distinct().withColumn("r", F.lit(1)), "id", "left").agg(F.count("*").alias("total"), F.count("r").alias("reachable"))
     rate = F.col("reachable") / F.nullif("total", F.lit(0))
     return n.withColumn("ceiling", rate).withColumn("can_pass", F.coalesce(rate >= needed, F.lit(False)))
+
+
+def blocked_controls(controls: DataFrame, company: DataFrame) -> DataFrame:
+    """id, company_number, reason: controls of companies that the register's bulk file does not have, whatever else is fetched."""
+    known = company.select(F.col("company_number").alias("known")).distinct()
+    absent = controls.join(known, normalise_company_number(F.col("company_number")) == F.col("known"), "left_anti")
+    return absent.select("id", "company_number", F.lit("not in the bulk file").alias("reason"))
+
+
+def threshold_table(totals: DataFrame, needed: float = 0.9) -> DataFrame:
+    """total, recovered, pct, passes: every score that is possible out of each total, and whether it reaches what is needed."""
+    each = totals.select("total").distinct().select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total").cast("long"))).alias("recovered"))
+    share = F.col("recovered") / F.nullif("total", F.lit(0))
+    return each.select("total", "recovered", F.round(100 * share, 1).alias("pct"), F.coalesce(share >= needed, F.lit(False)).alias("passes"))

@@ -192,6 +192,46 @@ def decoded_text(body: Column) -> Column:
     return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(F.decode(body, "ISO-8859-1"))
 
 
+def fetched_texts(fetches: DataFrame, blocked: list[str], challenges: list[str]) -> DataFrame:
+    """url, problem, text, unreliable of each fetch (url, status_code, content_type, body): why it can't be used, or its text
+    with quotes and blanks made plain, and why absence from that proves nothing. PDFs have no text here: a scan reads them."""
+    head = F.decode(F.substring("body", 1, 512), "ISO-8859-1")
+    told = fetches.withColumn("kind", content_kind(F.col("content_type"), F.col("url"), head)).withColumn("raw", F.when(F.col("kind") != "pdf", decoded_text(F.col("body"))))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [raw if kind != "html" or raw is None else html_text(raw, ("script", "style", "noscript")) for kind, raw in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
+
+    read = told.select("url", F.col("status_code").cast("int").alias("status_code"), "content_type", "kind", "raw").mapInArrow(texts, "url string, status_code int, content_type string, kind string, raw string, text string")
+    outcome = content_outcome(F.col("status_code"), F.col("content_type"), F.col("url"), F.concat_ws("\n", "text", "raw"), blocked, challenges)
+    problem = F.coalesce(outcome, F.when(F.col("text").isNull(), "no_text"))
+    markup, root = F.when(F.col("kind") == "html", F.char_length("raw")), (F.col("kind") == "html") & F.col("raw").rlike(r"(?i)<div[^>]+id=[\"']?(?:root|app|__next)\b")
+    return read.select("url", problem.alias("problem"), plain_quotes(F.col("text")).alias("text"), unreliable_reason(F.char_length("text"), markup, root).alias("unreliable"))
+
+
+def citation_verdicts(citations: DataFrame, fetches: DataFrame, blocked: list[str] = [], challenges: list[str] = [], threshold: float = NEAR) -> DataFrame:  # noqa: B006
+    """citation, status, similarity, detail: what becomes of each citation (citation, url, quote; ids are unique).
+
+    In this order: SKIPPED without a url or a quote; UNFETCHABLE if its url was not fetched, or the fetch can't be used;
+    VERBATIM if the text has the quote as it stands; NEAR if a passage is as similar as the threshold; EXTRACTION_UNRELIABLE
+    if the text was too long to be searched as a whole, or its extraction proves nothing; else ABSENT. A page's text is made
+    once, however many citations it has; of a url fetched more than once the least body counts."""
+    once = fetches.groupBy("url").agg(F.min(F.struct("body", "status_code", "content_type")).alias("f")).select("url", "f.*")
+    texts = fetched_texts(once, blocked, challenges)
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    asked = citations.select(F.col("citation").cast("string").alias("citation"), "url", plain_quotes(F.col("quote")).alias("quote"), (blank("url") | blank("quote")).alias("skipped"))
+    joined = asked.join(texts.withColumn("there", F.lit(True)), "url", "left")
+    first = F.when(F.col("skipped"), "SKIPPED").when(F.col("there").isNull() | F.col("problem").isNotNull(), "UNFETCHABLE").when(F.contains("text", F.col("quote")), "VERBATIM")
+    known = joined.withColumn("first", first)
+    compared = fuzzy(known.where("first IS NULL").select(F.col("citation").alias("pair"), "quote", "text"), threshold).withColumnRenamed("status", "found")
+    j = known.select("citation", "first", "there", "problem", "unreliable").join(compared, F.col("citation") == F.col("pair"), "left")
+    status = F.coalesce("first", F.when(F.col("found") == "NEAR", "NEAR").when((F.col("found") == "EXTRACTION_UNRELIABLE") | F.col("unreliable").isNotNull(), "EXTRACTION_UNRELIABLE").otherwise("ABSENT"))
+    detail = F.when(status == "UNFETCHABLE", F.coalesce("problem", F.lit("not_fetched"))).when(status == "EXTRACTION_UNRELIABLE", F.coalesce("unreliable", F.lit("searched in part")))
+    similarity = F.when(status == "VERBATIM", 1.0).otherwise(F.col("similarity"))
+    return j.select("citation", status.alias("status"), similarity.alias("similarity"), detail.alias("detail"))
+
+
 def extraction_outcome(layer: Column, pages: Column, backend: bool, recognised: Column) -> Column:
     """struct(status, text): the text layer if it passes the quality gate; else what a recogniser read, if it passes too; a
     missing backend, an unreadable file (null layer) and text that fails are told apart, and never an empty success."""

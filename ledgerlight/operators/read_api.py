@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.operators.gates import pending_roster
 from ledgerlight.operators.graph import bounded_paths, costed, neighbours_by_type
 from ledgerlight.operators.guards import entity_summary
 
@@ -56,3 +57,30 @@ def review(flags: DataFrame, decisions: DataFrame) -> DataFrame:
     """flags with the status of their last decision (id, status, seq); only known statuses count."""
     known = decisions.where(F.col("status").isin("pending", "confirmed", "rejected", "escalated")).groupBy("id").agg(F.max_by("status", "seq").alias("decided"))
     return flags.join(known, "id", "left").withColumn("review_status", F.coalesce("decided", "review_status")).drop("decided")
+
+
+def coverage_report(universe: str, entity: DataFrame, suppliers: DataFrame, cached: DataFrame, attempted: DataFrame) -> DataFrame:
+    """One row for a universe of companies, `all` of the register or those that are a `procurement_supplier`: universe, ingested,
+    failed, missing, total and the share ingested (null without a company). entity: entity_type, scheme, registry_id; the
+    others: company_number."""
+    companies = entity.where("entity_type = 'company' AND scheme = 'GB-COH'").select(F.col("registry_id").alias("company_number"))
+    if universe not in ("all", "procurement_supplier"):
+        raise ValueError(f"no universe {universe!r}: all or procurement_supplier")
+    members = companies if universe == "all" else suppliers.select("company_number").dropna()
+    counts = pending_roster(members, cached, attempted, "company_number")
+    return counts.select(F.lit(universe).alias("universe"), "*", (F.col("ingested") / F.nullif("total", F.lit(0))).alias("share"))
+
+
+def list_sources(spark: SparkSession, register: DataFrame) -> DataFrame:
+    """The register's entries (source_id and whatever it says of each), with whether a connector is there and where it applies."""
+    from ledgerlight.sources.connectors import CONNECTORS
+
+    known = spark.createDataFrame([(k, sorted(c.jurisdictions)) for k, c in CONNECTORS.items()], "source_id string, jurisdictions array<string>")
+    return register.join(F.broadcast(known), "source_id", "left").withColumn("connected", F.col("jurisdictions").isNotNull()).orderBy("source_id")  # a few rows
+
+
+def describe_pipeline() -> str:
+    """What a new country's source has to bring: the connector contract, as it stands beside the code that checks it."""
+    from ledgerlight.sources import connectors
+
+    return f"{connectors.__doc__.strip()}\n\n{connectors.problems.__doc__.strip()}"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.scalars import wilson
+from ledgerlight.operators.controls import one_of_each
 
 
 def evaluate_pairs(rows: DataFrame, suppliers: DataFrame, referrers: DataFrame, paths: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def families_measured(report: DataFrame, required: list[str], state: dict[str, s
     """family, measured, reason: no entry, a stale binding or no figures leave a family unmeasured. report: family, passed, and
     the hashes of state."""
     domain = report.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, required))).alias("family"))
-    j = domain.join(bound_to(report.dropDuplicates(["family"]), state), "family", "left")
+    j = domain.join(bound_to(one_of_each(report, "family"), state), "family", "left")
     reason = F.when(F.col("bound").isNull(), "missing entry").when(~F.col("bound"), "stale binding").when(F.col("passed").isNull(), "no figures")
     return j.select("family", reason.isNull().alias("measured"), reason.alias("reason"))
 

@@ -180,8 +180,14 @@ def n07(spark, sf_dir):
     return N.blockers(m, [f"src{i}" for i in range(25)])
 
 
-@query("m08_verdict", """SELECT i, CASE WHEN i % 11 = 0 OR i % 6 > 3 THEN 'INSUFFICIENT-COHORT' WHEN i % 5 = 0 THEN 'INVALID' WHEN i % 4 = 0 THEN 'INSTRUMENT-LIMITED' WHEN i % 7 - 1 >= 4 THEN 'CONFIRMED' WHEN i % 7 = 1 AND i % 3 = 0 THEN 'REFUTED' WHEN i % 7 = 1 THEN 'INSTRUMENT-LIMITED' WHEN i % 7 - 1 BETWEEN 1 AND 3 THEN 'PARTIAL' ELSE 'UNDEFINED-OUTCOME' END AS outcome FROM range(2000) r(i)""")
+@query("m08_verdict", """WITH c AS (SELECT o_custkey AS k, CASE WHEN count(*) % 11 = 0 THEN 19 ELSE 20 END AS total, count(*) FILTER (o_orderstatus = 'F') % 6 AS recovered, count(*) FILTER (o_orderpriority = '1-URGENT') % 4 AS untestable, count(*) FILTER (o_orderstatus = 'P') % 2 AS no_trace,
+ CASE WHEN count(*) % 13 = 0 THEN NULL ELSE count(*) % 5 <> 0 END AS covered, count(*) FILTER (o_orderpriority = '5-LOW') % 4 <> 0 AS any_stratum, count(*) FILTER (o_orderpriority = '2-HIGH') % 3 = 0 AS all_strata FROM orders GROUP BY 1)
+SELECT k, CASE WHEN total <> 20 OR total - untestable - no_trace < 17 THEN 'INSUFFICIENT-COHORT' WHEN NOT coalesce(covered, false) THEN 'INVALID' WHEN NOT any_stratum THEN 'INSTRUMENT-LIMITED' WHEN recovered >= 4 THEN 'CONFIRMED' WHEN recovered > 0 THEN 'PARTIAL' WHEN all_strata THEN 'REFUTED' ELSE 'INSTRUMENT-LIMITED' END AS outcome FROM c""")
 def m08(spark, sf_dir):
-    i = F.col("i")
-    out = N.verdict(i % 7 - 1, F.when(i % 11 == 0, 19).otherwise(20), i % 6, F.lit(0), i % 5 != 0, i % 4 != 0, i % 3 == 0, 20, 3)
-    return spark.range(2000).select(F.col("id").alias("i")).select("i", out.alias("outcome"))
+    """A cohort of each customer, its figures counted from the customer's orders."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    n = F.count("*")
+    cohorts = Tables(spark, sf_dir).read("orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.when(n % 11 == 0, 19).otherwise(20).alias("total"), (F.count_if(status == "F") % 6).alias("recovered"), (F.count_if(priority == "1-URGENT") % 4).alias("untestable"), (F.count_if(status == "P") % 2).alias("no_trace"),
+        F.when(n % 13 != 0, n % 5 != 0).alias("covered"), (F.count_if(priority == "5-LOW") % 4 != 0).alias("any_stratum"), (F.count_if(priority == "2-HIGH") % 3 == 0).alias("all_strata"))
+    return cohorts.select("k", N.verdict(*(F.col(c) for c in ("recovered", "total", "untestable", "no_trace", "covered", "any_stratum", "all_strata")), 20, 3).alias("outcome"))

@@ -256,10 +256,12 @@ def f10(spark, sf_dir):
     return R.reconcile(part.where("k % 3 = 0"), part.where("k % 5 = 0"), "k")
 
 
-@query("h01_cents", "SELECT i, CASE WHEN i % 7 = 0 THEN 0 ELSE CAST(round(CAST((CASE WHEN i % 2 = 0 THEN '' ELSE '-' END) || CAST(i // 100 AS VARCHAR) || '.' || lpad(CAST(i % 1000 AS VARCHAR), 3, '0') AS DECIMAL(38,6)) * 100) AS BIGINT) END AS cents FROM range(3000) r(i)")
+@query("h01_cents", """SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN CAST(l_quantity AS INT) % 7 = 0 THEN 0 ELSE CAST(round(CAST((CASE WHEN l_returnflag = 'R' THEN '-' ELSE '' END) || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || CAST(l_linenumber AS VARCHAR) AS DECIMAL(38,6)) * 100) AS BIGINT) END AS cents FROM lineitem""")
 def h01(spark, sf_dir):
-    text = F.expr("CASE WHEN id % 7 = 0 THEN 'n/a' ELSE concat(CASE WHEN id % 2 = 0 THEN '' ELSE '-' END, id div 100, '.', lpad(CAST(id % 1000 AS STRING), 3, '0')) END")
-    return spark.range(3000).select(F.col("id").alias("i"), text.alias("v")).select("i", S.to_cents(F.col("v")).alias("cents"))
+    """Prices as texts of three decimals, some negative, some unreadable, blank or absent."""
+    text = F.expr("CASE CAST(l_quantity AS INT) % 21 WHEN 0 THEN 'n/a' WHEN 7 THEN ' ' WHEN 14 THEN NULL ELSE concat(CASE WHEN l_returnflag = 'R' THEN '-' ELSE '' END, CAST(l_extendedprice AS DECIMAL(18,2)), l_linenumber) END")
+    rows = Tables(spark, sf_dir).read("lineitem").select("l_orderkey", "l_linenumber", text.alias("v"))
+    return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), S.to_cents(F.col("v")).alias("cents"))
 
 
 @query("h12_loose_name", "SELECT c_custkey AS k, trim(regexp_replace(regexp_replace(regexp_replace(upper(c_name || ' & co. ' || c_mktsegment || ' (UK) Limited'), '[^A-Z0-9]+', ' ', 'g'), '\\b(LIMITED|LTD|PLC|LLP|LP|INTERNATIONAL|UK|THE|AND|CO)\\b', ' ', 'g'), ' +', ' ', 'g')) AS loose FROM customer")

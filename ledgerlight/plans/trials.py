@@ -429,10 +429,38 @@ def n09(spark, sf_dir):
     return controls.ceiling(s, s.where("id % 10 > 0"))
 
 
-@query("n10_bound_gates", "SELECT 'f' || CAST(i AS VARCHAR) AS stratum, i < 8 AND i % 3 > 0 AND i % 2 = 1 AS passed FROM range(1, 10) r(i)")
+@query("n09_thresholds", "WITH t AS (SELECT DISTINCT count(*) AS total FROM supplier GROUP BY s_nationkey) SELECT total, recovered, round(100 * recovered / total, 1) AS pct, recovered / total >= 0.9 AS passes FROM (SELECT total, unnest(range(0, total + 1)) AS recovered FROM t)")
+def n09_thresholds(spark, sf_dir):
+    return controls.threshold_table(Tables(spark, sf_dir).read("supplier").groupBy("s_nationkey").agg(F.count("*").alias("total")))
+
+
+@query("n09_blocked", "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_suppkey + CASE WHEN l_partkey % 10 = 0 THEN 900000 ELSE 0 END AS VARCHAR) AS company_number, 'not in the bulk file' AS reason FROM lineitem WHERE l_partkey % 2 = 0 AND l_suppkey + CASE WHEN l_partkey % 10 = 0 THEN 900000 ELSE 0 END NOT IN (SELECT s_suppkey FROM supplier)")
+def n09_blocked(spark, sf_dir):
+    """Awards' stated numbers as controls against the companies there are."""
+    t = Tables(spark, sf_dir)
+    stated = t.read("lineitem").where("l_partkey % 2 = 0").selectExpr("l_orderkey * 10 + l_linenumber AS id", "CAST(l_suppkey + CASE WHEN l_partkey % 10 = 0 THEN 900000 ELSE 0 END AS STRING) AS company_number")
+    return controls.blocked_controls(stated, t.company)
+
+
+@query("n10_bound_gates", """WITH r AS (SELECT source_id, count(*) AS runs, count(*) FILTER (status = 'failed') AS failed FROM run GROUP BY 1), d AS (SELECT 'src' || CAST(i AS VARCHAR) AS stratum FROM range(25) t(i))
+SELECT stratum, coalesce(runs % 3 > 0 AND failed % 4 IN (0, 1, 2), false) AS passed, CASE WHEN runs IS NULL THEN 'missing' WHEN runs % 3 = 0 THEN 'stale binding' WHEN failed % 4 = 3 THEN 'failing' END AS reason FROM d LEFT JOIN r ON stratum = source_id""")
 def n10(spark, sf_dir):
-    report = spark.range(1, 8).selectExpr("concat('f', id) AS stratum", "CASE WHEN id % 2 = 1 THEN ' Yes' ELSE 'ok' END AS passed", "CASE WHEN id % 3 = 0 THEN 'old' ELSE 'c1' END AS code", "'g1' AS graph", "'m1' AS manifest")
-    return controls.bound_gates(report, [f"f{i}" for i in range(1, 10)], "c1", "g1", "m1").select("stratum", "passed")
+    """A gate of each source, what it says and is bound to counted from the source's runs; five sources have no report."""
+    passed = F.element_at(F.array(*map(F.lit, (" Yes", "TRUE", "1", "ok"))), (F.count_if(F.col("status") == "failed") % 4 + 1).cast("int"))
+    report = Tables(spark, sf_dir).run.groupBy(F.col("source_id").alias("stratum")).agg(passed.alias("passed"), F.when(F.count("*") % 3 == 0, "old").otherwise("c1").alias("code"), F.lit("g1").alias("graph"), F.lit("m1").alias("manifest"))
+    return controls.bound_gates(report, [f"src{i}" for i in range(25)], "c1", "g1", "m1")
+
+
+@query("q01_coverage_report", """WITH c AS (SELECT s_suppkey AS k FROM supplier), f AS (SELECT k, k % 3 = 0 AS cached, k % 2 = 0 AS attempted, k IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= DATE '1998-06-01') AS supplies FROM c),
+u AS (SELECT 'all' AS universe, * FROM f UNION ALL SELECT 'procurement_supplier', * FROM f WHERE supplies)
+SELECT universe, count(*) FILTER (cached) AS ingested, count(*) FILTER (NOT cached AND attempted) AS failed, count(*) FILTER (NOT cached AND NOT attempted) AS missing, count(*) AS total, count(*) FILTER (cached) / count(*) AS share FROM u GROUP BY 1""")
+def q01_coverage(spark, sf_dir):
+    """Officer coverage of both universes; suppliers are those with an award of the last months."""
+    t = Tables(spark, sf_dir)
+    numbers = t.read("supplier").selectExpr("s_suppkey", f"{SPARK_NUMBER} AS company_number")
+    suppliers = t.read("lineitem").where("l_shipdate >= DATE '1998-06-01'").selectExpr("l_suppkey AS s_suppkey").distinct().join(numbers, "s_suppkey")
+    report = lambda universe: read_api.coverage_report(universe, t.entity, suppliers, numbers.where("s_suppkey % 3 = 0"), numbers.where("s_suppkey % 2 = 0"))
+    return report("all").unionByName(report("procurement_supplier"))
 
 
 @query("n11_families", "SELECT 'f' || CAST(i AS VARCHAR) AS family, CASE WHEN i > (SELECT count(*) FROM supplier) THEN 'missing entry' WHEN i % 3 = 0 OR i % 4 = 0 THEN 'stale binding' WHEN i % 5 = 0 THEN 'no figures' END AS reason FROM (SELECT CASE WHEN i = 0 THEN 1000000000 ELSE i END AS i FROM range(0, 10) r(i))")
@@ -467,6 +495,29 @@ def p03(spark, sf_dir):
     return docs.select("doc_id", P.extraction_outcome(layer, F.lit(1), True, F.when(F.col("m") == 3, prose))["status"].alias("status"))
 
 
+#: Of every ten citations: blank, never fetched, gone, blocked, a challenge, an empty page, word for word (two), altered, of no one.
+CITED = """CASE {k} % 10 WHEN 0 THEN 'SKIPPED' WHEN 1 THEN 'UNFETCHABLE' WHEN 2 THEN 'UNFETCHABLE' WHEN 3 THEN 'UNFETCHABLE' WHEN 4 THEN 'UNFETCHABLE' WHEN 5 THEN 'EXTRACTION_UNRELIABLE' WHEN 6 THEN 'VERBATIM' WHEN 7 THEN 'VERBATIM' WHEN 8 THEN 'NEAR' ELSE CASE WHEN length(quote) < 200 THEN 'EXTRACTION_UNRELIABLE' ELSE 'ABSENT' END END"""
+
+
+@query("p05_citations", f"""WITH q AS (SELECT s_suppkey AS k, text AS quote FROM supplier JOIN benchmark ON item_id = s_suppkey % (SELECT count(*) FROM benchmark))
+SELECT CAST(k AS VARCHAR) AS citation, {CITED.format(k='k')} AS status, CASE k % 10 WHEN 1 THEN 'not_fetched' WHEN 2 THEN 'not_found' WHEN 3 THEN 'blocked_domain' WHEN 4 THEN 'challenge_page' WHEN 5 THEN 'low_text_to_markup_ratio' WHEN 9 THEN CASE WHEN length(quote) < 200 THEN 'extracted_text_implausibly_short' END END AS detail FROM q""")
+def p05_citations(spark, sf_dir):
+    """Each supplier cites an item from a page of its own: the whole chain from fetch to verdict. Altered quotes have every
+    seventh word left out; those of no one are cited from a page of digits."""
+    t = Tables(spark, sf_dir)
+    items = t.read("benchmark")
+    n = items.count()
+    cited = t.read("supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % n).alias("item_id")).join(items.select("item_id", "text"), "item_id")
+    kind = F.col("k") % 10
+    url = F.concat(F.when(kind == 3, "https://blocked.invalid/").otherwise("https://x.invalid/"), "k")
+    altered = F.array_join(F.filter(F.split("text", " "), lambda w, i: i % 7 != 6), " ")
+    digits = F.repeat(F.lit("0123456789 "), 1 + F.floor(F.char_length("text") / 11).cast("int"))
+    body = F.when(kind == 4, "<html>are you a robot</html>").when(kind == 5, F.concat(F.lit("<html><script>"), F.repeat(F.lit("x"), 5000), F.lit("</script></html>"))).when(kind == 7, F.concat(F.lit("<html><p>before</p> <p>"), "text", F.lit("</p></html>"))).when(kind == 9, F.substring(digits, 1, F.char_length("text"))).otherwise(F.concat_ws(" ", F.lit("before"), F.when(kind == 8, altered).otherwise(F.col("text")), F.lit("after")))
+    fetches = cited.where(kind != 1).select(url.alias("url"), F.when(kind == 2, 404).otherwise(200).alias("status_code"), F.lit("text/plain").alias("content_type"), F.encode(body, "UTF-8").alias("body"))
+    citations = cited.select(F.col("k").alias("citation"), url.alias("url"), F.when(kind == 0, " ").otherwise(F.col("text")).alias("quote"))
+    return P.citation_verdicts(citations, fetches, ["blocked.invalid"], ["are you a robot"]).select("citation", "status", "detail")
+
+
 @query("p08_citation_report", "SELECT CASE WHEN item_id % 4 = 0 THEN 'SKIPPED' WHEN item_id % 4 = 1 THEN 'VERBATIM' ELSE 'ABSENT' END AS status, count(*) AS n FROM benchmark GROUP BY 1")
 def p08(spark, sf_dir):
     rows = Tables(spark, sf_dir).read("benchmark").selectExpr("CASE WHEN item_id % 8 = 0 THEN ' ' ELSE 'https://x.invalid' END AS url", "CASE WHEN item_id % 8 = 4 THEN NULL ELSE text END AS quote", "text", "item_id")

@@ -1,7 +1,7 @@
 """Substring dedup over sliding sentence spans.
 
 Every run of `run` consecutive sentences is hashed (128 bits, white space folded) and joined globally. The first span of
-each hash, by (doc_id, text, place), stays; a sentence covered by any other is removed. A text of fewer sentences is one
+each hash, by (doc_id, the text's digest, place), stays; a sentence covered by any other is removed. A text of fewer sentences is one
 span. Spans without a word, and those of fewer than `min_words` words in all if that is asked for, are not hashed.
 
 Counting is an aggregation with map-side combination (a hot span is one row a task), and the join of spans with repeated

@@ -20,13 +20,33 @@ def adjacency(edge: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
+def hops_to_goal(edge: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """node, togo: the least cost from each node to a goal (goal), of those that need `most` or less. Grown from the goals over
+    nodes alone, a ring at a time: what it costs goes with the edges, not with the paths."""
+    near = adjacency(edge).select("node", "other", F.when(F.col("edge_type") == "same_as", 0).otherwise(1).alias("cost"))
+    known = settled(goals.select(F.col("goal").alias("node"), F.lit(0).alias("togo")).distinct())
+    fresh = known
+    while True:
+        reached = fresh.join(near, "node").select(F.col("other").alias("node"), (F.col("togo") + F.col("cost")).alias("togo")).where(F.col("togo") <= most)
+        better = reached.groupBy("node").agg(F.min("togo").alias("togo")).join(known.withColumnRenamed("togo", "old"), "node", "left").where("old IS NULL OR togo < old").select("node", "togo")
+        fresh = settled(better)
+        if not fresh.take(1):
+            return known
+        known = settled(known.unionByName(fresh).groupBy("node").agg(F.min("togo").alias("togo")))
+
+
 def bounded_paths(edge: DataFrame, starts: DataFrame, goals: DataFrame, max_hops: int = 2) -> DataFrame:
     """start, goal, edges (array of edge, edge_type, valid_from), nodes: all simple paths from starts (start) to goals (goal).
 
     An identity edge (same_as) costs nothing, any other one hop. Nothing is added to a path that has spent its hops, not
     even an identity. A path ends at the first goal it meets; parallel edges are different paths; a start is no goal of its own.
+
+    Beyond two hops the search goes from both ends: distances to the nearest goal are found first, and a path grows only to
+    nodes from which what it has left still reaches one. So the frontier holds beginnings of paths that may be found, and a
+    hub's neighbours are looked at only if they lie on the way to a goal. Distances of max_hops or more needn't be known.
     """
     near = adjacency(edge)
+    togo = hops_to_goal(edge, goals, max_hops - 1) if max_hops > 2 else None
     wanted = goals.select(F.col("goal").alias("at"), F.lit(True).alias("is_goal")).distinct()
     step = F.array(F.struct("edge", "edge_type", "valid_from"))
     front = starts.select(F.col("start").alias("start"), F.col("start").alias("at"), F.array("start").alias("nodes"), F.lit(0).alias("spent")).withColumn("edges", F.array().cast("array<struct<edge:bigint,edge_type:string,valid_from:date>>"))
@@ -36,6 +56,9 @@ def bounded_paths(edge: DataFrame, starts: DataFrame, goals: DataFrame, max_hops
             front.where(F.col("spent") < max_hops).join(near, F.col("at") == F.col("node")).where(~F.array_contains("nodes", F.col("other")))
             .select("start", F.col("other").alias("at"), F.concat("nodes", F.array("other")).alias("nodes"), (F.col("spent") + F.when(F.col("edge_type") == "same_as", 0).otherwise(1)).alias("spent"), F.concat("edges", step).alias("edges"))
         )
+        if togo is not None:
+            ahead = F.coalesce("togo", F.lit(max_hops))
+            grown = grown.join(togo.withColumnRenamed("node", "at"), "at", "left").where((ahead == 0) & F.col("togo").isNotNull() | (F.col("spent") + ahead <= max_hops)).drop("togo")
         reached = settled(grown.join(wanted, "at", "left"))
         found.append(reached.where("is_goal").select("start", F.col("at").alias("goal"), "edges", "nodes"))
         front = reached.where("is_goal IS NULL").drop("is_goal")

@@ -229,6 +229,17 @@ def g12(spark, sf_dir):
     return found.select(F.array_join(F.transform("edges", lambda e: e["edge"].cast("string")), ",").alias("path"), "dated")
 
 
+@query("g12_four_hops", """WITH RECURSIVE adj AS (SELECT source AS node, target AS other, id AS edge, edge_type, valid_from FROM edge UNION ALL SELECT target, source, id, edge_type, valid_from FROM edge WHERE source <> target),
+p(node, nodes, edges, undated, spent) AS (SELECT 1::BIGINT, [1::BIGINT], []::BIGINT[], 0, 0
+ UNION ALL SELECT a.other, list_append(p.nodes, a.other), list_append(p.edges, a.edge), p.undated + CASE WHEN a.edge_type <> 'same_as' AND a.valid_from IS NULL THEN 1 ELSE 0 END, p.spent + CASE WHEN a.edge_type = 'same_as' THEN 0 ELSE 1 END
+ FROM p JOIN adj a ON a.node = p.node WHERE p.spent < 4 AND NOT list_contains(p.nodes, a.other) AND p.node <> 2000000001)
+SELECT array_to_string(edges, ',') AS path, undated = 0 AS dated FROM p WHERE node = 2000000001""")
+def g12_four(spark, sf_dir):
+    """All paths of up to four hops between a company and a public body, other bodies and companies on the way."""
+    found = read_api.find_paths(Tables(spark, sf_dir).edge, 1, 2_000_000_001, 4)
+    return found.select(F.array_join(F.transform("edges", lambda e: e["edge"].cast("string")), ",").alias("path"), "dated")
+
+
 @query("i11_subject_tender", "SELECT award_id, t.tender_id, t.buyer_name FROM award a JOIN tender t USING (tender_id)")
 def i11(spark, sf_dir):
     t = Tables(spark, sf_dir)

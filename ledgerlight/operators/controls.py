@@ -33,6 +33,30 @@ def officer_controls(controls: DataFrame, entity: DataFrame, edge: DataFrame) ->
     return j.select("id", F.when(hit, "recovered").otherwise("not_found").alias("status"), reason.alias("reason"), F.when(~hit, "not_applicable").when(F.array_contains("dates", F.col("appointed_on")), "matched").otherwise("mismatch").alias("temporal"))
 
 
+def _banned(people: DataFrame, bans: DataFrame, on: Column) -> DataFrame:
+    """people with the companies of their first ban in force. A ban without both dates is not in force."""
+    current = bans.where(F.coalesce(on.between(F.col("since"), F.col("until")), F.lit(False))).groupBy("person").agg(F.min_by("companies", F.struct("since", "until")).alias("companies"))
+    return people.join(current, "person")
+
+
+def _namesakes(banned: DataFrame, appointments: DataFrame) -> DataFrame:
+    """Appointments of people with the birth year and month of a banned person and both names in the title. The surname is
+    looked up in titles by its rarest part, so that a month's births aren't compared with one another."""
+    born = ["year", "month"]
+    asked = banned.withColumn("pattern", F.upper("surname"))
+    titles = appointments.withColumn("text", F.upper("title"))
+    pairs = substring_pairs(asked.select(*born, "pattern"), titles.select(*born, "text"), born)
+    return asked.join(pairs, [*born, "pattern"]).join(titles, [*born, "text"]).where(F.contains("text", F.upper("forename")))
+
+
+def _live() -> Column:
+    return (F.col("status") == "active") & (F.coalesce("resigned", F.lit("")) == "")
+
+
+def _tied() -> Column:
+    return F.coalesce(F.arrays_overlap(F.transform("aliases", strict_name), F.transform("companies", strict_name)), F.lit(False))
+
+
 def disqualified(people: DataFrame, bans: DataFrame, appointments: DataFrame, on: Column) -> DataFrame:
     """person, company_number of appointments that the register itself ties to a ban in force.
 
@@ -40,12 +64,20 @@ def disqualified(people: DataFrame, bans: DataFrame, appointments: DataFrame, on
     company_number, status, resigned, aliases. Birth year and month must agree and both names stand in the title; the
     company is active, the appointment not resigned, and one of its names is among those of the person's first ban in force.
     A ban without both dates is not in force."""
-    current = bans.where(F.coalesce(on.between(F.col("since"), F.col("until")), F.lit(False))).groupBy("person").agg(F.min_by("companies", F.struct("since", "until")).alias("companies"))
-    j = people.join(current, "person").join(appointments, ["year", "month"])
-    named = F.contains(F.upper("title"), F.upper("surname")) & F.contains(F.upper("title"), F.upper("forename"))
-    tied = F.arrays_overlap(F.transform("aliases", strict_name), F.transform("companies", strict_name))
-    live = (F.col("status") == "active") & (F.coalesce("resigned", F.lit("")) == "")
-    return j.where(named & live & F.coalesce(tied, F.lit(False))).select("person", "company_number").distinct()
+    return _namesakes(_banned(people, bans, on), appointments).where(_live() & _tied()).select("person", "company_number").distinct()
+
+
+def disqualified_counts(people: DataFrame, bans: DataFrame, appointments: DataFrame, on: Column) -> DataFrame:
+    """One row that says where disqualified() loses people: people; unborn (no birth year or month, so never looked up); lapsed
+    (none of their bans is in force, or none has both dates); banned; namesakes (banned people with an appointment of their
+    birth and names), live (with one that is held still, of an active company), and tied (with one that a ban names)."""
+    known = people.withColumn("born", F.col("year").isNotNull() & F.col("month").isNotNull())
+    banned = _banned(people, bans, on)
+    in_force = banned.select("person").distinct().withColumn("banned", F.lit(True))
+    total = known.join(in_force, "person", "left").agg(F.count_distinct("person").alias("people"), F.count_distinct(F.when(~F.col("born"), F.col("person"))).alias("unborn"), F.count_distinct(F.when(F.col("banned").isNull(), F.col("person"))).alias("lapsed"), F.count_distinct(F.when(F.col("banned"), F.col("person"))).alias("banned"))
+    each = _namesakes(banned, appointments).groupBy("person").agg(F.bool_or(_live()).alias("live"), F.bool_or(_live() & _tied()).alias("tied"))
+    found = each.agg(F.count("*").alias("namesakes"), F.count_if("live").alias("live"), F.count_if("tied").alias("tied"))
+    return total.crossJoin(found)  # one row each
 
 
 def cohort_lookup(suppliers: DataFrame, company: DataFrame) -> DataFrame:

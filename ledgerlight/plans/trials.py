@@ -124,16 +124,25 @@ def h23(spark, sf_dir):
     return rows.select("k", F.explode(controls.named_companies(F.col("e"))).alias("c")).select("k", "c.name", "c.number")
 
 
-@query("l15_disqualified", f"SELECT c_custkey AS person, {NUMBER} AS company_number FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 3 > 0 AND c_custkey % 4 > 0 AND c_custkey % 5 > 0")
-def l15(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+def _bans(t: Tables):
+    """Customers as people, some banned now, some without a birth or an end; and appointments of theirs."""
     c = t.read("customer")
-    born = ["1900 + c_custkey % 90 AS year", "c_custkey % 12 AS month"]
+    born = ["CASE WHEN c_custkey % 11 > 0 THEN 1900 + c_custkey % 90 END AS year", "c_custkey % 12 AS month"]
     people = c.selectExpr("c_custkey AS person", "'Ivy' AS forename", "concat('Quill', c_custkey, 'x') AS surname", *born)
     bans = c.selectExpr("c_custkey AS person", "DATE '2019-01-01' AS since", "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE DATE '2022-01-01' END AS until", "array(concat('Firm ', c_custkey, ' Ltd.')) AS companies")
-    held = c.selectExpr("concat('Ms IVY QUILL', c_custkey, 'X') AS title", *born, "lpad(CAST(c_custkey AS STRING), 8, '0') AS company_number", "CASE WHEN c_custkey % 4 = 0 THEN 'dissolved' ELSE 'active' END AS status", "CASE WHEN c_custkey % 5 = 0 THEN '2020-01-01' END AS resigned", "array(concat('FIRM ', c_custkey, ' LTD')) AS aliases")
-    known = t.read("supplier").selectExpr(f"{SPARK_NUMBER} AS company_number")
-    return controls.disqualified(people, bans, held, F.lit("2020-06-01").cast("date")).join(known, "company_number", "left_semi").select("person", "company_number")
+    held = c.selectExpr("concat('Ms ', CASE WHEN c_custkey % 13 = 0 THEN 'EVE' ELSE 'IVY' END, ' QUILL', c_custkey, 'X') AS title", *born, "lpad(CAST(c_custkey AS STRING), 8, '0') AS company_number", "CASE WHEN c_custkey % 4 = 0 THEN 'dissolved' ELSE 'active' END AS status", "CASE WHEN c_custkey % 5 = 0 THEN '2020-01-01' END AS resigned", "array(concat('FIRM ', c_custkey + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END, ' LTD')) AS aliases")
+    return people, bans, held, F.lit("2020-06-01").cast("date")
+
+
+@query("l15_disqualified", "SELECT c_custkey AS person, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS company_number FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 4 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_custkey % 11 > 0 AND c_custkey % 13 > 0")
+def l15(spark, sf_dir):
+    return controls.disqualified(*_bans(Tables(spark, sf_dir)))
+
+
+@query("l15_counts", """WITH f AS (SELECT c_custkey % 11 = 0 AS unborn, c_custkey % 3 > 0 AS banned, c_custkey % 3 > 0 AND c_custkey % 11 > 0 AND c_custkey % 13 > 0 AS namesake, c_custkey % 4 > 0 AND c_custkey % 5 > 0 AS live, c_custkey % 7 > 0 AS tied FROM customer)
+SELECT count(*) AS people, count(*) FILTER (unborn) AS unborn, count(*) FILTER (NOT banned) AS lapsed, count(*) FILTER (banned) AS banned, count(*) FILTER (namesake) AS namesakes, count(*) FILTER (namesake AND live) AS live, count(*) FILTER (namesake AND live AND tied) AS tied FROM f""")
+def l15_counts(spark, sf_dir):
+    return controls.disqualified_counts(*_bans(Tables(spark, sf_dir)))
 
 
 @query("l02_alias_report", f"""WITH slots AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'OLD ' || CAST(s_suppkey % 40 AS VARCHAR) WHEN s_suppkey % 3 = 1 THEN upper(s_name) ELSE 'FORMER ' || CAST(s_suppkey AS VARCHAR) END AS former FROM supplier UNION ALL SELECT s_suppkey, 'EARLIER ' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 2 = 0),

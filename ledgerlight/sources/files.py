@@ -88,7 +88,7 @@ def _recognised(recogniser: Recogniser):
     return read
 
 
-def document_scan(spark: SparkSession, path: str, read_layer: Callable[[bytes], list[str]] | None = None, recogniser: Recogniser | None = None, named: DataFrame | None = None, files_per_batch: int = 16) -> DataFrame:
+def document_scan(spark: SparkSession, path: str, read_layer: Callable[[bytes], list[str]] | None = None, recogniser: Recogniser | None = None, named: DataFrame | None = None) -> DataFrame:
     """path, kind, status, text, pages, chars, method, error: a row for each file under `path`, at any depth.
 
     Files are told by their suffix; of other kinds they fail. The text of HTML is taken as it is. A PDF's is that of its
@@ -96,13 +96,10 @@ def document_scan(spark: SparkSession, path: str, read_layer: Callable[[bytes],
     passes. status: TEXT_LAYER, OCR, EXTRACTION_UNRELIABLE (neither passes), BACKEND_UNAVAILABLE (no reader, or no
     recogniser where one is needed), FAILED. Failures are rows with an error; none ends a task, and none looks like an
     empty text. Only files that need it reach the recogniser. Spark's scan passes over files without a byte: `named` (path, as
-    Spark writes it) says which files there should be, and those that aren't seen fail as missing or empty. Python gets `files_per_batch` files at a time, which is set for
-    the session if it is lower than what the session has.
+    Spark writes it) says which files there should be, and those that aren't seen fail as missing or empty. A task's files are
+    as many as spark.sql.files.maxPartitionBytes holds, so what Python gets at once is bounded by that and the largest file.
     """
     recogniser = recogniser or NoRecogniser()
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > files_per_batch:
-        spark.conf.set(key, files_per_batch)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", kinds[suffix].alias("kind"), "content")

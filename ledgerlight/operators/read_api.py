@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.operators.gates import pending_roster
@@ -84,3 +84,20 @@ def describe_pipeline() -> str:
     from ledgerlight.sources import connectors
 
     return f"{connectors.__doc__.strip()}\n\n{connectors.problems.__doc__.strip()}"
+
+
+def dossier(curated: DataFrame, tender: DataFrame) -> DataFrame:
+    """place, heading, tender, buyer, value, method, evidence: what a reviewer is shown of each curated flag, in the list's order.
+
+    curated: indicator, jurisdiction, subject, score, a list of bounded length; tender: tender_id, title, buyer_name,
+    value_cents, method, source_id. What isn't known is said to be so, never left blank; a value of nothing isn't one. The
+    subject is a tender's id, or begins with one before a colon; of other flags only what they say themselves is shown."""
+    known = tender.select(F.col("tender_id").alias("t"), "title", "buyer_name", "value_cents", "method", "source_id")
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "indicator", "subject")).cast("long")  # a list of bounded length
+    j = curated.withColumn("place", place).withColumn("t", F.substring_index("subject", ":", 1)).join(known, "t", "left")
+    said = lambda column, absent: F.coalesce(F.nullif(F.trim(column), F.lit("")), F.lit(absent))
+    value = F.when(F.col("value_cents") > 0, F.format_number(F.col("value_cents") / 100, 2)).otherwise("not available")
+    evidence = F.when(F.col("source_id").isNotNull(), F.concat_ws(" ", "source_id", "t")).otherwise("none on record")
+    return j.select(
+        "place", F.concat(F.lit("Flag "), "place", F.lit(": "), "indicator", F.lit(" in "), said("jurisdiction", "an unknown place")).alias("heading"), said("title", "(no title)").alias("tender"), said("buyer_name", "(unknown buyer)").alias("buyer"),
+        value.alias("value"), said("method", "not stated").alias("method"), evidence.alias("evidence"))

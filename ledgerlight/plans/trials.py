@@ -286,11 +286,12 @@ def c09_join(spark, sf_dir):
 
 @query("i14_dossier")
 def i14(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return QUERIES["f01_curated"](spark, sf_dir).join(t.tender.select(F.col("tender_id").alias("subject"), "title", "buyer_name"), "subject").select("indicator", "subject", "title", "buyer_name")
+    return read_api.dossier(QUERIES["f01_curated"](spark, sf_dir), Tables(spark, sf_dir).tender)
 
 
-ORACLE_SQL["i14_dossier"] = ORACLE_SQL["f01_curated"].replace("SELECT indicator, jurisdiction, subject, score FROM o WHERE", "SELECT indicator, subject, title, buyer_name FROM o JOIN tender ON tender_id = subject WHERE")
+ORACLE_SQL["i14_dossier"] = ORACLE_SQL["f01_curated"].replace("SELECT indicator, jurisdiction, subject, score FROM o WHERE pos IN (SELECT unnest(taken) FROM pick)", """SELECT place, 'Flag ' || CAST(place AS VARCHAR) || ': ' || indicator || ' in ' || jurisdiction AS heading, title AS tender, coalesce(buyer_name, '(unknown buyer)') AS buyer,
+ CASE WHEN value_cents > 0 THEN format('{:,.2f}', value_cents / 100) ELSE 'not available' END AS value, method, source_id || ' ' || tender_id AS evidence
+ FROM (SELECT * EXCLUDE (place), row_number() OVER (ORDER BY round(score, 6) DESC, indicator, subject) AS place FROM o WHERE pos IN (SELECT unnest(taken) FROM pick)) c JOIN tender ON tender_id = split_part(c.subject, ':', 1)""")
 
 
 @query("i15_cohort_flags", """SELECT award_id, coalesce(age BETWEEN 0 AND 89, false) AS i006, (lower(trim(coalesce(accounts_category, ''))) IN ('dormant', 'micro-entity') AND v > 1000000) OR (age BETWEEN 0 AND 539 AND v > 100000) AS i007, lower(trim(coalesce(accounts_category, ''))) = 'dormant' OR coalesce(late > 547.92, false) AS i008

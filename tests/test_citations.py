@@ -65,3 +65,11 @@ def test_thresholds_and_blocked_controls(spark):
     assert table[10, 9] == (90.0, True) and table[10, 8] == (80.0, False) and table[0, 0] == (None, False) and len(table) == 12
     blocked = controls.blocked_controls(spark.createDataFrame([(1, "7"), (2, "NF000001"), (3, None)], "id int, company_number string"), spark.createDataFrame([("00000007",)], "company_number string"))
     assert sorted(r.id for r in blocked.collect()) == [2, 3]
+
+
+def test_dossier(spark):
+    curated = spark.createDataFrame([("i006", "GB", "t1:a1", 9.0), ("i003", "UA", "Buyer→Firm", 9.5), ("i002", None, "t2", 1.0)], "indicator string, jurisdiction string, subject string, score double")
+    tender = spark.createDataFrame([("t1", "Bridge", "Council", 123456789, "open", "s"), ("t2", " ", None, 0, None, "s")], "tender_id string, title string, buyer_name string, value_cents long, method string, source_id string")
+    assert [tuple(r) for r in read_api.dossier(curated, tender).orderBy("place").collect()] == [
+        (1, "Flag 1: i003 in UA", "(no title)", "(unknown buyer)", "not available", "not stated", "none on record"), (2, "Flag 2: i006 in GB", "Bridge", "Council", "1,234,567.89", "open", "s t1"),
+        (3, "Flag 3: i002 in an unknown place", "(no title)", "(unknown buyer)", "not available", "not stated", "s t2")]

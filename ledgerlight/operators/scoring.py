@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,22 +97,37 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 
 def fisher(tables: DataFrame) -> DataFrame:
-    """tables (key, a, b, c, d) with p, Fisher's exact two-sided probability: all tables no likelier than the one observed,
-    in exact integers. One row per comparison, so rows are few."""
+    """tables (key, a, b, c, d) with p, Fisher's exact two-sided probability: all tables no likelier than the one observed, up
+    to a part in 10**9. Tables that are 1e-320 times as likely as the likeliest one, or less, add nothing to the sum, so those
+    are weighed that lie about the likeliest: as many as the square root of the counts asks for."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from math import comb
+        def away(start: int, end: int, ratio) -> np.ndarray:
+            """Logarithms of what lies from the likeliest table on, against it, until it is nothing."""
+            step, found = (1 if end >= start else -1), [np.zeros(0)]
+            at, last = start, 0.0
+            while at != end and last > -740.0:
+                k = np.arange(at, at + step * min(65_536, abs(end - at)), step, dtype=np.float64)
+                found.append(last + np.cumsum(np.log(ratio(k))))
+                at, last = at + step * len(k), float(found[-1][-1])
+            return np.concatenate(found)
 
         for batch in batches:
             out = []
             for a, b, c, d in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
                 n, row, col = a + b + c + d, a + b, a + c
-                if not (n and row and col):
+                low, high = max(0, row + col - n), min(row, col)
+                if low == high:
                     out.append(1.0)
                     continue
-                weigh = lambda k: comb(row, k) * comb(n - row, col - k) / comb(n, col)  # noqa: B023, E731
-                seen = weigh(a)
-                out.append(min(1.0, sum(p for k in range(max(0, row + col - n), min(row, col) + 1) if (p := weigh(k)) <= seen)))
+                top = min(high, max(low, (row + 1) * (col + 1) // (n + 2)))
+                up = away(top, high, lambda k: (row - k) / (k + 1) * ((col - k) / (n - row - col + k + 1)))  # noqa: B023
+                down = away(top, low, lambda k: k / (row - k + 1) * ((n - row - col + k) / (col - k + 1)))  # noqa: B023
+                weights = np.concatenate([down[::-1], [0.0], up])
+                at = a - (top - len(down))
+                seen = weights[at] if 0 <= at < len(weights) else -np.inf
+                likely = np.exp(weights)
+                out.append(min(1.0, float(likely[weights <= seen + 1e-9].sum() / likely.sum())))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(out, pa.float64())], ["key", "a", "b", "c", "d", "p"])
 
     return tables.select("key", "a", "b", "c", "d").mapInArrow(compute, "key string, a long, b long, c long, d long, p double")

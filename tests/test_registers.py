@@ -87,6 +87,24 @@ def test_fisher_and_curated(spark):
     assert len(top) <= 10 and len({(r["indicator"], r["jurisdiction"]) for r in top[:6]}) == 6
 
 
+def test_fisher_of_large_and_tied_tables(spark):
+    """Against exact integers; a table of millions takes as long as the square root of its counts asks for."""
+    import time
+    from math import comb
+
+    tables = [(3, 1, 1, 3), (0, 5, 5, 0), (40, 60, 25, 75), (0, 7, 3, 0), (300, 400, 500, 450), (7, 0, 0, 0), (900, 10, 12, 800)]
+    rows = spark.createDataFrame([(f"k{i}", *x) for i, x in enumerate(tables)], "key string, a long, b long, c long, d long")
+    got = {r.key: r.p for r in scoring.fisher(rows).collect()}
+    for i, (a, b, c, d) in enumerate(tables):
+        n, row, col = a + b + c + d, a + b, a + c
+        ways = {k: comb(row, k) * comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values())
+        assert abs(got[f"k{i}"] - want) <= 1e-9 * want
+    large = spark.createDataFrame([("k", 4_000_000, 6_000_000, 4_003_000, 5_997_000)], "key string, a long, b long, c long, d long")
+    start = time.time()
+    assert 0.15 < scoring.fisher(large).first().p < 0.2 and time.time() - start < 20
+
+
 def test_case_takes_its_best_status(spark):
     rows = spark.createDataFrame([("c", "not_recovered", "2020-01-02"), ("c", "recovered", "2020-01-01"), ("d", "untestable", None)], "case string, status string, award_date string")
     assert {r.case: (r.status, r.n_rows, r.n_awards) for r in scoring.case_status(rows, "case").collect()} == {"c": ("recovered", 2, 2), "d": ("untestable", 1, 0)}

@@ -179,4 +179,4 @@ def threshold_table(totals: DataFrame, needed: float = 0.9) -> DataFrame:
     """total, recovered, pct, passes: every score that is possible out of each total, and whether it reaches what is needed."""
     each = totals.select("total").distinct().select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total").cast("long"))).alias("recovered"))
     share = F.col("recovered") / F.nullif("total", F.lit(0))
-    return each.select("total", "recovered", F.round(100 * share, 1).alias("pct"), F.coalesce(share >= needed, F.lit(False)).alias("passes"))
+    return each.select("total", "recovered", F.round(100 * F.col("recovered") / F.nullif("total", F.lit(0)), 1).alias("pct"), F.coalesce(share >= needed, F.lit(False)).alias("passes"))

@@ -64,3 +64,9 @@ def test_lift_and_backfill(spark):
     current = spark.createDataFrame([("1", "old", "s"), ("2", None, "s")], "k string, a string, b string")
     bulk = spark.createDataFrame([("1", None), ("2", "new"), ("3", "x")], "k string, a string")
     assert sorted(map(tuple, controls.backfill(current, bulk, "k", ["a"]).collect())) == [("1", "old", "s"), ("2", "new", "s")]
+
+
+def test_scores_are_divided_once(spark):
+    """23 of 80 are 28.75 percent exactly, 28.749999999999996 if the share is multiplied."""
+    got = {r.recovered: r.pct for r in controls.threshold_table(spark.createDataFrame([(80,)], "total long")).collect()}
+    assert (got[23], got[41], got[80]) == (28.8, 51.3, 100.0)

@@ -204,3 +204,17 @@ def test_work_folder_without_a_configured_one(tmp_path):
 
     code = "from ledgerlight.session import session; from ledgerlight.sources.workdir import settled; s = session('local[1]', partitions=1, memory='1g'); assert settled(s.range(3)).count() == 3"
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, check=True, timeout=300)
+
+
+def test_company_numbers_of_long_keys(spark, tmp_path):
+    """h13 as its SQL has it for keys of seven and more digits."""
+    from ledgerlight.plans.registry import ORACLE_SQL, QUERIES
+    from parity import rows
+
+    spark.createDataFrame([(k,) for k in (4, 5, 6, 7, 1_000_000, 1_000_001, 1_199_997, 123_456_789, 1_234_567_888)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    df, rel = QUERIES["h13_company_number"](spark, str(tmp_path)), con.sql(ORACLE_SQL["h13_company_number"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(rel.columns, rel.fetchall())

@@ -73,3 +73,23 @@ def test_dossier(spark):
     assert [tuple(r) for r in read_api.dossier(curated, tender).orderBy("place").collect()] == [
         (1, "Flag 1: i003 in UA", "(no title)", "(unknown buyer)", "not available", "not stated", "none on record"), (2, "Flag 2: i006 in GB", "Bridge", "Council", "1,234,567.89", "open", "s t1"),
         (3, "Flag 3: i002 in an unknown place", "(no title)", "(unknown buyer)", "not available", "not stated", "s t2")]
+
+
+def test_letters_that_are_frequent_count(spark):
+    """Of a quote of 250 characters every seventh word is left out: it is near, though each letter is frequent."""
+    words = [w for k in range(9) for w in ("the", "river", f"ran{k}", "over", "the", "stones")]
+    quote, page = " ".join(words), "before " + " ".join(w for i, w in enumerate(words) if i % 7 != 6) + " after"
+    assert len(quote) > 200
+    got = verdicts(spark, [("1", "http://x/a", quote)], [("http://x/a", 200, "text/plain", page.encode())])
+    assert got["1"][:2] == ("NEAR", round(SequenceMatcher(None, quote, page, autojunk=False).ratio(), 6))
+
+
+def test_best_ratio(monkeypatch):
+    import random
+
+    r = random.Random(1)
+    monkeypatch.setattr(P, "STRETCH", 20)
+    for _ in range(300):
+        quote, text = ("".join(r.choice("abcABdß .") for _ in range(r.randint(1, 40))) for _ in range(2))
+        spans = [(i, j) for i in range(0, len(text), 3) for j in (i + 1, min(len(text), i + 9), len(text))]
+        assert P.best_ratio(quote, text, spans) == max(SequenceMatcher(None, quote.casefold(), text[i:j].casefold(), autojunk=False).ratio() for i, j in spans)

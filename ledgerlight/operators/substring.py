@@ -34,8 +34,8 @@ def substring_pairs(patterns: DataFrame, texts: DataFrame, group: list[str] | No
     often = held.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
     rarest = by_gram.join(often, [*keys, "gram"], "left").groupBy(*keys, "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
     chosen = rarest.where("least.n > 0").select(*keys, "pattern", F.col("least.gram").alias("gram"))
-    found = chosen.join(held, [*keys, "gram"]).where(F.contains("text", F.col("pattern"))).select(*keys, "pattern", "text")
-    if not keys:
-        have, asked = have.withColumn("_all", F.lit(0)), asked.withColumn("_all", F.lit(0))
-    whole = asked.where("pattern = ''").join(have, keys or ["_all"]).select(*keys, "pattern", "text")  # what is asked for
+    # texts are never sent to all tasks, however small their names are when compressed
+    found = held.hint("merge").join(chosen, [*keys, "gram"]).where(F.contains("text", F.col("pattern"))).select(*keys, "pattern", "text")
+    empty = asked.where("pattern = ''")  # one row a group: it is in all texts
+    whole = (have.hint("merge").join(empty, keys) if keys else have.crossJoin(F.broadcast(empty))).select(*keys, "pattern", "text")
     return found.unionByName(whole)

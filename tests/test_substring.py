@@ -24,3 +24,15 @@ def test_ways_to_a_tender(spark):
     asked = {"t4": ("t4", "id"), "sample borough→Firm": ("t1", "arrow"), "BOROUGH → Firm": ("t1", "arrow"), "borough OF sample": ("t2", "buyer"), "of samp": ("t2", "part"), "t3:a1": ("t3", "colon"), "t9:a1": (None, None), "nobody": (None, None), "t0": (None, None), "x" * 60: (None, None)}
     rows = tender_metadata(spark.createDataFrame([("s", k) for k in asked] + [("s", None)], "source_id string, subject string"), tender).collect()
     assert {r.subject: (r.tender_id, r.way) for r in rows if r.subject} == asked
+
+
+def test_texts_are_not_broadcast(spark):
+    """Names that compress well are many in memory: only patterns may be sent to all tasks."""
+    texts = spark.range(20_000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS text")
+    for patterns in (["00001"], ["00", ""]):
+        found = substring_pairs(spark.createDataFrame([(p,) for p in patterns], "pattern string"), texts)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        joins = [x for x in plan.splitlines() if "Join" in x and ("Contains(" in x or "NestedLoop" in x)]
+        assert joins and not [x for x in joins if "BroadcastHashJoin" in x]
+        assert all("BuildRight" in x for x in joins if "NestedLoop" in x)

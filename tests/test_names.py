@@ -66,3 +66,17 @@ def test_register_pages(spark):
       <div><a href="/member/13/y"><div class="primary-info">Lady Example</div></a><div class="card card-child"><div class="primary-info">Nil</div><p>No registrable interests</p></div></div>"""
     got = [(r.member_id, r.name, r.category, r.description) for r in registers.register_pages(spark.createDataFrame([("p", html), ("q", None)], "page string, html string")).orderBy("place").collect()]
     assert got == [("12", "Lord Sample", "Category 1: Directorships", "Director, Sample Ltd"), ("12", "Lord Sample", "Category 1: Directorships", "Chair,Otherplc"), ("12", "Lord Sample", "Category 2: Shares", "Sample Ltd")]
+
+
+def test_referrers_are_given_once(spark):
+    """Ids that are asserted decide; pairs under several surnames or ways come once, without a shuffle of pairs."""
+    from ledgerlight.operators import ladders
+
+    rows = [("a", "1", "rook"), ("b", None, "rook"), ("b", " ", "tarn"), ("c", "gone", "rook"), ("d", "2", "x"), ("d", None, "tarn"), ("e", None, ""), ("f", None, None), ("b", None, "rook"), (None, None, "rook")]
+    people = [(1, "1", "rook"), (2, "2", "tarn"), (3, "3", "rook"), (3, "3", "tarn"), (3, "3", "rook"), (4, None, ""), (None, "5", "tarn")]
+    found = ladders.resolve_referrers(spark.createDataFrame(rows, "key string, registry_id string, surname string"), spark.createDataFrame(people, "id long, registry_id string, surname string"))
+    got = [tuple(r) for r in found.collect()]
+    want = {(k, 1 if i == "1" else 2) for k, i, _ in rows if i in ("1", "2")} | {(k, p) for k, i, s in rows if not (i or "").strip() and s for p, _, t in people if t == s}
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "HashAggregate(keys=[key" not in plan.split("Union")[0]

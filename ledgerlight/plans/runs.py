@@ -147,7 +147,7 @@ def _streamed(spark, awards, keys: list[str], window: int):
     shuffled = F.date_diff(F.date_add("award_date", F.pmod(F.xxhash64("tender_id"), F.lit(6)).cast("int")), F.lit(first))
     slot = F.least(F.floor(shuffled * 8 / ((last - first).days + 6)), F.lit(7))
     for k in range(8):  # one after the other, as files are taken in the order of their times
-        awards.where(slot == k).coalesce(1).write.mode("append").parquet(path)
+        awards.where(slot == k).repartition(1).write.mode("append").parquet(path)
     end = awards.limit(1).select(*(F.lit(None).cast(awards.schema[c].dataType).alias(c) for c in keys), F.date_add(F.lit(last), window + 60).alias("award_date"), F.lit("end").alias("tender_id"), F.lit(0).cast("long").alias("value_cents"), F.lit(None).cast("double").alias("match_confidence"))
     end.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(awards.schema).option("maxFilesPerTrigger", 1).parquet(path)

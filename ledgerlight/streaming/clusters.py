@@ -44,37 +44,45 @@ class Open:
             yield anchor, max(d for d, _ in mine), len(cents), sum(n for n, *_ in mine.values()), sum(cents.values()), max(cents.values()), confidence
 
 
-def cluster_stream(awards: DataFrame, keys: list[str], window: int = 30, late: str = "10 days") -> DataFrame:
+def cluster_stream(awards: DataFrame, keys: list[str], window: int = 30, late: str = "10 days", buckets: int = 512) -> DataFrame:
     """keys and CLUSTER of a stream of awards (keys, award_date, tender_id, value_cents, match_confidence), appended when a
     cluster can no longer change.
 
     A cluster holds a key's awards from its first day, the anchor, to `window` days on; the first award beyond starts the
     next. Awards may come out of order by up to `late`; later ones are left out by the watermark. State of a key is what
     lies within the window and the lateness, so it doesn't grow with the stream; a timer ends it when nothing more comes.
+
+    Keys are dealt over `buckets` by hash, and a bucket's keys are stepped together: a batch calls Python once a bucket, not
+    once a key. A stream with many millions of open keys is given more buckets.
     """
     names = [f.split()[0] for f in CLUSTER.split(", ")]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mine = Open(state.get[0] if state.exists else None)
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: Open(text) for k, text in json.loads(state.get[0]).items()} if state.exists else {}
         for frame in frames:
-            for day, tender, cents, confidence in zip(frame["day"], frame["tender_id"], frame["value_cents"], frame["match_confidence"]):
-                mine.add(int(day), tender, int(cents), None if pd.isna(confidence) else float(confidence))
+            for key, day, tender, cents, confidence in zip(frame["key"], frame["day"].tolist(), frame["tender_id"], frame["value_cents"].tolist(), frame["match_confidence"].tolist()):
+                if key not in held:
+                    held[key] = Open()
+                held[key].add(day, tender, cents, None if pd.isna(confidence) else confidence)
         watermark = state.getCurrentWatermarkMs()
-        found = list(mine.finished(window, watermark))
-        if mine.held:
-            state.update((mine.text(),))
-            state.setTimeoutTimestamp(max((mine.first() + window) * DAY, watermark) + 1)
+        found = [(key, *row) for key, mine in held.items() for row in mine.finished(window, watermark)]
+        held = {key: mine for key, mine in held.items() if mine.held}
+        if held:
+            state.update((json.dumps({key: mine.text() for key, mine in held.items()}),))
+            state.setTimeoutTimestamp(max((min(mine.first() for mine in held.values()) + window) * DAY, watermark) + 1)
         elif state.exists:
             state.remove()
         if found:
-            out = pd.DataFrame([(*key, *row) for row in found], columns=[*keys, *names])
+            out = pd.DataFrame(found, columns=["key", *names])
             for column in ("anchor", "last"):
                 out[column] = pd.to_datetime(out[column], unit="D").dt.date
             yield out
 
-    rows = awards.where("award_date IS NOT NULL AND value_cents IS NOT NULL").select(*keys, "tender_id", "value_cents", F.col("match_confidence").cast("double").alias("match_confidence"), F.unix_date("award_date").alias("day"), F.col("award_date").cast("timestamp").alias("at"))
+    key, bucket = F.to_json(F.struct(*keys)).alias("key"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    rows = awards.where("award_date IS NOT NULL AND value_cents IS NOT NULL").select(key, bucket, "tender_id", "value_cents", F.col("match_confidence").cast("double").alias("match_confidence"), F.unix_date("award_date").alias("day"), F.col("award_date").cast("timestamp").alias("at"))
+    found = rows.withWatermark("at", late).groupBy("bucket").applyInPandasWithState(step, f"key string, {CLUSTER}", "held string", "append", GroupStateTimeout.EventTimeTimeout)
     kinds = ", ".join(f"`{k}` {awards.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.withWatermark("at", late).groupBy(*keys).applyInPandasWithState(step, f"{kinds}, {CLUSTER}", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("key", kinds).alias("k"), *names).select(*(F.col("k")[k].alias(k) for k in keys), *names)
 
 
 def splitting_flags(clusters: DataFrame, threshold: int, pieces: int = 3) -> DataFrame:

@@ -68,3 +68,17 @@ def test_flags(spark):
     rows = [(3, 40, 100), (2, 40, 100), (3, 120, 140), (3, 30, 90)]
     clusters = spark.createDataFrame(rows, "pieces long, largest long, total_cents long")
     assert [tuple(r) for r in splitting_flags(clusters, 99).collect()] == [(3, 40, 100)]
+
+
+def test_keys_are_stepped_together(spark, tmp_path):
+    """A batch calls Python once a bucket; keys with a null part, a quote and whole numbers come back as they were."""
+    from pyspark.sql import functions as F
+
+    keys = [(None, 'a "b"'), (1, "x"), (1, None), (2, "x")]
+    rows = [(*k, d, "t", 5, None) for k in keys for d in ("2020-01-01", "2020-01-20", "2020-03-01")] + [(9, "end", "2021-01-01", "t", 1, 0.5)]
+    batch = spark.createDataFrame(rows, "n long, s string, d string, tender_id string, value_cents long, match_confidence double").withColumn("award_date", F.to_date("d")).drop("d")
+    batch.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = cluster_stream(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in"), ["n", "s"], buckets=2)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.n, r.s, str(r.anchor), r.awards) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=repr) == sorted([(*k, a, n) for k in keys for a, n in (("2020-01-01", 2), ("2020-03-01", 1))], key=repr)

@@ -125,11 +125,12 @@ def a01(spark, sf_dir):
 
 @query("a01_connector_stream", FETCHED)
 def a01_stream(spark, sf_dir):
-    """The same pages as a stream whose offset is the cursor, seven pages a batch; stopped after one batch and restarted."""
+    """The same pages as a stream whose offset is the cursor, seven pages in the first batch and twice as many in each that
+    follows; stopped and restarted."""
     spark.dataSource.register(ConnectorSource)
     path, out = _pages(Tables(spark, sf_dir)), folder(spark, "artifacts")
     for once in (True, False):
-        stream = _connected(spark.readStream, path).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
+        stream = _connected(spark.readStream, path).option("catch_up", "2").load().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
         run = (stream.trigger(availableNow=True) if once else stream).start()
         try:
             run.awaitTermination() if once else run.processAllAvailable()

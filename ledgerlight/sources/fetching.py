@@ -78,18 +78,27 @@ class ConnectorReader(DataSourceReader):
         return outcomes(self.options, partition)
 
 
+#: Pages up to which the batches of a run that catches up grow.
+MOST_PAGES = 1024
+
+
 class ConnectorStream(DataSourceStreamReader):
-    """Offsets: {"cursor": of a page, "read": whether that page is behind}. An empty cursor is the first page."""
+    """Offsets: {"cursor": of a page, "read": whether that page is behind}. An empty cursor is the first page.
+
+    A batch has pages_per_batch pages. While a run catches up, each of its batches has `catch_up` times those of the one
+    before, up to MOST_PAGES: many pages then take few batches, and a new run begins small again."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
         self.at: dict[str, Any] | None = None
+        self.pages = int(options.get("pages_per_batch", 10))
 
     def initialOffset(self) -> dict:
         return {"cursor": "", "read": False}
 
     def latestOffset(self) -> dict:
-        self.at = self._walk(self.at or self.initialOffset(), int(self.options.get("pages_per_batch", 10)))[1]
+        self.at = self._walk(self.at or self.initialOffset(), self.pages)[1]
+        self.pages = max(self.pages, min(MOST_PAGES, self.pages * int(self.options.get("catch_up", 1))))
         return self.at
 
     def _walk(self, start: dict, most: int, end: dict | None = None) -> tuple[list[FetchTask], dict]:

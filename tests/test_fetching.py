@@ -137,3 +137,18 @@ def test_plugins_of_installed_packages(monkeypatch):
     monkeypatch.setattr(importlib.metadata, "entry_points", lambda group: [point(Other)])
     with pytest.raises(ValueError):
         connectors.load_plugins()
+
+
+def test_a_run_that_catches_up_takes_few_batches(tmp_path):
+    """Of 100 pages the first batches have 2, 4, 8 and more; none is left out, and a new run begins small."""
+    from ledgerlight.sources import fetching
+
+    for k in range(100):
+        page(tmp_path / "pages", f"c{k}" if k else "first", 1, f"c{k + 1}" if k < 99 else None)
+    walk = lambda more: fetching.ConnectorStream({k: str(v) for k, v in (options(tmp_path / "pages") | {"pages_per_batch": "2"} | more).items()})
+    stream, at, sizes = walk({"catch_up": "2"}), {"cursor": "", "read": False}, []
+    while (end := stream.latestOffset()) != at:
+        sizes.append(sum(len(p.tasks) for p in stream.partitions(at, end)))
+        at = end
+    assert sizes == [2, 4, 8, 16, 32, 38]
+    assert len(walk({}).partitions({"cursor": "", "read": False}, walk({}).latestOffset())[0].tasks) == 2

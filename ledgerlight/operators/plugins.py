@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.scalars import subject_tender
 from ledgerlight.operators import indicators as I
 from ledgerlight.sources.flags import FlagStore
-from ledgerlight.sources.workdir import settled
 
 VALIDATED, UNVALIDATED, REJECTED = "validated", "unvalidated", "rejected"
 
@@ -150,5 +149,5 @@ def run_indicators(tables: Mapping[str, DataFrame], source_id: str, locale: str,
         return report | {"per_indicator": {}}
     flags, counts = evaluated(Context(source_id, LOCALES[locale], of_source(tables, source_id), buyer), ran)
     units = {r["indicator_id"]: {"units": r["units"], "unscoreable": r["unscoreable"]} for r in counts.collect()}
-    stored = store.replace(settled(flags), source_id, report["ran"], dry_run)
+    stored = store.replace(flags, source_id, report["ran"], dry_run)
     return report | {"per_indicator": {i: n | units[i] for i, n in stored.items()}}

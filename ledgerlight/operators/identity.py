@@ -1,7 +1,8 @@
 """Identity across registers: which officer records are a member of parliament, and what that changes in the stored links.
 
 A member and an officer record can only be one person if surname and title agree: they share a bucket. What else is needed
-depends on the member. Every way is an equi-join, so a crowded bucket costs its rows and not their product:
+depends on the member. Every way is an equi-join, and who claims a record is counted before claims are made, so a crowded
+bucket costs its rows and not their product:
 
 * a member with a forename takes the records of that forename;
 * a member without one, alone in the bucket, takes all its records if they are of one forename (the register lists a person
@@ -14,10 +15,11 @@ A record that more than one member claims goes to none of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.names import common_title, member_name, officer_name, same_territory
+from ledgerlight.sources.workdir import settled
 
 BUCKET = ["surname", "rank"]
 # Ways of a match and their confidence.
@@ -43,48 +45,75 @@ def parsed_officers(officers: DataFrame) -> DataFrame:
     return _parsed(officers, "officer", officer_name(F.col("name"))).where("surname <> ''")
 
 
-def _with_forename(members: DataFrame, officers: DataFrame) -> DataFrame:
-    return members.where("forename IS NOT NULL").join(officers, [*BUCKET, "forename"]).select("member", "officer")
+#: What a member and a record must share for a claim: the tier it makes, and the bucket's forename or seat, if that tier needs one.
+KEY = ["tier", *BUCKET, "detail"]
 
 
-def _alone(members: DataFrame, officers: DataFrame) -> DataFrame:
-    alike = officers.groupBy(*BUCKET).agg(F.count_distinct("forename").alias("known"), F.max(F.col("forename").isNull()).alias("some_unknown"))
-    alike = alike.where(F.col("known") + F.col("some_unknown").cast("int") == 1).select(*BUCKET)
-    mine = members.where("forename IS NULL AND NOT contested").join(alike, BUCKET)
-    records = officers.select(*BUCKET, "officer", F.col("seat").alias("record_seat"))
-    return mine.join(records, BUCKET).where(same_territory(F.col("seat"), F.col("record_seat"))).select("member", "officer")
+def _keyed_members(members: DataFrame) -> DataFrame:
+    """The one key of each member that can have claims, with member and the seat that records must not contradict."""
+    tier = (
+        F.when(F.col("forename").isNotNull(), "surname_forename_title").when(~F.col("contested"), "surname_title_only")
+        .when(F.col("seat").isNotNull(), "surname_title_territorial")
+    )
+    detail = F.when(F.col("forename").isNotNull(), F.col("forename")).when(F.col("contested"), F.col("seat")).otherwise("")
+    return members.where("surname <> ''").select("member", tier.alias("tier"), *BUCKET, detail.alias("detail"), F.when(~F.col("contested"), F.col("seat")).alias("own_seat")).where("tier IS NOT NULL")
 
 
-def _by_seat(members: DataFrame, officers: DataFrame) -> DataFrame:
+def _keyed_officers(officers: DataFrame) -> DataFrame:
+    """Each record under every key it has: its forename, each beginning of its seat, and the bucket alone."""
     words = F.split("seat", " ")
     starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
-    records = officers.where("seat IS NOT NULL").select(*BUCKET, "officer", F.col("forename").alias("given"), F.explode(starts).alias("seat"))
-    found = members.where("forename IS NULL AND contested AND seat IS NOT NULL").join(records, [*BUCKET, "seat"])
-    groups = found.groupBy("member").agg(F.count_distinct("given").alias("known"), F.max(F.col("given").isNull()).alias("some_unknown"))
-    return found.join(groups.where(F.col("known") + F.col("some_unknown").cast("int") == 1), "member").select("member", "officer")
+    entry = lambda tier, detail: F.struct(F.lit(tier).alias("tier"), detail.alias("detail"))
+    with_forename, by_seat, alone = TIERS
+    none = F.array().cast("array<struct<tier:string,detail:string>>")
+    keys = F.concat(
+        F.when(F.col("forename").isNotNull(), F.array(entry(with_forename, F.col("forename")))).otherwise(none),
+        F.when(F.col("seat").isNotNull(), F.transform(starts, lambda s: entry(by_seat, s))).otherwise(none), F.array(entry(alone, F.lit(""))))
+    each = officers.select("officer", *BUCKET, "forename", "seat", F.explode(keys).alias("key"))
+    return each.select("officer", *BUCKET, F.col("forename").alias("given"), F.col("seat").alias("record_seat"), "key.*")
+
+
+def _claimed(members: DataFrame, officers: DataFrame) -> DataFrame:
+    """KEY, officer, dropped: the records that members of a key claim, and whether more than one member claims the record.
+
+    Members of a key claim the same records, so claims are told from the keys and numbers of their members: pairs of a crowded
+    key are not made. members, officers: parsed."""
+    with_forename, _, alone = TIERS
+    held = _keyed_members(members).groupBy(*KEY).agg(F.count("*").alias("members"), F.min("own_seat").alias("own_seat"))
+    records = _keyed_officers(officers)
+    known = F.count_distinct("given") + F.max(F.col("given").isNull()).cast("int")
+    one_forename = records.where(F.col("tier") != with_forename).groupBy(*KEY).agg(known.alias("known")).where("known = 1").drop("known")
+    able = held.where(F.col("tier") == with_forename).unionByName(held.join(one_forename, KEY, "left_semi"))
+    # there is one member to a key of the last tier, so own_seat is that member's
+    agrees = (F.col("tier") != alone) | same_territory(F.col("own_seat"), F.col("record_seat"))
+    found = records.select(*KEY, "officer", "record_seat").join(able, KEY).where(agrees)
+    return found.select(*KEY, "officer", (F.sum("members").over(Window.partitionBy("officer")) > 1).alias("dropped"))
 
 
 def identity_claims(members: DataFrame, officers: DataFrame) -> DataFrame:
     """member, officer, tier, confidence, dropped: every claim of a member on a record; dropped where another member has a
-    claim on it too. members: member, name; officers: officer, name. Ids are unique; of a repeated one the least name counts."""
-    m, o = parsed_members(members).where("surname <> ''"), parsed_officers(officers)
-    ways = zip(TIERS, (_with_forename(m, o), _by_seat(m, o), _alone(m, o)))
-    every = None
-    for tier, found in ways:
-        part = found.select("member", "officer", F.lit(tier).alias("tier"), F.lit(TIERS[tier]).alias("confidence"))
-        every = part if every is None else every.unionByName(part)
-    taken = every.groupBy("officer").agg((F.count_distinct("member") > 1).alias("dropped"))
-    return every.join(taken, "officer").select("member", "officer", "tier", "confidence", "dropped")
-
-
-def member_outcomes(members: DataFrame, officers: DataFrame, claims: DataFrame) -> DataFrame:
+    claim on it too. members: member, name; officers: officer, name. Ids are unique; of a repeated one the least name counts.
+
+    Claims are made last, and not moved then: with `NOT dropped` there are as many as records, whatever the crowd."""
+    m, o = settled(parsed_members(members)), settled(parsed_officers(officers))
+    confidence = F.create_map(*(F.lit(x) for pair in TIERS.items() for x in pair))[F.col("tier")]
+    pairs = _claimed(m, o).join(_keyed_members(m).select(*KEY, "member"), KEY)
+    return pairs.select("member", "officer", "tier", confidence.alias("confidence"), "dropped")
+
+
+def member_outcomes(members: DataFrame, officers: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """member, outcome, linked, dropped: for each member how it came out, its links and the claims it lost to a collision.
+    Without claims (identity_claims()) these are counted for each key, not made.
 
     outcome: a tier; officer_collision (all claims lost); ambiguous (records in the bucket, none of them certain);
     no_candidate (no record, or no surname); functional_title (named by a church or house office alone)."""
-    m = parsed_members(members)
-    there = parsed_officers(officers).select(*BUCKET).distinct().withColumn("there", F.lit(True))
-    sums = claims.groupBy("member").agg(F.min("tier").alias("tier"), F.count_if(~F.col("dropped")).alias("linked"), F.count_if("dropped").alias("dropped"))
+    m, o = settled(parsed_members(members)), settled(parsed_officers(officers))
+    there = o.select(*BUCKET).distinct().withColumn("there", F.lit(True))
+    counts = F.count_if(~F.col("dropped")).alias("linked"), F.count_if("dropped").alias("dropped")
+    if claims is None:
+        sums = _keyed_members(m).join(_claimed(m, o).groupBy(*KEY).agg(*counts), KEY).select("member", "tier", "linked", "dropped")
+    else:
+        sums = claims.groupBy("member").agg(F.min("tier").alias("tier"), *counts)
     j = m.join(there, BUCKET, "left").join(sums, "member", "left").fillna(0, ["linked", "dropped"])
     outcome = (
         F.when(F.col("office"), "functional_title").when((F.col("surname") == "") | F.col("there").isNull(), "no_candidate")

@@ -50,8 +50,7 @@ def l05(spark, sf_dir):
 SELECT c_custkey AS member, CASE WHEN c_custkey % 50 = 7 THEN 'functional_title' WHEN c_custkey NOT IN (SELECT member FROM j) THEN 'no_candidate' WHEN linked > 0 THEN tier WHEN dropped > 0 THEN 'officer_collision' ELSE 'ambiguous' END AS outcome,
  coalesce(linked, 0) AS linked, coalesce(dropped, 0) AS dropped FROM customer LEFT JOIN s ON member = c_custkey""")
 def l05_outcomes(spark, sf_dir):
-    members, officers = _named(spark, sf_dir)
-    return D.member_outcomes(members, officers, D.identity_claims(members, officers))
+    return D.member_outcomes(*_named(spark, sf_dir))
 
 
 #: Stored links: those claimed, without every seventh, with an old tier in every fifth, and some that nothing claims any more.

@@ -103,3 +103,25 @@ def test_a_record_of_two_members_is_never_stored(spark):
     claims = spark.createDataFrame([(1, 10, "surname_title_only", 0.6, False), (2, 10, "surname_title_only", 0.6, False)], f"{D.LINK}, dropped boolean")
     with pytest.raises(RuntimeError):
         D.reconciled(D.link_changes(stored, claims))
+
+
+def crowd(spark, n):
+    """n members and n records of one surname, title and forename, and as many of each who are alone."""
+    members = [(i, "Jane Sample") for i in range(n)] + [(n + i, f"Jane Other{chr(97 + i)}") for i in range(n)]
+    officers = [(i, "SAMPLE, Jane") for i in range(n)] + [(n + i, f"OTHER{chr(97 + i)}, Jane") for i in range(n)]
+    return spark.createDataFrame(members, "member long, name string"), spark.createDataFrame(officers, "officer long, name string")
+
+
+def test_claims_of_a_crowd_are_made_last(spark):
+    claims = D.identity_claims(*crowd(spark, 20))
+    assert claims.count() == 420 and claims.where("NOT dropped").count() == 20
+    # nothing is joined or grouped by record once claims are made, and those of no crowd are told before
+    plan = claims.where("NOT dropped")._jdf.queryExecution().optimizedPlan().toString().split("Join ")
+    assert "surname" in plan[1].split("\n")[0] and "Filter" not in plan[0] and "Aggregate" not in plan[0]
+
+
+def test_outcomes_without_making_claims(spark):
+    members, officers = crowd(spark, 20)
+    counted = D.member_outcomes(members, officers).collect()
+    assert sorted(counted) == sorted(D.member_outcomes(members, officers, D.identity_claims(members, officers)).collect())
+    assert {(r.outcome, r.linked, r.dropped) for r in counted} == {("officer_collision", 0, 20), ("surname_forename_title", 1, 0)}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.scalars import contains_any, floored_days, is_framework, is_placeholder, safe_int, severity_band
@@ -91,12 +91,17 @@ def repeat_winner_share(tender: DataFrame, award: DataFrame, buyer: str, least_a
     return flags.select("source_id", F.concat("buyer", F.lit("→"), "supplier_name").alias("subject"), "won", "total", "share", "value_cents"), units(pairs)
 
 
+def off_estimate(framework: Column, price: Column, estimate: Column, deviation: float = 0.25) -> Column:
+    """A price so much off the estimate, of no framework; both are above zero."""
+    return (price > 0) & (estimate > 0) & ~framework & (F.abs(price - estimate) / F.nullif(estimate, F.lit(0)) >= deviation)
+
+
 @counted
 def price_vs_estimate(tender: DataFrame, award: DataFrame, deviation: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Awards a quarter or more off the estimate, either way; those below are weak. Units include frameworks."""
     priced = framework(tender).select("tender_id", "framework", F.col("value_cents").alias("estimate")).join(award.select("tender_id", "award_id", F.col("value_cents").alias("price")), "tender_id")
     priced = priced.where("price > 0 AND estimate > 0").withColumn("deviation", F.abs(F.col("price") - F.col("estimate")) / F.col("estimate"))
-    flags = priced.where(~F.col("framework") & (F.col("deviation") >= deviation))
+    flags = priced.where(off_estimate(F.col("framework"), F.col("price"), F.col("estimate"), deviation))
     return flags.select(F.concat("tender_id", F.lit(":"), "award_id").alias("subject"), "deviation", (F.col("price") < F.col("estimate")).alias("weak")), units(priced)
 
 

@@ -8,6 +8,7 @@ from ledgerlight.operators import killtest as K
 from ledgerlight.plans.base import query
 from ledgerlight.plans.indicators import FRAMEWORK, PLACEHOLDER
 from ledgerlight.sources.views import Tables
+from ledgerlight.sources.workdir import laid_out
 
 EMERGENCY = ("1995-03-01", "1995-06-30")
 
@@ -31,11 +32,13 @@ scored AS (SELECT record, cohort, supplier, join_status, CASE WHEN join_status =
 
 def _scored(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    awards = t.award.groupBy("tender_id").agg(F.min("supplier_name").alias("least_name"), F.max("value_cents").alias("most"))
-    cohort = t.tender.select("tender_key", "tender_id").join(awards, "tender_id", "left").selectExpr(
+    tender = laid_out(t.tender.select("tender_key", "tender_id", "source_id", "buyer_year", "title", "method", "value_cents", "tender_start", "tender_end", "raw_json"), "tender_id")
+    award = laid_out(t.award.select("award_id", "tender_id", "supplier_name", "value_cents", "award_date"), "tender_id")
+    awards = award.groupBy("tender_id").agg(F.min("supplier_name").alias("least_name"), F.max("value_cents").alias("most"))
+    cohort = tender.select("tender_key", "tender_id").join(awards, "tender_id", "left").selectExpr(
         "tender_key AS record", "CASE WHEN tender_key % 5 = 0 THEN 'vip' ELSE 'control' END AS cohort", "CASE WHEN tender_key % 17 = 0 THEN 'no one' ELSE tender_id END AS ocid",
         "CASE WHEN tender_key % 3 = 0 THEN 'nobody' ELSE coalesce(least_name, 'nobody') END AS supplier", "CASE WHEN tender_key % 4 = 0 THEN 0 ELSE coalesce(most, 0) END / 100.0BD AS value")
-    return K.scored_records(cohort, t.tender.withColumn("ocid", F.col("tender_id")), t.award, "buyer_year", EMERGENCY)
+    return K.scored_records(cohort, tender.withColumn("ocid", F.col("tender_id")), award, "buyer_year", EMERGENCY)
 
 
 @query("i16_scored_records", f"WITH {SQL} SELECT * FROM scored")

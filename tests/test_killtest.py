@@ -45,3 +45,16 @@ def test_ties_leave_a_gap(spark):
     rows = [(s, "vip", "x", i, "flagged" if n > k else "not_flagged") for s, n in (("a", 2), ("b", 2), ("c", 1), ("d", 0)) for k, i in enumerate(K.INDICATORS)]
     ranked = K.ranking(spark.createDataFrame(rows, "supplier string, cohort string, stratum string, indicator string, status string"), "vip")
     assert {r.supplier: (r.rank, r.alone) for r in ranked.collect()} == {"a": (1, False), "b": (1, False), "c": (3, False), "d": (4, False)}
+
+
+def test_prices_are_judged_where_tenders_lie(spark):
+    """Awards are not moved again by their ids to learn their flags, and of two awards with one id the stronger flag's word counts."""
+    from ledgerlight.sources.workdir import laid_out
+
+    tender, award = tables(spark)
+    twice = award.unionByName(award.where("award_id = 'a6'").withColumn("value_cents", F.lit(10).cast("long")))
+    records = cohort(spark, (6, "vip", "o4", "Firm", 1.0))
+    scored = K.scored_records(records, laid_out(tender, "tender_id"), laid_out(twice, "tender_id"), "buyer", EMERGENCY)
+    assert {r.indicator: r.status for r in scored.collect()}["i004"] == "flagged_weak"
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "award_id" in x.split("hashpartitioning")[1]] and "s4" not in plan

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, small_batches, table, written
 from ledgerlight.llm.decontam import shingle_hashes
-from ledgerlight.llm.simhash import WORDS, folded_bits, hub_pairs, other_pairs, told_and_crowded
+from ledgerlight.llm.simhash import WORDS, folded_bits, hub_pairs, joined_by_runs, other_pairs, told_and_crowded
 
 #: Values of a sketch, and the probability with which one pair at the least similarity may have a smaller overlap.
 K, RISK = 64, 1e-15
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, k: int
     again = bool(made.groupBy("th", "doc_id").count().where("count > 1").take(1))
     told, crowded = told_and_crowded(keyed)
     links = linked(told.unionByName(hub_pairs(crowded)).distinct())
+    links = joined_by_runs(links, linked, keyed, crowded, own, percent / 100)
     more = written(other_pairs(crowded, own, components(links), percent / 100), "pairs")
     if more.take(1):
         links = links.unionByName(linked(more))

@@ -13,12 +13,12 @@ for components, linear, and has no large group. Components are then found by rou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import components, drop_written, free_shuffles, kept_by_worker, named, small_batches, table, written
@@ -157,6 +157,8 @@ TOLD = 3
 #: In larger keys members that are not linked yet are compared in blocks of BLOCK members against blocks; each carries
 #: about KNOWN of its keys, by which most pairs are not given again under further keys.
 BLOCK, KNOWN = 4096, 16
+#: Before that, texts meet one another by runs of so many consecutive keys, in so many rounds.
+RUNS, ROUNDS = (8, 3), 3
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -256,12 +258,30 @@ def sketched(sketches: DataFrame, name: str) -> DataFrame:
     return sketches.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
 
 
+def differing_bits() -> Column:
+    return reduce(lambda a, b: a + b, (F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)))
+
+
 def not_far(similarity: float) -> Column:
     """Of pairs with the columns of sketched() for u and v: whether their sets may be so similar. None that are is refused:
     similar sets are of similar size, and two sets differ in as many shingles as their bitmaps differ in bits, or more."""
     both = F.col("n_u") + F.col("n_v")
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)))
-    return (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6) & (differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6) & (differing_bits() <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def run_pairs(keyed: DataFrame, crowded: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """Distinct pairs (u, v), u < v, that are not far and not connected by roots (node, root): each text under a key of
+    `crowded` with the nearest of its neighbours in groups with the same run of so many keys (RUNS), in an order by `seed`.
+    keyed: id, keys. A text has two neighbours in a group, however large it is, so pairs grow as texts do."""
+    here = keyed.join(crowded.select("id").distinct(), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.size("keys") - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice("keys", i, n)))
+    every = F.concat(*(F.when(F.size("keys") >= n, cut(n)).otherwise(F.array().cast("array<bigint>")) for n in RUNS))
+    runs = here.select("id", F.coalesce("root", "id").alias("root"), F.explode(F.array_distinct(every)).alias("run"))
+    before = F.lag(F.struct("id", "root")).over(Window.partitionBy("run").orderBy(F.xxhash64("id", "run", F.lit(seed)), "id"))
+    met = runs.withColumn("by", before).where("root <> by.root").select(F.least("id", "by.id").alias("u"), F.greatest("id", "by.id").alias("v")).distinct()
+    near = met.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select(F.struct(differing_bits().alias("bits"), "u", "v").alias("pair"))
+    best = near.select("pair", F.explode(F.array("pair.u", "pair.v")).alias("id")).groupBy("id").agg(F.min("pair").alias("pair"))
+    return written(best.select("pair.u", "pair.v").distinct(), "pairs")
 
 
 def not_far_at_all(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -304,6 +324,18 @@ def other_pairs(crowded: DataFrame, sketches: DataFrame, roots: DataFrame, simil
     return left.join(right, ["key", "block"]).where(apart & not_far(similarity) & ~again).select("u", "v").distinct()
 
 
+def joined_by_runs(links: DataFrame, linked: Callable[[DataFrame], DataFrame], keyed: DataFrame, crowded: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """links and those that `linked` confirms of run_pairs(), round by round: of a large group of texts near one another, few
+    are left that other_pairs() has to compare with all."""
+    for i in range(ROUNDS):
+        near = run_pairs(keyed, crowded, sketches, components(links), similarity, i)
+        if not near.take(1):
+            break
+        links = links.unionByName(linked(near))
+        drop_written(near)
+    return links
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs whose texts have so much Jaccard similarity of their sets of word shingles (as 64-bit hashes)."""
 

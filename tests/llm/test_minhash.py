@@ -113,3 +113,20 @@ def test_frequent_values_are_listed_last(spark):
         left = set(sketch) - set(r["keys"])
         assert len(r["keys"]) == len(sketch) - min(27, -(-85 * n // 100)) + 1
         assert max(often[v] for v in r["keys"]) <= max(3, min((often[v] for v in left), default=10**9))
+
+
+def test_near_copies_without_a_centre_are_not_all_compared(spark, rows, monkeypatch):
+    """Of many texts that are near one another, few pairs are left for the complete comparison."""
+    from ledgerlight.llm import minhash
+
+    rng, left = random.Random(3), []
+    base = [f"b{i}" for i in range(200)]
+    docs = [(i, " ".join(edited(rng, base, rng.choice([1, 2, 3, 4])))) for i in range(700)]
+    complete = minhash.other_pairs
+    monkeypatch.setattr(minhash, "other_pairs", lambda *given: left.append(complete(*given)) or left[0])
+    monkeypatch.setattr(minhash, "free_shuffles", lambda spark: None)
+    counted = minhash.drop_written
+    monkeypatch.setattr(minhash, "drop_written", lambda *tables: left.append(tables[-1].count()) if len(tables) == 4 else counted(*tables))
+    found = rows(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert found == brute(docs)
+    assert left[-1] < len(docs)

@@ -36,3 +36,13 @@ def test_texts_are_not_broadcast(spark):
         joins = [x for x in plan.splitlines() if "Join" in x and ("Contains(" in x or "NestedLoop" in x)]
         assert joins and not [x for x in joins if "BroadcastHashJoin" in x]
         assert all("BuildRight" in x for x in joins if "NestedLoop" in x)
+
+
+def test_candidates_grow_as_names_do(spark):
+    """Numbers in names have all three-digit grams in common; longer patterns are looked up by longer ones."""
+    from ledgerlight.operators import substring
+
+    names = spark.range(20_000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS text")
+    patterns = names.selectExpr("substr(text, 12, 7) AS pattern")
+    chosen, held = substring.looked_up(patterns, names, [])
+    assert held.join(chosen, "gram").count() < 20 * 20_000

@@ -43,3 +43,14 @@ def test_roster_and_snapshot(spark):
     files = spark.createDataFrame([("a", b"1"), ("b", b"2")], "key string, content binary")
     manifest = spark.createDataFrame([("a", hashlib.sha256(b"1").hexdigest()), ("b", "0"), ("c", "0")], "key string, sha256 string")
     assert {r.key: r.reason for r in gates.snapshot_integrity(files, manifest).collect()} == {"a": None, "b": "changed", "c": "missing"}
+
+
+def test_next_pending_resolves_suppliers_once(spark, monkeypatch):
+    """Awards by the same supplier are resolved once, so what is sorted and joined does not grow with the awards."""
+    from ledgerlight.operators import resolve
+    from ledgerlight.plans.registry import QUERIES
+
+    sf, given, resolved = "/root/testdata/sf0.01", [], resolve.resolve_awards
+    monkeypatch.setattr(resolve, "resolve_awards", lambda award, company: given.append(award.count()) or resolved(award, company))
+    assert QUERIES["f04_next_pending"](spark, sf).columns == ["company_number"]
+    assert given[0] < spark.read.parquet(f"{sf}/lineitem.parquet").count() / 20

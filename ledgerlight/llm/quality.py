@@ -5,7 +5,9 @@ isolation forest is grown by random splits on these statistics of labelled rows
 that few splits set apart is an anomaly. The threshold is calibrated on the same rows' labels: it gives the greatest share
 of bad rows caught, less `cost` times the share of good rows lost.
 
-The forest is fitted on at most about `sample` labelled rows. Statistics and scores are a map over whole texts.
+The threshold comes from the scores of all labelled rows, counted in BINS. The forest's trees are grown, as the method has it,
+on subsamples of 256 rows, drawn from `sample` rows that are themselves drawn from all. Statistics and scores are a map over
+whole texts.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import row_and, small_batches, table, texts_of, with_row
+from ledgerlight.llm.common import drop_written, row_and, small_batches, table, texts_of, with_row, written
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
+#: Scores that share a bin are not told apart by the threshold: it is the greatest score of a bin.
+BINS = 1 << 17
 BLANK = b" \t\n\v\f\r"
 
 
@@ -135,32 +139,40 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(1.0, float(self.expected(self.size))))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 5000, cost: float = 10.0) -> tuple[Forest | None, float]:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 25_600, cost: float = 10.0) -> tuple[Forest | None, float]:
     """The forest and the greatest score of documents to keep. labels: doc_id, quality (1: good). Null ids, qualities and
     texts are not learned from. With fewer than two rows of either kind there is no forest, and the base rules alone decide."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna().join(chosen, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna().join(known, "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = statistics(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["quality", *COUNTS])
-
-    got = rows.select("quality", "text").mapInArrow(count, "quality int, " + ", ".join(f"{c} long" for c in COUNTS)).orderBy("quality", *COUNTS).collect()
-    data = np.array([tuple(r) for r in got], np.int64).reshape(-1, 1 + len(COUNTS))
-    counts = data[~base_failed(data[:, 1:])]
-    good = counts[:, 0] == 1
-    if min(good.sum(), (~good).sum()) < 2:
+            found = statistics(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["doc_id", "quality", *COUNTS])
+
+    small_batches(docs.sparkSession)
+    counted = rows.select("doc_id", "quality", "text").mapInArrow(count, "doc_id long, quality int, " + ", ".join(f"{c} long" for c in COUNTS))
+    fine = written(counted.where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words"), "labelled")
+    good, bad = (fine.where(f"{x} (quality = 1)").limit(2).count() for x in ("", "NOT"))
+    if min(good, bad) < 2:
+        drop_written(fine)
         return None, 1.0
-    x = features(counts[:, 1:])
-    forest = Forest(x)
-    scores = forest.score(x)
-    # a row is kept up to the threshold: each score is one, and none at all drops nothing
-    steps = np.unique(np.append(scores, 1.0))
-    above = lambda rows: 1 - np.searchsorted(np.sort(scores[rows]), steps, "right") / rows.sum()
-    return forest, float(steps[::-1][np.argmax((above(~good) - cost * above(good))[::-1])])
+    drawn = fine.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS).limit(sample).select("quality", *COUNTS).collect()
+    forest = Forest(features(np.array(sorted(map(tuple, drawn)), np.int64)[:, 1:]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.stack([batch.column(i).to_numpy() for i in range(1, 1 + len(COUNTS))], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(features(counts)))], ["quality", "score"])
+
+    scores = fine.select("quality", *COUNTS).mapInArrow(score, "quality int, score double")
+    kinds = [F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")]
+    found = scores.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.max("score").alias("step"), *kinds).collect()
+    drop_written(fine)
+    # a row is kept up to the threshold: each bin's greatest score is one, and none at all drops nothing
+    steps = np.array(sorted((r["step"], r["good"], r["bad"]) for r in found) + [(1.0, 0, 0)])
+    lost, caught = (1 - np.cumsum(steps[:, i]) / steps[:, i].sum() for i in (1, 2))
+    return forest, float(steps[::-1, 0][np.argmax((caught - cost * lost)[::-1])])
 
 
 def quality_rules(docs: DataFrame, forest: Forest | None, threshold: float, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:

@@ -90,3 +90,17 @@ def test_threshold_by_brute_force(spark):
         return sum(bad) / len(bad) - 10 * sum(lost) / len(lost)
 
     assert worth(limit) >= max(map(worth, scores)) - 1e-9
+
+
+def test_all_labelled_rows_set_the_threshold(spark):
+    """However few rows the forest is grown on, the threshold is the best one for all of them."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    forest, limit = quality.fit_quality(docs, labels, sample=40)
+    rows = docs.join(labels, "doc_id").select("quality", "text").dropna().collect()
+    counts = quality.statistics([r.text for r in rows])
+    fine = ~quality.base_failed(counts)
+    scores = forest.score(quality.features(counts))[fine]
+    good = [r.quality == 1 for r, f in zip(rows, fine) if f]
+    worth = lambda t: sum(s > t for s, g in zip(scores, good) if not g) / good.count(False) - 10 * sum(s > t for s, g in zip(scores, good) if g) / good.count(True)
+    assert worth(limit) >= max(map(worth, scores)) - 1e-9

@@ -143,16 +143,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 25_600, cost:
     """The forest and the greatest score of documents to keep. labels: doc_id, quality (1: good). Null ids, qualities and
     texts are not learned from. With fewer than two rows of either kind there is no forest, and the base rules alone decide."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna().join(known, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = statistics(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["doc_id", "quality", *COUNTS])
+            found = statistics(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
 
     small_batches(docs.sparkSession)
-    counted = rows.select("doc_id", "quality", "text").mapInArrow(count, "doc_id long, quality int, " + ", ".join(f"{c} long" for c in COUNTS))
-    fine = written(counted.where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words"), "labelled")
+    # counted before the join, so that no text is shuffled
+    counted = rows.mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    fine = written(counted.where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words").join(known, "doc_id"), "labelled")
     good, bad = (fine.where(f"{x} (quality = 1)").limit(2).count() for x in ("", "NOT"))
     if min(good, bad) < 2:
         drop_written(fine)

@@ -224,12 +224,17 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, lengths: list[int], cro
     length = max(lengths)
     # stored, so that the join is between two exchanges of its own and the rows of a common gram can be split
     counts = written(anchors.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1"), "counts")
+    free_shuffles(spark)
     alive = anchors.join(counts, "h").select("th", F.struct("pos", "h", (F.col("n") > crowd).alias("crowd")).alias("at"))
     alive = written(alive.groupBy("th").agg(F.collect_set("at").alias("at")), "anchors")
     drop_written(anchors, counts)
+    free_shuffles(spark)
     n, crowded = alive.agg(F.sum(F.size("at")), F.sum(F.size(F.filter("at", lambda x: x["crowd"])))).first()
     parts = max(1, -(-(n or 0) * 2 * length // MERGE))
-    there = texts.join(alive, "th")
+    # stored, so that texts are shuffled once, whether or not there are crowded grams, and not kept beside the runs below
+    there = written(texts.join(alive, "th"), "there")
+    drop_written(alive)
+    free_shuffles(spark)
     chosen = lambda wanted: F.filter("at", lambda x: x["crowd"] == wanted)
     listed = lambda of: ["th", "text", F.transform(of, lambda x: x["pos"]).alias("pos"), F.transform(of, lambda x: x["h"]).alias("h")]
 
@@ -350,7 +355,7 @@ def repeated_spans(texts: DataFrame, anchors: DataFrame, lengths: list[int], cro
         often = written(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "windows")
         spans = spans.unionByName(windows.join(often, "window").select("th", "of", "first", (F.col("first") + F.col("of")).alias("last")).distinct())
     spans = written(spans.groupBy("th").agg(F.collect_set(F.struct("of", "first", "last")).alias("spans")), "spans")
-    drop_written(alive, *((windows, often) if crowded else ()))
+    drop_written(there, *((windows, often) if crowded else ()))
     free_shuffles(spark)
     return spans
 

@@ -94,3 +94,18 @@ def test_query_tells_of_shorter_repeats(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     got = QUERIES["op4_suffix_dedup"](spark, sf).orderBy("doc_id").collect()
     assert [r.n_repeated_240 for r in got] == [w[1] for w in brute([(d.text or "").encode() for d in docs], 240)]
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """Texts with anchors are stored; neither runs nor the windows of crowded grams join them again."""
+    plans, write = [], suffix.written
+
+    def written(df, tag):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    monkeypatch.setattr(suffix, "written", written)
+    check(spark, material(80), 80, crowd=2)
+    first = dict(reversed(plans))
+    assert "Join" in first["there"]
+    assert "Exchange" not in first["windows"] and "Join" not in first["windows"]

@@ -258,29 +258,40 @@ def sketched(sketches: DataFrame, name: str) -> DataFrame:
     return sketches.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
 
 
-def differing_bits() -> Column:
-    return reduce(lambda a, b: a + b, (F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(WORDS)))
+def differing_bits(a: Column, b: Column) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(WORDS)))
 
 
-def not_far(similarity: float) -> Column:
-    """Of pairs with the columns of sketched() for u and v: whether their sets may be so similar. None that are is refused:
-    similar sets are of similar size, and two sets differ in as many shingles as their bitmaps differ in bits, or more."""
-    both = F.col("n_u") + F.col("n_v")
-    return (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6) & (differing_bits() <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
+def not_far(similarity: float, n: Column | None = None, m: Column | None = None, differ: Column | None = None) -> Column:
+    """Of pairs, by their sizes and differing bits (else by the columns of sketched() for u and v): whether their sets may be
+    so similar. None that are is refused: similar sets are of similar size, and two sets differ in as many shingles as their
+    bitmaps differ in bits, or more."""
+    if n is None:
+        n, m, differ = F.col("n_u"), F.col("n_v"), differing_bits(F.col("bits_u"), F.col("bits_v"))
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-6) & (differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
 
 def run_pairs(keyed: DataFrame, crowded: DataFrame, sketches: DataFrame, roots: DataFrame, similarity: float, seed: int) -> DataFrame:
     """Distinct pairs (u, v), u < v, that are not far and not connected by roots (node, root): each text under a key of
     `crowded` with the nearest of its neighbours in groups with the same run of so many keys (RUNS), in an order by `seed`.
     keyed: id, keys. A text has two neighbours in a group, however large it is, so pairs grow as texts do."""
-    here = keyed.join(crowded.select("id").distinct(), "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    own = sketches.select("id", "n", "bits")
+    here = keyed.join(crowded.select("id").distinct(), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").join(own, "id")
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.size("keys") - n + 1), lambda i: F.xxhash64(F.lit(n), F.slice("keys", i, n)))
     every = F.concat(*(F.when(F.size("keys") >= n, cut(n)).otherwise(F.array().cast("array<bigint>")) for n in RUNS))
-    runs = here.select("id", F.coalesce("root", "id").alias("root"), F.explode(F.array_distinct(every)).alias("run"))
-    before = F.lag(F.struct("id", "root")).over(Window.partitionBy("run").orderBy(F.xxhash64("id", "run", F.lit(seed)), "id"))
-    met = runs.withColumn("by", before).where("root <> by.root").select(F.least("id", "by.id").alias("u"), F.greatest("id", "by.id").alias("v")).distinct()
-    near = met.join(sketched(sketches, "u"), "u").join(sketched(sketches, "v"), "v").where(not_far(similarity)).select(F.struct(differing_bits().alias("bits"), "u", "v").alias("pair"))
-    best = near.select("pair", F.explode(F.array("pair.u", "pair.v")).alias("id")).groupBy("id").agg(F.min("pair").alias("pair"))
+    # size and bitmap go along with each text, so that neighbours are judged where they meet: no rows are made of them
+    runs = here.select(F.struct("id", F.coalesce("root", "id").alias("root"), "n", "bits").alias("me"), F.explode(F.array_distinct(every)).alias("run"))
+    order = Window.partitionBy("run").orderBy(F.xxhash64("me.id", "run", F.lit(seed)), "me.id")
+    beside = runs.select("me", F.lag("me").over(order).alias("before"), F.lead("me").over(order).alias("after"))
+
+    def judged(other: str) -> Column:
+        """The pair of `me` and a neighbour, or null if there is none, it is connected, or far."""
+        x, y = F.col("me"), F.col(other)
+        differ = differing_bits(x["bits"], y["bits"])
+        pair = F.struct(differ.alias("bits"), F.least(x["id"], y["id"]).alias("u"), F.greatest(x["id"], y["id"]).alias("v"))
+        return F.when((x["root"] != y["root"]) & not_far(similarity, x["n"], y["n"], differ), pair)
+
+    best = beside.groupBy("me.id").agg(F.min(F.least(judged("before"), judged("after"))).alias("pair")).where("pair IS NOT NULL")
     return written(best.select("pair.u", "pair.v").distinct(), "pairs")
 
 

@@ -152,3 +152,21 @@ def test_recall_of_edits(spark):
     texts = {i: " ".join(x) for i, x in enumerate(texts)}
     out = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert {x.doc_id for x in out.collect()} == stay_by_brute_force(texts)
+
+
+def crowd_of(spark, n):
+    """So many texts with the same 40 keys, as run_pairs() takes them: keyed, crowded, sketches, and no roots."""
+    ids = spark.range(n)
+    keyed = ids.withColumn("keys", F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long")))
+    sketches = ids.select("id", F.lit(100).cast("long").alias("n"), F.array(*[F.pmod(F.col("id"), F.lit(4)) if i == 0 else F.lit(0).cast("long") for i in range(simhash.WORDS)]).alias("bits"))
+    return keyed, ids, sketches, spark.createDataFrame([], "node long, root long")
+
+
+def test_rounds_make_no_rows_of_neighbours(spark, monkeypatch):
+    """Neighbours are judged where they meet: no join gives more rows than there are texts, and each text gets one pair at most."""
+    plans, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, tag: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, tag))
+    pairs = [tuple(r) for r in simhash.run_pairs(*crowd_of(spark, 300), 0.85, 0).collect()]
+    above = plans[0][: plans[0].index("Window")]
+    assert "Join" not in above and 100 < len(pairs) <= 300
+    assert all(u < v and bin(u % 4 ^ v % 4).count("1") == 0 for u, v in pairs)

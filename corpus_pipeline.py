@@ -39,7 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    """Keeps one document of each group linked by five-word shingles with a similarity of 0.8 or more: SimHash fingerprints of
+    the shingles give candidates, an exact filter on the shingles the links that are too wide for fingerprints."""
     return near_dedup(docs, 5, 0.8)
 
 

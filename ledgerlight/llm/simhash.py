@@ -194,8 +194,8 @@ def folded_bits(wide: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """texts: th, doc_id, text. Returns th, doc_id, n (distinct shingles), wide (a bitmap of two to four bits a shingle: each
-    is the parity of the shingles that fall on it), bits (the same folded to WORDS longs) and keys, the first
+    """texts: th, doc_id, text. Returns th, doc_id, n (distinct shingles), fp (their SimHash), wide (a bitmap of two to four bits
+    a shingle: each is the parity of the shingles that fall on it), bits (the same folded to WORDS longs) and keys, the first
     n - ceil(similarity * n) + 1 shingles in an order that is the same for all texts, the frequent ones last. Any two sets
     with that Jaccard similarity have one of these keys in common, whatever the order."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
@@ -204,10 +204,11 @@ def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common:
         rank = np.argsort(shared.value)
         known = shared.value[rank]
         for batch in batches:
-            sizes, bits, wide, keys, ends = [], np.zeros((batch.num_rows, WORDS), np.uint64), [], [np.zeros(0, np.uint64)], [0]
+            sizes, fps, bits, wide, keys, ends = [], np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, WORDS), np.uint64), [], [np.zeros(0, np.uint64)], [0]
             for row, text in enumerate(batch.column(2).to_pylist()):
                 h = shingle_set(text, shingle)
                 n = len(h)
+                fps[row] = majority_bits(h, np.zeros(1, np.int64))[0]
                 size = max(64 * WORDS, 1 << (2 * n - 1).bit_length())
                 odd = np.bincount(((h >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
                 wide.append(np.packbits(odd.astype(np.uint8), bitorder="little"))
@@ -219,12 +220,27 @@ def shingle_sketches(texts: DataFrame, shingle: int, similarity: float, common:
                 sizes.append(n), keys.append(h[:taken]), ends.append(ends[-1] + taken)
             lists = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in wide], pa.binary()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))],
-                ["th", "doc_id", "n", "wide", "bits", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), lists(np.arange(0, bits.size + 1, WORDS), bits.ravel()), lists(ends, np.concatenate(keys))],
+                ["th", "doc_id", "n", "fp", "wide", "bits", "keys"],
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("th", "doc_id", "text").mapInArrow(compute, f"th binary, doc_id {kind}, n long, wide binary, bits array<long>, keys array<long>")
+    return texts.select("th", "doc_id", "text").mapInArrow(compute, f"th binary, doc_id {kind}, n long, fp long, wide binary, bits array<long>, keys array<long>")
+
+
+def fingerprint_pairs(sketches: DataFrame) -> DataFrame:
+    """sketches: id, fp, stored. Pairs (u, v), u < v, of texts whose fingerprints are within two bits, stored: enough of them
+    to connect all such texts. Texts of one fingerprint meet the least of them only."""
+    distinct = written(sketches.groupBy("fp").agg(F.min("id").alias("one")), "fps")
+    same = sketches.select("id", "fp").join(distinct, "fp").where("id <> one").select(F.col("one").alias("u"), F.col("id").alias("v"))
+    pairs, crowd = near_pairs(distinct.select("fp"))
+    edges = pairs.unionByName(ball_links(crowd)).distinct()
+    of = lambda x: distinct.select(F.col("fp").alias(x), F.col("one").alias(f"one_{x}"))
+    near = edges.join(of("u"), "u").join(of("v"), "v").select(F.least("one_u", "one_v").alias("u"), F.greatest("one_u", "one_v").alias("v"))
+    found = written(same.unionByName(near), "pairs")
+    drop_written(distinct)
+    free_shuffles(sketches.sparkSession)
+    return found
 
 
 def told_and_crowded(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -372,8 +388,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     """The rows of docs that stay: of each group of near-duplicates the one with the least (doc_id, text's digest).
 
     Texts are linked if the Jaccard similarity of their sets of `shingle`-word shingles (lower-cased, split at white
-    space) is `similarity` or more; groups are what links connect. Candidates come from an exact prefix filter on the
-    shingles, so no link is missed (but for collisions of their 64-bit hashes). Copies, told by 128-bit digests, count as
+    space) is `similarity` or more; groups are what links connect. Candidates are texts whose SimHash fingerprints are within
+    two bits; an exact prefix filter on the shingles follows, so no link is missed that is too wide for fingerprints (but for
+    collisions of 64-bit hashes). All are verified on the sets. Copies, told by 128-bit digests, count as
     one text, so their number does not matter. Null and empty texts are alike, and one row of them stays; a null doc_id is
     the least; of rows repeated in doc_id and text one stays. All columns are returned as they are, whatever their names; an
     empty table gives no rows.
@@ -391,7 +408,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
     again = bool(rows.groupBy("th", "doc_id").count().where("count > 1").take(1))
     common = common_shingles(rows, shingle, max(1, copies.count() // SAMPLED))
     made = written(shingle_sketches(rows, shingle, similarity, common), "sketches")
-    sketches = made.join(one, same(made)).select("id", F.col("n"), "wide", "bits", "keys")
+    sketches = made.join(one, same(made)).select("id", F.col("n"), "fp", "wide", "bits", "keys")
     sketches = written(sketches.dropDuplicates(["id"]) if again else sketches, "sketches")
     drop_written(made)
     free_shuffles(spark)
@@ -409,12 +426,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text:
         free_shuffles(spark)
         return links
 
+    close = fingerprint_pairs(sketches)
     told, crowded = told_and_crowded(sketches)
-    links = linked(told.unionByName(hub_pairs(crowded)).distinct())
+    links = linked(close.unionByName(told).unionByName(hub_pairs(crowded)).distinct())
     more = written(other_pairs(crowded, sketches, components(links), similarity), "pairs")
     if more.take(1):
         links = links.unionByName(linked(more))
-    drop_written(told, crowded, sketches, more)
+    drop_written(close, told, crowded, sketches, more)
     roots = components(links).withColumnRenamed("node", "id")
     grouped = copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = grouped.groupBy("root").agg(F.min(F.struct("least", "th")).alias("best")).select(F.col("best.th").alias("t"), F.col("best.least.doc_id").alias("d"))

@@ -170,3 +170,16 @@ def test_rounds_make_no_rows_of_neighbours(spark, monkeypatch):
     above = plans[0][: plans[0].index("Window")]
     assert "Join" not in above and 100 < len(pairs) <= 300
     assert all(u < v and bin(u % 4 ^ v % 4).count("1") == 0 for u, v in pairs)
+
+
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """Without the exact prefix filter, texts of one fingerprint or of near ones are still linked, and verified."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(9999)}" for _ in range(3000)]
+    other = [f"x{r.randrange(9999)}" for _ in range(3000)]
+    texts = {0: " ".join(words), 1: "  ".join(words), 2: " ".join(words + ["end"]), 3: " ".join(other), 4: " ".join(other).upper()}
+    none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "key long, id long, n long")
+    monkeypatch.setattr(simhash, "told_and_crowded", lambda sketches: none)
+    monkeypatch.setattr(simhash, "drop_written", lambda *tables: None)
+    out = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {x.doc_id for x in out.collect()} == {0, 3}

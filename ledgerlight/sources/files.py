@@ -41,6 +41,8 @@ class NoRecogniser:
         raise RuntimeError(self.unavailable_reason())
 
 
+#: Partitions of Spark's file scan that one task reads, one after the other.
+TOGETHER = 32
 KINDS = {".pdf": "pdf", ".html": "html", ".htm": "html"}
 
 
@@ -96,13 +98,18 @@ def document_scan(spark: SparkSession, path: str, read_layer: Callable[[bytes],
     passes. status: TEXT_LAYER, OCR, EXTRACTION_UNRELIABLE (neither passes), BACKEND_UNAVAILABLE (no reader, or no
     recogniser where one is needed), FAILED. Failures are rows with an error; none ends a task, and none looks like an
     empty text. Only files that need it reach the recogniser. Spark's scan passes over files without a byte: `named` (path, as
-    Spark writes it) says which files there should be, and those that aren't seen fail as missing or empty. A task's files are
-    as many as spark.sql.files.maxPartitionBytes holds, so what Python gets at once is bounded by that and the largest file.
+    Spark writes it) says which files there should be, and those that aren't seen fail as missing or empty. A task reads up
+    to TOGETHER partitions of spark.sql.files.maxPartitionBytes, one after the other; what Python gets at once is bounded by
+    spark.sql.execution.arrow.maxBytesPerBatch and the largest file.
     """
     recogniser = recogniser or NoRecogniser()
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", kinds[suffix].alias("kind"), "content")
+    # small files are few to a partition, as each counts as openCostInBytes; a task takes several, so that starting tasks and
+    # their Python workers, twice each, does not cost more than the files do
+    parts = files.select("path").rdd.getNumPartitions()
+    files = files.coalesce(min(max(parts, 1), max(8 * spark.sparkContext.defaultParallelism, -(-parts // TOGETHER))))
     first = files.mapInArrow(_first(read_layer), "path string, kind string, content binary, text string, pages int, status string, error string")
     good = lambda text, pages: F.coalesce(text_quality(F.coalesce(F.col(text), F.lit("")), F.col(pages))[3], F.lit(False))
     status = F.coalesce("status", F.when(good("text", "pages"), "TEXT_LAYER"), F.when(F.lit(not recogniser.is_available()), "BACKEND_UNAVAILABLE"))

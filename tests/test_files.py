@@ -56,3 +56,17 @@ def test_outcomes(spark, tmp_path):
     every = outcomes(spark, tmp_path, layer, None, named)
     assert set(every) == {name.rsplit("/", 1)[-1] for name in files} | {"gone.pdf"}
     assert every["g.pdf"] == every["gone.pdf"] == ("pdf", "FAILED", 0, None, None, "missing or empty")
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.html").write_text(f"<p>{i}</p>")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")  # less than what a file counts as at least: each is a partition of the scan
+    try:
+        found = document_scan(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism < 60
+        assert sorted(int(r.text) for r in found.collect()) == list(range(60))
+    finally:
+        spark.conf.set(key, before)

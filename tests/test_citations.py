@@ -93,3 +93,40 @@ def test_best_ratio(monkeypatch):
         quote, text = ("".join(r.choice("abcABdß .") for _ in range(r.randint(1, 40))) for _ in range(2))
         spans = [(i, j) for i in range(0, len(text), 3) for j in (i + 1, min(len(text), i + 9), len(text))]
         assert P.best_ratio(quote, text, spans) == max(SequenceMatcher(None, quote.casefold(), text[i:j].casefold(), autojunk=False).ratio() for i, j in spans)
+
+
+def test_many_passages_at_once(monkeypatch):
+    """Ratios are difflib's, in whatever parts passages are looked at, and few passages are matched to the end."""
+    import random
+
+    import numpy as np
+
+    from ledgerlight.operators import ratios
+
+    r = random.Random(2)
+    words = ["".join(r.choice("eeetaoinshrdlucmfwyp") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    quotes = [" ".join(r.choices(words, k=k)) for k in (1, 30, 40)] + ["aaaa aaaa", "xyz"]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(2)] + [" ".join(r.choices(words, k=60)) + quotes[2] + "z", "aaaaaaaaaaab" * 20, ""]
+    spans = [np.array([(i, min(i + w, len(t))) for w in (5, 90, 200) for i in range(0, len(t), 30)], np.int64).reshape(-1, 2) for t in texts]
+    exact = [max([SequenceMatcher(None, q, t[a:b], autojunk=False).ratio() for a, b in s], default=0.0) for q, t, s in zip(quotes, texts, spans)]
+    seen = []
+    rest = ratios._Passages.rest
+    monkeypatch.setattr(ratios._Passages, "rest", lambda self, areas: (seen.extend(np.unique(areas[0])), rest(self, areas))[1])
+    assert ratios.best_ratios(quotes, texts, spans, [0.0] * 5, 8192) == exact
+    assert len(seen) < sum(map(len, spans)) / 4
+    assert ratios.best_ratios(quotes, texts, spans, [0.5] * 5, 8192) == [max(0.5, x) for x in exact]
+    for held, together, stretch in ((40, 1 << 16, 8192), (1 << 19, 500, 300)):
+        monkeypatch.setattr(ratios, "HELD", held)
+        monkeypatch.setattr(ratios, "TOGETHER", together)
+        assert ratios.best_ratios(quotes, texts, spans, [0.0] * 5, stretch) == exact
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, PAGE), (2, PAGE), (3, "A text of its own, with nothing to be found."), (4, None), (5, PAGE.upper())], "doc_id long, text string")
+    quotes = spark.createDataFrame([(7, "it found that the sample bridge was shut"), (8, "no such thing here")], "item_id long, quote string")
+    fuzzy, compared = P.fuzzy, []
+    monkeypatch.setattr(P, "fuzzy", lambda pairs, threshold: (compared.extend(r.pair for r in pairs.collect()), fuzzy(pairs, threshold))[1])
+    got = {r.pair: (r.similarity, r.status) for r in P.near_citations(docs, quotes).collect()}
+    assert sorted(compared) == ["1/7", "5/7"] and sorted(got) == ["1/7", "2/7", "5/7"] and got["1/7"] == got["2/7"] == got["5/7"]
+    pairs = P.citation_pairs(docs.select("doc_id", P.plain_quotes("text").alias("text")), quotes)
+    assert {r.pair: (r.similarity, r.status) for r in fuzzy(pairs.select(P.F.concat_ws("/", "doc_id", "item_id").alias("pair"), "quote", "text")).collect()} == got

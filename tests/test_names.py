@@ -80,3 +80,16 @@ def test_referrers_are_given_once(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "HashAggregate(keys=[key" not in plan.split("Union")[0]
+
+
+def test_no_table_of_referrers_is_sent_to_all(spark):
+    """However small tables are thought to be: none is broadcast, and people of a surname meet those who ask for it as lists."""
+    from ledgerlight.operators import ladders
+
+    people = spark.range(40).selectExpr("id", "CAST(id AS STRING) AS registry_id", "concat('quill', id % 2) AS surname")
+    rows = spark.range(60).selectExpr("id AS key", "CASE WHEN id % 3 = 0 THEN CAST(id AS STRING) END AS registry_id", "concat('quill', id % 2) AS surname")
+    found = ladders.resolve_referrers(rows, people)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(got) == sorted([(k, k) for k in range(0, 40, 3)] + [(k, p) for k in range(60) if k % 3 for p in range(k % 2, 40, 2)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "explode(people" in plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -42,12 +43,14 @@ class Context:
 @dataclass(frozen=True)
 class Indicator:
     """evaluate gives flags (with `subject`) and one row of counts (`units`, perhaps `unscoreable`). It may run only where its
-    validation says so: without an entry it is unvalidated."""
+    validation says so: without an entry it is unvalidated. Subjects of one that flags tenders are ids of tenders of its source,
+    or begin with one and a colon."""
 
     indicator_id: str
     needs: tuple[str, ...]
     evaluate: Callable[[Context], tuple[DataFrame, DataFrame]]
     validation: Mapping[str, str] = field(default_factory=dict)
+    flags_tenders: bool = False
 
     def runs_in(self, locale: str) -> bool:
         return self.validation.get(locale) == VALIDATED
@@ -56,13 +59,13 @@ class Indicator:
 INDICATORS: dict[str, Indicator] = {}
 
 
-def register(indicator_id: str, needs: tuple[str, ...], evaluate: Callable, validation: Mapping[str, str]) -> Indicator:
+def register(indicator_id: str, needs: tuple[str, ...], evaluate: Callable, validation: Mapping[str, str], flags_tenders: bool = False) -> Indicator:
     """Add an indicator; an id is given once."""
     if indicator_id in INDICATORS:
         raise ValueError(f"{indicator_id} is registered already")
     if odd := set(validation.values()) - {VALIDATED, UNVALIDATED, REJECTED}:
         raise ValueError(f"{indicator_id}: no states of validation: {sorted(odd)}")
-    INDICATORS[indicator_id] = Indicator(indicator_id, needs, evaluate, dict(validation))
+    INDICATORS[indicator_id] = Indicator(indicator_id, needs, evaluate, dict(validation), flags_tenders)
     return INDICATORS[indicator_id]
 
 
@@ -92,14 +95,14 @@ EVERYWHERE = dict.fromkeys(("ua", "co", "gb"), VALIDATED)
 REGISTER_ONLY = {"gb": VALIDATED, "ua": UNVALIDATED, "co": UNVALIDATED}
 RESOLVED = ("award", "resolution", "company")
 
-register("i001", ("tender", "award"), _single_bidder, EVERYWHERE)
-register("i002", ("tender",), _short_window, EVERYWHERE)
+register("i001", ("tender", "award"), _single_bidder, EVERYWHERE, flags_tenders=True)
+register("i002", ("tender",), _short_window, EVERYWHERE, flags_tenders=True)
 register("i003", ("tender", "award"), lambda c: I.repeat_winner_share.parts(c.tables["tender"], c.tables["award"], c.buyer), EVERYWHERE)
-register("i004", ("tender", "award"), lambda c: I.price_vs_estimate.parts(c.tables["tender"], c.tables["award"]), EVERYWHERE)
+register("i004", ("tender", "award"), lambda c: I.price_vs_estimate.parts(c.tables["tender"], c.tables["award"]), EVERYWHERE, flags_tenders=True)
 register("i005", ("tender",), lambda c: I.direct_award_share.parts(c.tables["tender"], c.source_id), EVERYWHERE)
-register("i006", RESOLVED, lambda c: I.incorporation_proximity.parts(_evaluable(c), None, c.tables["company"]), REGISTER_ONLY)
-register("i007", RESOLVED, lambda c: I.value_vs_company_size.parts(_evaluable(c), None, c.tables["company"]), REGISTER_ONLY)
-register("i008", RESOLVED, lambda c: I.dormancy_delinquency.parts(_evaluable(c), None, c.tables["company"]), REGISTER_ONLY)
+register("i006", RESOLVED, lambda c: I.incorporation_proximity.parts(_evaluable(c), None, c.tables["company"]), REGISTER_ONLY, flags_tenders=True)
+register("i007", RESOLVED, lambda c: I.value_vs_company_size.parts(_evaluable(c), None, c.tables["company"]), REGISTER_ONLY, flags_tenders=True)
+register("i008", RESOLVED, lambda c: I.dormancy_delinquency.parts(_evaluable(c), None, c.tables["company"]), REGISTER_ONLY, flags_tenders=True)
 register("i009", ("tender", *RESOLVED), lambda c: I.contract_splitting.parts(c.tables["tender"], _evaluable(c), None, c.buyer, c.locale.open_threshold_cents), dict.fromkeys(("gb", "ua", "co"), UNVALIDATED))
 
 
@@ -115,27 +118,29 @@ def evaluated(context: Context, ran: list[Indicator]) -> tuple[DataFrame, DataFr
     """Flags of all indicators (indicator_id, subject, tender_id, details) and their counts (indicator_id, units, unscoreable).
 
     details: an indicator's own columns as JSON. The tender is the one that stands before a subject's first colon, if there
-    is one of that id in the source; subjects that name a buyer have none. Awards that can be scored against a company are
-    found once for all indicators that ask for them."""
+    is one of that id in the source; subjects that name a buyer have none. It is not looked up for indicators that flag tenders,
+    whose flags are many, if no tender's id has a colon itself. Awards that can be scored against a company are found once for
+    all indicators that ask for them."""
     needed = {n for i in ran for n in i.needs}
     if missing := sorted(needed - set(context.tables)):
         raise ValueError(f"tables are missing: {missing}")
     if "resolution" in needed:
         context = Context(context.source_id, context.locale, {**context.tables, "evaluable": _evaluable(context)}, context.buyer)
-    flags, counts = [], []
+    tenders = context.tables["tender"].select("tender_id").distinct()
+    plain = not context.tables["tender"].where(F.contains("tender_id", F.lit(":"))).take(1)
+    told, sought, counts = [], [], []
     for one in ran:
         found, n = one.evaluate(context)
         rest = [c for c in found.columns if c not in ("subject", "source_id")]
         details = F.to_json(F.struct(*rest)) if rest else F.lit("{}")
-        flags.append(found.select(F.lit(one.indicator_id).alias("indicator_id"), "subject", details.alias("details")))
+        flags = found.select(F.lit(one.indicator_id).alias("indicator_id"), "subject", subject_tender(F.col("subject")).alias("t"), details.alias("details"))
+        (told if plain and one.flags_tenders else sought).append(flags)
         unscoreable = F.col("unscoreable") if "unscoreable" in n.columns else F.lit(0)
         counts.append(n.select(F.lit(one.indicator_id).alias("indicator_id"), "units", unscoreable.cast("long").alias("unscoreable")))
-    every, table = flags[0], counts[0]
-    for more, n in zip(flags[1:], counts[1:]):
-        every, table = every.unionByName(more), table.unionByName(n)
-    tenders = context.tables["tender"].select("tender_id").distinct()
-    linked = every.withColumn("t", subject_tender(F.col("subject"))).join(tenders.withColumn("t", F.col("tender_id")), "t", "left")
-    return linked.select("indicator_id", "subject", "tender_id", "details"), table
+    linked = [f.withColumn("tender_id", F.col("t")) for f in told]
+    if sought:
+        linked.append(reduce(DataFrame.unionByName, sought).join(tenders.withColumn("t", F.col("tender_id")), "t", "left"))
+    return reduce(DataFrame.unionByName, linked).select("indicator_id", "subject", "tender_id", "details"), reduce(DataFrame.unionByName, counts)
 
 
 def run_indicators(tables: Mapping[str, DataFrame], source_id: str, locale: str, store: FlagStore, dry_run: bool = False, buyer: str = "buyer_name") -> dict[str, Any]:

@@ -18,7 +18,7 @@ from ledgerlight.sources.files import document_scan
 from ledgerlight.sources.flags import FlagStore
 from ledgerlight.sources.merged import MergedTable
 from ledgerlight.sources.views import Tables
-from ledgerlight.sources.workdir import dropped_at_end, settled, shared_dir
+from ledgerlight.sources.workdir import dropped_at_end, laid_out, settled, shared_dir
 from ledgerlight.streaming.clusters import cluster_stream, splitting_flags
 from ledgerlight.streaming.resume import ResumableFetch
 
@@ -80,9 +80,12 @@ def _k01_sql() -> str:
 
 @query("k01_all_indicators", _k01_sql())
 def k01(spark, sf_dir):
-    """Every source's run of all indicators validated for its country: stored, and counted in the store."""
+    """Every source's run of all indicators validated for its country: stored, and counted in the store. Tenders and awards are
+    laid out by tender once: no run and no indicator shuffles them again to join them."""
     t = Tables(spark, sf_dir)
-    tables = {"tender": t.tender, "award": t.award, "bid": t.bid, "company": t.company, "resolution": R.resolve_awards(t.award, t.company)}
+    tender = laid_out(t.tender.select("tender_id", "tender_key", "source_id", "buyer_name", "title", "method", "value_cents", "tender_start", "tender_end", "raw_json", "bidders_stated", "bidders_unique"), "tender_id")
+    award = laid_out(t.award.select("award_id", "tender_id", "supplier_name", "value_cents", "status", "award_date", "value_kind"), "tender_id")
+    tables = {"tender": tender, "award": award, "bid": t.bid, "company": t.company, "resolution": R.resolve_awards(t.award, t.company)}
     store = FlagStore(spark, folder(spark, "flags"))
     reports = [run_indicators(tables, source, code, store) for source, code in SOURCES.items()]
     rows = [(r["source"], i, n["units"], n["unscoreable"]) for r in reports for i, n in r["per_indicator"].items()]

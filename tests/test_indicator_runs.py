@@ -1,6 +1,7 @@
 """The store of flags and the runs that fill it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.operators import plugins
 from ledgerlight.operators.plugins import INDICATORS, LOCALES, VALIDATED, Indicator, enabled_for, run_indicators
@@ -117,3 +118,24 @@ def test_a_failing_indicator_stores_nothing(spark, store):
     assert held(store) == before
     assert run_indicators(tables(spark), "s", "eu", store)["per_indicator"] == {}
     assert run_indicators(tables(spark), "s", "gb", store, dry_run=True)["per_indicator"]["i002"]["persisted"] == 0
+
+
+@pytest.mark.parametrize("mark", ["", ":x"])
+def test_tenders_of_flags_are_looked_up_only_where_they_must_be(spark, mark):
+    """Flags of tenders are as many as tenders and awards: they are joined with tenders again only if ids have a colon."""
+    some = {n: t.withColumn("tender_id", F.concat("tender_id", F.lit(mark))) if "tender_id" in t.columns else t for n, t in tables(spark).items()}
+    context = plugins.Context("s", LOCALES["gb"], plugins.of_source(some, "s"))
+    flags, _ = plugins.evaluated(context, [INDICATORS[i] for i in ("i001", "i002", "i004", "i006")])
+    assert ("LeftOuter" in flags._jdf.queryExecution().optimizedPlan().toString()) == bool(mark)
+    rows = sorted((r.indicator_id, r.subject, r.tender_id) for r in flags.collect())
+    tender = None if mark else "t1"  # what stands before the first colon is no tender's id then
+    assert rows == [("i001", f"t1{mark}", tender), ("i002", f"t1{mark}", tender), ("i004", f"t1{mark}:a1", tender), ("i006", f"t1{mark}:a1", tender)]
+
+
+def test_runs_of_all_sources_lay_tenders_and_awards_out_once(spark, monkeypatch):
+    from ledgerlight.plans import runs
+
+    seen, laid_out = [], runs.laid_out
+    monkeypatch.setattr(runs, "laid_out", lambda df, key: (seen.append((key, len(df.columns))), laid_out(df, key))[1])
+    assert runs.k01(spark, "/root/testdata/sf0.001").count() == 18
+    assert seen == [("tender_id", 12), ("tender_id", 7)]
